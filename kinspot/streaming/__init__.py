@@ -1,0 +1 @@
+"""Empty on purpose: none of the covered operators is a streaming operator."""
