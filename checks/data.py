@@ -15,7 +15,7 @@ from kinspot.operators.judge import pair_containment
 from kinspot.operators.replay import replay, validate
 from kinspot.plans.detectors import dense_hits, sparse_hits
 from kinspot.plans.indexing import CorpusIndex, build_indexes
-from kinspot.session import written
+from kinspot.session import spread, written
 
 # Source text of one module per part; <k> is its key and <n> its size.
 FUNCTION = """def make_<k>(size, price):
@@ -70,7 +70,7 @@ class TestData:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -136,7 +136,7 @@ class TestData:
     @cached_property
     def modules(self) -> DataFrame:
         """One source file text per part."""
-        return self.table("part").select(
+        return spread(self.table("part")).select(
             F.concat(F.lit("src/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"),
             "p_partkey",
             fill(MODULE, F.col("p_partkey"), F.col("p_size")).alias("content"),

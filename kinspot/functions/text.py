@@ -27,7 +27,7 @@ def tokenize(text: Column | str) -> Column:
 def whitespace_tokens(text: Column | str) -> Column:
     """Distinct white-space separated words of a text."""
     words = F.split(text, f"[{WHITESPACE}]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_distinct(F.array_remove(words, ""))
 
 
 def strip(text: Column | str) -> Column:
@@ -55,15 +55,19 @@ def in_token_band(n_tokens: Column, low: int = MIN_TOKENS, high: int = MAX_TOKEN
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    """Overlap of two sets given as arrays; 0 when both are empty."""
-    union = F.size(F.array_union(left, right))
-    shared = F.size(F.array_intersect(left, right))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.try_divide(shared, union))
+    """Overlap of two sets given as arrays without repeats; 0 when both are empty."""
+    sizes = F.struct(
+        F.size(F.array_intersect(left, right)).alias("shared"), (F.size(left) + F.size(right)).alias("total")
+    )
+    # binding the sizes to a lambda variable computes the intersection once
+    ratio = F.transform(F.array(sizes), lambda s: F.try_divide(s["shared"], s["total"] - s["shared"]))
+    return F.coalesce(ratio[0], F.lit(0.0))
 
 
 def token_jaccard(left: Column | str, right: Column | str) -> Column:
     """Jaccard overlap of the white-space words of two texts."""
-    return jaccard(whitespace_tokens(left), whitespace_tokens(right))
+    words = F.struct(whitespace_tokens(left).alias("l"), whitespace_tokens(right).alias("r"))
+    return F.transform(F.array(words), lambda w: jaccard(w["l"], w["r"]))[0]
 
 
 def containment(query_tokens: Column, context_tokens: Column) -> Column:

@@ -5,10 +5,10 @@ is everything around the arithmetic. Vectors are packed into blocks, a block
 of queries meets a block of the corpus once as a matrix product inside a task,
 and only the k best rows per query leave the task.
 
-Query blocks meet corpus blocks through an equi-join on a lane number. A small
-query side needs one lane, and Spark broadcasts it when its written size is
-below the session's threshold. A large one is copied to every lane instead,
-each corpus block belongs to one lane, and the join shuffles by lane.
+Query blocks meet corpus blocks through an equi-join on a lane number. A query
+side below a checked size has one lane and is broadcast, and the corpus does
+not move. A larger one is copied to every lane, each corpus block belongs to
+one lane, and the join shuffles by lane.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from kinspot.operators.topk import top_k
 from kinspot.session import written
 
 BLOCK_ROWS = 1024
-# Query rows that still go into a single lane.
-ONE_LANE_ROWS = 16_384
+# Query vectors up to this size are broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 _BLOCKS = "ids array<bigint>, vectors array<double>"
 _HITS = "query_id bigint, doc_id bigint, score double"
@@ -103,13 +103,16 @@ def dense_topk(
         ),
         "query_blocks",
     )
+    size = blocks.agg(F.coalesce(F.sum(F.size("q_vectors") * F.lit(8)), F.lit(0))).first()[0]
+    small = size <= BROADCAST_BYTES and lanes is None
     if lanes is None:
-        rows = blocks.agg(F.coalesce(F.sum(F.size("q_ids")), F.lit(0))).first()[0]
-        lanes = 1 if rows <= ONE_LANE_ROWS else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        lanes = 1 if small else int(spark.conf.get("spark.sql.shuffle.partitions"))
     corpus = pack_blocks(index.select("doc_id", "unit_vec")).withColumn(
         "lane", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(lanes).cast("bigint"))
     )
     spread = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<bigint>")))
+    if small:
+        spread = F.broadcast(spread)
     met = corpus.join(spread, "lane").select("q_ids", "q_vectors", "ids", "vectors")
     return top_k(met.mapInArrow(_block_topk(k, exclude_self), _HITS), k)
 

@@ -21,7 +21,10 @@ Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def hashed_counts(counts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """Feature-hashed token counts ``(doc_id, bucket, value)`` of term counts."""
+    """Feature-hashed token counts ``(doc_id, bucket, value)`` of term counts.
+
+    A document without tokens has one row with a null bucket.
+    """
     return (
         counts.select("doc_id", hash_bucket("term", dim).alias("bucket"), "tf")
         .repartition("doc_id")  # serves both the bucket sums and the vectors
@@ -46,30 +49,25 @@ def _densify(dim: int):
     return run
 
 
-def hash_embed(docs: DataFrame, counts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """Dense hashed embedding ``(doc_id, embedding)`` of every document.
+def hash_embed(counts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
+    """Dense hashed embedding ``(doc_id, embedding)`` from term counts.
 
-    ``counts`` holds the term counts of the same documents; a document without
-    any token gets the zero vector.
+    A document without any token gets the zero vector.
     """
+    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("value").cast("double").alias("value")))
     rows = (
         hashed_counts(counts, dim)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("bucket", F.col("value").cast("double").alias("value"))).alias("entries"))
+        .agg(F.collect_list(entry).alias("entries"))  # at most dim entries
         .select("doc_id", "entries.bucket", "entries.value")
     )
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    vectors = rows.mapInArrow(_densify(dim), f"doc_id {id_type}, embedding array<double>")
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return docs.select("doc_id").join(vectors, "doc_id", "left").select(
-        "doc_id", F.coalesce("embedding", zero).alias("embedding")
-    )
+    return rows.mapInArrow(_densify(dim), f"doc_id {id_type}, embedding array<double>")
 
 
 def hash_embed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
     """:func:`hash_embed` straight from text."""
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return hash_embed(ids, term_counts(docs, id_col, text_col), dim)
+    return hash_embed(term_counts(docs, id_col, text_col), dim)
 
 
 def embed_column(

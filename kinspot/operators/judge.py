@@ -43,16 +43,25 @@ ANSWER = T.StructType(
     ]
 )
 
+# Leading hash digits counted by sample_rows; at most 16 ** 3 counts.
+SAMPLE_DIGITS = 3
+
 Judge = Callable[[list[str]], Sequence[str]]
 
 
 def sample_rows(corpus: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """Exactly ``n`` rows (or all), reproducible: the smallest seeded hashes.
 
-    Each task keeps its own ``n`` smallest rows, so nothing is sorted whole.
+    A count per leading hash digits tells which hashes can be among the
+    smallest ``n``, so that little more than ``n`` rows are ordered.
     """
     key = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
-    return corpus.withColumn("sample_key", key).orderBy("sample_key", id_col).limit(n)
+    keyed = corpus.withColumn("sample_key", key)
+    lead = F.substring("sample_key", 1, SAMPLE_DIGITS)
+    counts = corpus.select(key.alias("sample_key")).groupBy(lead.alias("lead")).agg(F.count("*").alias("n"))
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("lead")))
+    last = running.where(F.col("upto") >= n).agg(F.min("lead")).scalar()
+    return keyed.where(lead <= F.coalesce(last, F.lit("g"))).orderBy("sample_key", id_col).limit(n)
 
 
 def number_sample(sample: DataFrame) -> DataFrame:
@@ -150,19 +159,44 @@ def pair_containment(queries: DataFrame, pairs: DataFrame, counts: DataFrame) ->
     looked up by (term, doc_id), so no document is read whole and a term that
     is in every document is spread over all of them.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
-    sizes = queries.select("query_id", F.size(F.array_distinct(tokenize("text"))).alias("n_query_terms"))
-    wanted = written(pairs.select("query_id", "doc_id").distinct().join(words, "query_id"), "pair_terms")
+    wanted = written(pairs.select("query_id", "doc_id").distinct().join(query_words(queries), "query_id"), "pair_terms")
     shared = (
         wanted.join(counts.select("term", "doc_id"), ["term", "doc_id"])
         .groupBy("query_id", "doc_id")
         .agg(F.count("*").alias("n_shared"))
     )
-    share = F.coalesce(F.try_divide("n_shared", "n_query_terms"), F.lit(0.0))
+    sizes = queries.select("query_id", F.size(F.array_distinct(tokenize("text"))).alias("n_query_terms"))
     return (
         pairs.join(shared, ["query_id", "doc_id"], "left")
         .join(sizes, "query_id")
-        .select(*pairs.columns, F.round(share, 6).alias("containment"))
+        .select(*pairs.columns, _share().alias("containment"))
+    )
+
+
+def query_words(queries: DataFrame) -> DataFrame:
+    """Distinct tokens of every query: ``query_id, term``."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+
+
+def _share() -> Column:
+    return F.round(F.coalesce(F.try_divide("n_shared", "n_query_terms"), F.lit(0.0)), 6)
+
+
+def sample_containment(queries: DataFrame, sample: DataFrame, counts: DataFrame) -> DataFrame:
+    """:func:`pair_containment` of every query with one sample ``(doc_id, rank)``.
+
+    The sample's few postings are cut out first and meet the query tokens by
+    term. Pairs that share no token are not in the result; they count 0.
+    """
+    held = written(sample.select("doc_id", "rank").join(counts.select("doc_id", "term"), "doc_id"), "sample_terms")
+    sizes = queries.select("query_id", F.size(F.array_distinct(tokenize("text"))).alias("n_query_terms"))
+    return (
+        query_words(queries)
+        .join(held, "term")
+        .groupBy("query_id", "doc_id", "rank")
+        .agg(F.count("*").alias("n_shared"))
+        .join(sizes, "query_id")
+        .select("query_id", "doc_id", "rank", _share().alias("containment"))
     )
 
 

@@ -131,12 +131,11 @@ def structure_vectors(prints: DataFrame, dim: int = HASH_DIM) -> DataFrame:
         lambda i: F.array_join(F.slice("node_types", i + 1, F.lit(3)), " "),
     )
     counts = (
-        prints.where(F.col("node_types").isNotNull())
-        .select("doc_id", F.explode(grams).alias("term"))
+        prints.select("doc_id", F.explode_outer(F.when(F.col("node_types").isNotNull(), grams)).alias("term"))
         .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("term").alias("tf"))
     )
-    return hash_embed(prints, counts, dim)
+    return hash_embed(counts, dim)
 
 
 def structure_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspot.operators.ordered import DEFAULT_SPAN, last_before, running_sum
+from kinspot.session import written
 
 # --- fixed values: commands, their arguments, and messages ---------------------
 INIT, ADD, DELETE, LIST, LOOKUP, UPDATE = (
@@ -105,20 +106,25 @@ def replay(
     stands = F.when(_is(ADD), F.lit(True)).when(_is(DELETE), F.lit(False))
     seen = last_before(keyed, ["name"], "seq", {"_present": stands}, span)
     present = F.coalesce("_present", F.lit(False))
-    judged = seen.withColumn("ok", F.when(_is(ADD), ~present).otherwise(present)).drop("_present")
+    judged = written(
+        seen.withColumn("ok", F.when(_is(ADD), ~present).otherwise(present)).drop("_present"), "judged_commands"
+    )
 
-    is_new = _is(ADD) & F.col("ok") & F.col("base_id").isNull()
     if max_id is not None:
         first = F.lit(max_id)
     elif base is not None:
         first = F.coalesce(base.agg(F.max("id")).scalar(), F.lit(0))
     else:
         first = F.lit(0)
-    numbered = running_sum(judged, [], "seq", {"_n": is_new.cast("bigint")}, span)
-    numbered = numbered.withColumn("id", F.when(is_new, first + F.col("_n")).otherwise(F.col("base_id")))
+    # only new rows are numbered; base rows all share one position
+    is_new = _is(ADD) & F.col("ok") & F.col("base_id").isNull()
+    new = running_sum(judged.where(is_new), [], "seq", {"_n": F.lit(1).cast("bigint")}, span)
+    numbered = new.withColumn("id", first + F.col("_n")).drop("_n").unionByName(
+        judged.where(~is_new).withColumn("id", F.col("base_id"))
+    )
     done = F.col("ok")
     return last_before(
-        numbered.drop("_n", "base_id"),
+        numbered.drop("base_id"),
         ["name"],
         "seq",
         {

@@ -31,9 +31,10 @@ EPSILON = 0.25
 
 # Up to this many (query term, posting) matches are simply added up.
 DIRECT_MATCHES = 50_000_000
-# Postings read per query to find its threshold, and the slack that covers
-# rounding when scores are compared with it.
+# Postings read per query to find its threshold, the documents scored in full
+# for it (times k), and the slack that covers rounding in comparisons with it.
 PROBE_ROWS = 20_000
+PROBE_FACTOR = 4
 SLACK = 1e-5
 
 
@@ -41,8 +42,9 @@ SLACK = 1e-5
 class SparseIndex:
     """Inverted index as tables."""
 
+    counts: DataFrame  # doc_id, dl, term, tf, as from term_counts
     postings: DataFrame  # term, doc_id, tf, dl, saturation
-    doc_stats: DataFrame  # doc_id, dl
+    doc_stats: DataFrame  # doc_id, dl, n_terms
     term_stats: DataFrame  # term, df, idf, max_saturation
     corpus_stats: DataFrame  # n, avgdl, avg_idf, n_terms (one row)
 
@@ -50,19 +52,21 @@ class SparseIndex:
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Term frequencies and length per document: ``doc_id, dl, term, tf``.
 
+    A document without tokens keeps one row with a null term and ``tf`` 0, so
+    that later steps need no join to find it.
+
     The texts are hashed by id before they are cut into tokens. That spreads
     the tokenising over all tasks, and the counting then needs no shuffle of
-    the (much larger) exploded tokens. The outer explode keeps the optimiser
-    from adding a "has tokens" filter, which would tokenise before the shuffle.
+    the (much larger) exploded tokens. The outer explode also keeps the
+    optimiser from testing for tokens, and so tokenising, before the shuffle.
     """
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .repartition("doc_id")
         .select("doc_id", tokenize("text").alias("tokens"))
         .select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
         .groupBy("doc_id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("term").alias("tf"))
     )
 
 
@@ -71,15 +75,18 @@ def build_sparse_index(corpus: DataFrame, path: str | None = None, text_col: str
     spark = corpus.sparkSession
     root = path or new_path(spark, "sparse")
     counts = written(term_counts(corpus, text_col=text_col), "counts", f"{root}/counts")
-    sizes = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-    ids = written(corpus.select("doc_id"), "docs", f"{root}/docs")
-    n = ids.agg(F.count("*")).scalar()
+    n = corpus.agg(F.count("*")).scalar()
     totals = written(
-        sizes.select(n.alias("n"), F.try_divide("tokens", n).alias("avgdl")), "totals", f"{root}/totals"
+        counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).select(
+            n.alias("n"), F.try_divide("tokens", n).alias("avgdl")
+        ),
+        "totals",
+        f"{root}/totals",
     )
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
     written(
-        counts.groupBy("term")
+        counts.where(F.col("term").isNotNull())
+        .groupBy("term")
         .agg(F.count("*").alias("df"), F.max(_saturation(avgdl)).alias("max_saturation"))
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)),
         "terms",
@@ -98,24 +105,15 @@ def load_sparse_index(spark: SparkSession, root: str) -> SparseIndex:
     terms = spark.read.parquet(f"{root}/terms")
     totals = spark.read.parquet(f"{root}/totals")
     avgdl = totals.select("avgdl").scalar()
-    floor = EPSILON * terms.agg(F.avg("raw_idf")).scalar()
-    lengths = counts.groupBy("doc_id", "dl").agg(F.count("*").alias("n_terms"))
+    avg_idf = terms.agg(F.avg("raw_idf")).scalar()
+    floored = F.when(F.col("raw_idf") < 0, EPSILON * avg_idf).otherwise(F.col("raw_idf"))
     return SparseIndex(
-        postings=counts.withColumn("saturation", _saturation(avgdl)),
-        doc_stats=spark.read.parquet(f"{root}/docs")
-        .join(lengths, "doc_id", "left")
-        .select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("n_terms", F.lit(0)).alias("n_terms")),
-        term_stats=terms.select(
-            "term",
-            "df",
-            F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"),
-            "max_saturation",
-        ),
+        counts=counts,
+        postings=counts.where(F.col("term").isNotNull()).withColumn("saturation", _saturation(avgdl)),
+        doc_stats=counts.groupBy("doc_id", "dl").agg(F.count("term").alias("n_terms")),
+        term_stats=terms.select("term", "df", floored.alias("idf"), "max_saturation"),
         corpus_stats=totals.select(
-            "n",
-            "avgdl",
-            terms.agg(F.avg("raw_idf")).scalar().alias("avg_idf"),
-            terms.agg(F.count("*")).scalar().alias("n_terms"),
+            "n", "avgdl", avg_idf.alias("avg_idf"), terms.agg(F.count("*")).scalar().alias("n_terms")
         ),
     )
 
@@ -200,14 +198,15 @@ def _scores_above_threshold(index: SparseIndex, query_terms: DataFrame, k: int,
         "bounded_terms",
     )
 
-    # threshold: the least full score among the k best documents by rare terms
-    probed = top_k(_added(terms.where("probe"), index.postings, ["term"], []), k, "part")
+    # threshold: the k-th best full score among the best documents by rare terms
+    by_rare = _added(terms.where("probe"), index.postings, ["term"], [])
+    probed = top_k(by_rare, PROBE_FACTOR * k, "part")
     probed_terms = written(
         probed.select("query_id", "doc_id").join(terms.select("query_id", "term", "weight"), "query_id"),
         "probe_terms",
     )
     thresholds = (
-        _added(probed_terms, index.postings, ["term", "doc_id"], [])
+        top_k(_added(probed_terms, index.postings, ["term", "doc_id"], []), k, "part")
         .groupBy("query_id")
         .agg(F.count("*").alias("found"), F.min("part").alias("least"))
         .where(F.col("found") >= k)

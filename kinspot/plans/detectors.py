@@ -16,6 +16,7 @@ from kinspot.operators.judge import (
     number_sample,
     pair_containment,
     parse_verdicts,
+    sample_containment,
     sample_rows,
 )
 from kinspot.operators.sparse import sparse_topk
@@ -73,23 +74,32 @@ def judge_contexts(
         prompts = written(build_prompts(queries, contexts), "prompts")
         answers = parse_verdicts(ask_judge(prompts, judge)).drop("explanation")
         verdicts = answers.join(prompts.select("query_id", "context_size"), "query_id")
-    return verdicts.select(
-        "query_id", F.lit(method).alias("method"), "is_match", "confidence", "context_size",
-        "matched_references", "error",
-    )
+    return _verdict_rows(verdicts, method)
 
 
 def detect_sampled_context(
     index: CorpusIndex, queries: DataFrame, n: int = MAX_CONTEXT, seed: int = 42, judge: Judge | None = None
 ) -> DataFrame:
     """Every query against the same sample of ``n`` corpus rows."""
-    sample = number_sample(sample_rows(index.corpus.select("doc_id"), n, seed))
+    sample = written(number_sample(sample_rows(index.corpus.select("doc_id"), n, seed)), "sample")
+    size = sample.agg(F.count("*").cast("int")).scalar()
+    if judge is None:
+        judged = sample_containment(queries, sample, index.sparse.postings)
+        verdicts = judge_containment(queries, judged).withColumn("context_size", size)
+        return _verdict_rows(verdicts.withColumn("error", F.lit(None).cast("string")), "sampled_context")
     # the sample's ids and ranks, at most n of them, come back as one value
     refs = sample.agg(F.collect_list(F.struct("doc_id", "rank"))).scalar()
     hits = queries.select("query_id", F.explode(refs).alias("ref")).select("query_id", "ref.doc_id", "ref.rank")
     return judge_contexts(index, queries, hits, "sampled_context", judge)
 
 
+def _verdict_rows(verdicts: DataFrame, method: str) -> DataFrame:
+    return verdicts.select(
+        "query_id", F.lit(method).alias("method"), "is_match", "confidence", "context_size",
+        "matched_references", "error",
+    )
+
+
 def dense_hits(index: CorpusIndex, queries: DataFrame, k: int) -> DataFrame:
     return written(dense_topk(index.dense, index.embed_queries(queries), k), "dense_hits")
 

@@ -43,7 +43,7 @@ def build_indexes(
     root = path or new_path(corpus.sparkSession, "index")
     sparse = build_sparse_index(corpus, f"{root}/sparse")
     if embed is None:
-        vectors = hash_embed(corpus, sparse.postings, dim)
+        vectors = hash_embed(sparse.counts, dim)
     else:
         vectors = embed_missing(corpus, f"{root}/embeddings", embed).select("doc_id", "embedding")
     dense = written(build_dense_index(vectors), "dense", f"{root}/dense")

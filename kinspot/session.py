@@ -58,3 +58,13 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or new_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input that has fewer partitions than the session has cores.
+
+    A table of many files passes unchanged; one small file would otherwise be
+    worked on by a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
