@@ -16,11 +16,20 @@ LABELLED_SCHEMA = (
 # ------------------------------------------------------------------------------
 
 
+# CSV that gives every text back as it was, line breaks and outer blanks included.
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_corpus(corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a corpus as Parquet, or as CSV with quoted multi-line texts."""
     writer = corpus.write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+        writer.options(**_CSV).option("quoteAll", True).csv(path)
     else:
         writer.format(fmt).save(path)
 
@@ -28,7 +37,7 @@ def write_corpus(corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = CORPUS_SCHEMA) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        return reader.options(**_CSV).option("multiLine", True).csv(path)
     return reader.format(fmt).load(path)
 
 
