@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from checks.data import FUNCTION, METHOD, TestData, fill, test_data
 from kinspot.functions.text import (
-    in_token_band,
     path_tail,
     strip_fences,
     token_jaccard,
@@ -22,6 +21,7 @@ from kinspot.operators import evaluate as ev
 from kinspot.operators import labelset as ls
 from kinspot.operators import replay as rp
 from kinspot.operators import transcript as tr
+from kinspot.operators.corpus import token_band
 from kinspot.operators.dense import build_dense_index, max_corpus_similarity
 from kinspot.operators.embedding import embed_column, embed_missing, hash_embed_text, hashed_counts, missing_embeddings
 from kinspot.operators.fusion import hydrate, match_records, rrf_topk_sweep
@@ -120,7 +120,7 @@ def extract_functions_from_modules(d: TestData) -> DataFrame:
 def scan_source_files(d: TestData) -> DataFrame:
     path = new_path(d.spark, "sources")
     # one line per row keeps the text as it is; a file holds many modules
-    lines = d.modules.repartition("p_partkey").select(F.explode(F.split("content", "\n")).alias("line"))
+    lines = d.modules.repartition(64, "p_partkey").select(F.explode(F.split("content", "\n")).alias("line"))
     (
         lines.write.option("extension", "py").option("sep", "\x01").option("quote", "\x02").option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/deep/er")
@@ -130,8 +130,7 @@ def scan_source_files(d: TestData) -> DataFrame:
 
 @query
 def token_band_filter(d: TestData) -> DataFrame:
-    counted = d.documents.select("doc_id", F.size(tokenize("text")).alias("token_count"))
-    return counted.where(in_token_band(F.col("token_count")))
+    return token_band(d.documents.select("doc_id", "text")).select("doc_id", "token_count")
 
 
 @query

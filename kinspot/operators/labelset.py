@@ -14,7 +14,7 @@ from kinspot.functions.text import token_jaccard
 from kinspot.functions.vectors import HASH_DIM, cosine
 from kinspot.operators.dense import max_corpus_similarity
 from kinspot.operators.embedding import hash_embed
-from kinspot.session import written
+from kinspot.session import spread, written
 
 # --- fixed values: thresholds and attempts ------------------------------------
 MIN_STRUCTURE = 0.75
@@ -74,10 +74,13 @@ def first_valid(candidates: DataFrame) -> DataFrame:
         list(MAX_ATTEMPTS.items())[1:],
         F.when(F.col("label") == list(MAX_ATTEMPTS)[0], F.lit(list(MAX_ATTEMPTS.values())[0])),
     )
+    # a condition inside the aggregate, not a filter: a filter would be pushed
+    # down to the scores and compute them a second time
+    usable = F.when(F.col("is_valid") & (F.col("attempt") <= allowed), F.col("attempt"))
     return (
-        candidates.where(F.col("is_valid") & (F.col("attempt") <= allowed))
-        .groupBy("src_id", "label")
-        .agg(F.min_by(F.struct(*payload), "attempt").alias("_best"))
+        candidates.groupBy("src_id", "label")
+        .agg(F.min_by(F.struct(*payload), usable).alias("_best"))
+        .where(F.col("_best").isNotNull())
         .select("src_id", "label", "_best.*")
     )
 
@@ -119,7 +122,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "node_types": frame["text"].map(node_types)})
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    source = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     id_type = source.schema["doc_id"].dataType.simpleString()
     return source.mapInPandas(run, f"doc_id {id_type}, node_types array<string>")
 

@@ -44,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/kinspot/{uuid.uuid4().hex}/{name}"
+    """New folder below one folder per application, which can go when it has ended."""
+    root = f"{shared_dir(spark).rstrip('/')}/kinspot-{spark.sparkContext.applicationId}"
+    return f"{root}/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspot.functions.text import MAX_TOKENS, MIN_TOKENS, in_token_band, path_tail, tokenize
+from kinspot.functions.text import MAX_TOKENS, MIN_TOKENS, path_tail
+from kinspot.operators.corpus import token_band
 
 _FUNCTIONS = "file_path string, function_name string, line int, code string"
 
@@ -55,9 +56,7 @@ def extract_functions(files: DataFrame, low: int = MIN_TOKENS, high: int = MAX_T
     functions = files.select("file_path", "content").mapInPandas(run, _FUNCTIONS)
     line = F.col("line").cast("string")
     return (
-        functions.where(~F.startswith("function_name", F.lit("_")))
-        .withColumn("token_count", F.size(tokenize("code")))
-        .where(in_token_band(F.col("token_count"), low, high))
+        token_band(functions.where(~F.startswith("function_name", F.lit("_"))), "code", low, high)
         .select(
             F.xxhash64("file_path", "function_name", "line").alias("doc_id"),
             F.concat_ws("::", path_tail("file_path"), "function_name", line).alias("id"),
