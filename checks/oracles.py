@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from checks.data import FUNCTION, METHOD, SMALL
+import ast
+import hashlib
+import math
+from collections import Counter
+
+from checks.data import FUNCTION, METHOD, MODULE, SMALL
 from kinspot.functions.text import TOKEN_PATTERN, WHITESPACE
 from kinspot.operators.judge import PROMPT_HEAD, PROMPT_TAIL
 
@@ -345,6 +350,40 @@ ORACLES["ragged_union"] = """
 SELECT doc_id, quality AS label, CASE WHEN quality = 1 THEN doc_id / 8 END AS token_jaccard,
        CASE WHEN quality = 0 THEN doc_id / 4 END AS max_corpus_similarity FROM labels"""
 
+
+
+def node_names(node: ast.AST) -> list[str]:
+    return [type(node).__name__] + [n for child in ast.iter_child_nodes(node) for n in node_names(child)]
+
+
+def trigrams(source: str) -> Counter:
+    names = node_names(ast.parse(source))
+    grams = Counter(" ".join(names[i : i + 3]) for i in range(len(names) - 2))
+    out: Counter = Counter()
+    for gram, n in grams.items():
+        out[int(hashlib.md5(gram.encode()).hexdigest()[:7], 16) % 256] += n
+    return out
+
+
+def trigram_cosine(left: str, right: str) -> float:
+    a, b = trigrams(left), trigrams(right)
+    length = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+    return round(sum(v * b[k] for k, v in a.items()) / length, 6)
+
+
+def example(template: str) -> str:
+    return template.replace("<k>", "1").replace("<n>", "2")
+
+
+# every part's module has the same shape, so its node names are one literal
+NODES = node_names(ast.parse(example(MODULE)))
+ORACLES["ast_fingerprint"] = f"""
+SELECT p_partkey AS doc_id, {len(NODES)} AS n_nodes, md5({lit(' '.join(NODES))}) AS types_md5 FROM part"""
+ORACLES["ast_similarity"] = f"""
+SELECT p_partkey AS left_id, -p_partkey - 1 AS right_id, CASE WHEN p_size % 2 = 0
+  THEN {trigram_cosine(example(MODULE), example(FUNCTION))} ELSE {trigram_cosine(example(MODULE), example('class A:' + chr(10) + METHOD))}
+  END AS structure_similarity FROM part"""
+
 # --- evaluation ---------------------------------------------------------------------------
 
 ORACLES["case_labels"] = f"WITH {TERMS}, {CASES} SELECT case_id, y_true FROM cases"
@@ -519,6 +558,7 @@ staff AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS role, round(c_
 requests AS (SELECT event_id AS seq, event_type, 'Customer#' || lpad((user_id * 25)::VARCHAR, 9, '0') AS name, 'NEW' AS role,
   round(value * 100)::BIGINT AS salary FROM events)
 """
+ORACLES["create_table_once"] = f"WITH {STAFF} SELECT * FROM staff"
 ORACLES["apply_adds"] = f"""WITH {STAFF},
 fresh AS (SELECT * FROM requests WHERE event_type = 'signup' AND name NOT IN (SELECT name FROM staff)
           QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) = 1)

@@ -584,6 +584,15 @@ def validate_commands(d: TestData) -> DataFrame:
     return d.commands
 
 
+@query
+def create_table_once(d: TestData) -> DataFrame:
+    """Creating a table that has rows leaves them."""
+    path = new_path(d.spark, "staff")
+    rp.create_table(d.spark, path)
+    d.staff.write.mode("append").parquet(path)
+    return rp.create_table(d.spark, path)
+
+
 @query
 def apply_adds(d: TestData) -> DataFrame:
     return rp.apply_adds(d.staff, d.requests("signup"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -110,26 +111,46 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def ask_judge(prompts: DataFrame, judge: Judge, batch_size: int = 16) -> DataFrame:
-    """Send prompts to a user's judge from inside the tasks: ``query_id, response``."""
+    """Send prompts to a user's judge from inside the tasks.
+
+    Returns ``query_id, response, error, elapsed``. When a call fails, its
+    prompts are sent one by one, and those that fail again keep their error.
+    """
+
+    def one_by_one(texts: list[str]) -> Iterator[tuple[str | None, str | None]]:
+        for text in texts:
+            try:
+                yield judge([text])[0], None
+            except Exception as failure:  # noqa: BLE001 - any failure is the case's error
+                yield None, str(failure) or type(failure).__name__
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
-                answers = list(judge(part["prompt"].tolist()))
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "response": answers})
+                texts = part["prompt"].tolist()
+                begun = time.perf_counter()
+                try:
+                    answers = [(answer, None) for answer in judge(texts)]
+                except Exception:  # noqa: BLE001
+                    answers = list(one_by_one(texts))
+                elapsed = (time.perf_counter() - begun) / len(texts)
+                out = pd.DataFrame(answers, columns=["response", "error"], dtype=object)
+                yield out.assign(query_id=part["query_id"].to_numpy(), elapsed=elapsed)
 
     source = prompts.select("query_id", "prompt")
     id_type = source.schema["query_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"query_id {id_type}, response string")
+    schema = f"query_id {id_type}, response string, error string, elapsed double"
+    return source.mapInPandas(lambda frames: (f[["query_id", "response", "error", "elapsed"]] for f in run(frames)), schema)
 
 
 def parse_verdicts(responses: DataFrame, response: str = "response") -> DataFrame:
     """Read judge answers into ``is_match, confidence, matched_references, explanation, error``.
 
     Text that is not the expected JSON gives the fallback verdict; JSON that
-    lacks a field is an error row.
+    lacks a field is an error row, and so is a row that already has an ``error``.
     """
+    failed = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
     parsed = F.from_json(
         strip_fences(response), ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
@@ -139,16 +160,16 @@ def parse_verdicts(responses: DataFrame, response: str = "response") -> DataFram
     incomplete = a["is_plagiarized"].isNull() | a["confidence"].isNull() | a["explanation"].isNull()
 
     def field(name: str, fallback: Column) -> Column:
-        return F.when(bad, fallback).otherwise(F.when(~incomplete, a[name]))
+        return F.when(failed.isNull(), F.when(bad, fallback).otherwise(F.when(~incomplete, a[name])))
 
     none = F.array().cast("array<int>")
     return rows.select(
-        *[c for c in responses.columns if c != response],
+        *[c for c in responses.columns if c not in (response, "error")],
         field("is_plagiarized", F.lit(False)).alias("is_match"),
         field("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce(field("matched_references", none), none).alias("matched_references"),
         field("explanation", F.lit(FALLBACK_EXPLANATION)).alias("explanation"),
-        F.when(~bad & incomplete, F.lit("missing field")).alias("error"),
+        F.coalesce(failed, F.when(~bad & incomplete, F.lit("missing field"))).alias("error"),
     )
 
 

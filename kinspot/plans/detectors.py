@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspot.operators.dense import dense_topk
@@ -30,6 +30,11 @@ MAX_CONTEXT = 5000
 # ------------------------------------------------------------------------------
 
 
+def as_queries(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """A query table of a few texts given by hand."""
+    return spark.createDataFrame(list(enumerate(texts)), "query_id bigint, text string")
+
+
 def detect_threshold(
     queries: DataFrame, hits: DataFrame, threshold: float = SIMILARITY_THRESHOLD, k: int = TOP_K
 ) -> DataFrame:
@@ -66,13 +71,14 @@ def judge_contexts(
     """
     if judge is None:
         judged = pair_containment(queries, hits.select("query_id", "doc_id", "rank"), index.sparse.postings)
-        verdicts = judge_containment(queries, judged, threshold).withColumn("error", F.lit(None).cast("string"))
+        verdicts = judge_containment(queries, judged, threshold)
     else:
         contexts = written(hits.select("query_id", "doc_id", "rank"), "hits").join(
             index.corpus.select("doc_id", "text"), "doc_id"
         )
         prompts = written(build_prompts(queries, contexts), "prompts")
-        answers = parse_verdicts(ask_judge(prompts, judge)).drop("explanation")
+        # written, so that no prompt is sent to the judge twice
+        answers = parse_verdicts(written(ask_judge(prompts, judge), "answers"))
         verdicts = answers.join(prompts.select("query_id", "context_size"), "query_id")
     return _verdict_rows(verdicts, method)
 
@@ -86,7 +92,7 @@ def detect_sampled_context(
     if judge is None:
         judged = sample_containment(queries, sample, index.sparse.postings)
         verdicts = judge_containment(queries, judged).withColumn("context_size", size)
-        return _verdict_rows(verdicts.withColumn("error", F.lit(None).cast("string")), "sampled_context")
+        return _verdict_rows(verdicts, "sampled_context")
     # the sample's ids and ranks, at most n of them, come back as one value
     refs = sample.agg(F.collect_list(F.struct("doc_id", "rank"))).scalar()
     hits = queries.select("query_id", F.explode(refs).alias("ref")).select("query_id", "ref.doc_id", "ref.rank")
@@ -94,9 +100,12 @@ def detect_sampled_context(
 
 
 def _verdict_rows(verdicts: DataFrame, method: str) -> DataFrame:
+    for name, kind in (("explanation", "string"), ("error", "string"), ("elapsed", "double")):
+        if name not in verdicts.columns:
+            verdicts = verdicts.withColumn(name, F.lit(None).cast(kind))
     return verdicts.select(
-        "query_id", F.lit(method).alias("method"), "is_match", "confidence", "context_size",
-        "matched_references", "error",
+        "query_id", F.lit(method).alias("method"), "is_match", "confidence", "explanation", "context_size",
+        "matched_references", "error", "elapsed",
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ SAMPLED_CONTEXT = 100
 # ----------------------------------------------------------------------------
 
 
+def evaluate_detector(
+    detect: Callable[..., DataFrame], labelled: DataFrame, method: str, **options: object
+) -> DataFrame:
+    """Predictions of any detector over a labelled set ``(case_id, code, label)``.
+
+    ``detect`` takes a query table ``(query_id, text)`` and the options, and
+    returns verdicts by ``query_id``.
+    """
+    queries = labelled.select(F.col("case_id").alias("query_id"), F.col("code").alias("text"))
+    cases = labelled.select("case_id", F.col("label").alias("y_true"))
+    return ev.predict(cases, detect(queries, **options), method)
+
+
 def full_evaluation(
     index: CorpusIndex,
     queries: DataFrame,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspot.functions.vectors import HASH_DIM
 from kinspot.operators.dense import build_dense_index
 from kinspot.operators.embedding import Embedder, embed_column, embed_missing, hash_embed, hash_embed_text
-from kinspot.operators.sparse import SparseIndex, build_sparse_index
+from kinspot.operators.sparse import SparseIndex, build_sparse_index, load_sparse_index
 from kinspot.session import new_path, written
 
 
@@ -38,9 +38,12 @@ def build_indexes(
 
     The default embedding hashes the term counts the sparse index has already
     made; with ``embed`` the user's model is called for rows whose text has no
-    stored embedding yet.
+    stored embedding yet. Given a path, the corpus is kept there as well, so
+    that :func:`load_indexes` finds everything.
     """
     root = path or new_path(corpus.sparkSession, "index")
+    if path is not None:
+        corpus = written(corpus, "corpus", f"{root}/corpus")
     sparse = build_sparse_index(corpus, f"{root}/sparse")
     if embed is None:
         vectors = hash_embed(sparse.counts, dim)
@@ -50,6 +53,19 @@ def build_indexes(
     return CorpusIndex(corpus=corpus, sparse=sparse, dense=dense, dim=dim, embed=embed)
 
 
+def load_indexes(
+    spark: SparkSession, path: str, embed: Embedder | None = None, dim: int = HASH_DIM
+) -> CorpusIndex:
+    """Index tables written by :func:`build_indexes` at ``path``."""
+    return CorpusIndex(
+        corpus=spark.read.parquet(f"{path}/corpus"),
+        sparse=load_sparse_index(spark, f"{path}/sparse"),
+        dense=spark.read.parquet(f"{path}/dense"),
+        dim=dim,
+        embed=embed,
+    )
+
+
 def index_sizes(index: CorpusIndex) -> DataFrame:
     """Row count of every index table."""
     tables = {

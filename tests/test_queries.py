@@ -5,8 +5,6 @@ from compare import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-WITHOUT_SQL = {"ast_fingerprint", "ast_similarity"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -15,16 +13,12 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    if name in WITHOUT_SQL:
-        assert queries()[name](spark, sf_dir).count() > 0
-        return
     ok, note = compare(spark, con, sf_dir, queries()[name], oracle_sql()[name])
     assert ok, note
 
 
-def test_every_query_has_sql_or_is_known_not_to():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
 
 
 def test_entry(spark):
