@@ -13,7 +13,9 @@ name a special token stay whole. Tests compare with the library's own result.
 from __future__ import annotations
 
 import os
+import sys
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from kinspot.llm.words import slices, text_bytes
 #: units a worker remembers; then it begins anew
 REMEMBERED = 400_000
 SLICE_BYTES = 1 << 22
+HELD_IN = "kinspot_encoders"
 
 # kinds of bytes: 0 unknown, 1 letter, 2 digit, 3 symbol, 4 space or newline, 5 apostrophe
 _KIND = np.zeros(256, np.uint8)
@@ -119,12 +122,14 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(bounds)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
+    """One encoder per worker process and vocabulary file, kept from task to task.
+
+    Task functions travel by value, and their own globals with them, so the
+    encoders live in a module of the worker's.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    held = vars(sys.modules.setdefault(HELD_IN, ModuleType(HELD_IN)))
+    if vocabulary not in held:
+        held[vocabulary] = Encoder(vocabulary)
+    return held[vocabulary]

@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinspot.session import written
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: settings while an operator's own table is written: shuffle files go with the plan that made them, and
+#: batches of whole texts stay small in the Python workers
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``written`` that also frees the shuffle files of the plan once its table is there."""
+    """``written`` under ``SETTINGS``; the session gets its own settings back."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    before = {key: conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        conf.set(key, value)
     try:
         return written(df, name)
     finally:
-        if before is None:
-            conf.unset(CLEANUP)
-        else:
-            conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
 
 
 def whole_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
