@@ -3,20 +3,60 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from kinspot.llm import packing
+from kinspot.llm import decontaminate, neardup, packing, secret_scan, toxicity
 from kinspot.llm.stage import stored
 
+#: SQL cannot train a classifier, scan for novelty or pack; tests compare each stage with a brute-force version
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.7; it learns from the stage's own documents."""
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs, model).filter(F.col("toxicity_score") < toxicity.CUT).drop("toxicity_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of the smallest id.
+
+    Rows without id are kept. Rows that share an id are one document, of which
+    the row of the smallest text stays, if any of them is kept.
+    """
+    judged = neardup.near_duplicates(docs, k=5, percent=80)
+    kept = judged.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    own = docs.join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    own = own.withColumn("__row", first).filter("__row = 1").drop("__row")
+    return own.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in benchmark windows of 13 words."""
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = judged.filter("contaminated").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__key"])
+    return docs.join(bad, same, "left_anti")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with a mark in the place of each secret."""
+    return secret_scan.mask_secrets(docs)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 ids: one row per piece with its ids."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_documents)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack_documents),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
