@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from checks.data import test_data
 from checks.queries import QUERIES
 from kinspot.plans import detectors as dt
+from kinspot.plans import evaluation as pe
 from kinspot.session import local_session
 
 SHARED = {
@@ -31,6 +32,9 @@ SHARED = {
     "build_commands": lambda d: d.commands,
     "build_replay": lambda d: d.replayed,
 }
+END_TO_END = {
+    "full_evaluation_with_retrieval": lambda d: pe.report(pe.full_evaluation(d.index, d.queries, d.cases)),
+}
 DETECTORS = {
     "embedding": lambda d: dt.detect_threshold(d.queries, dt.dense_hits(d.index, d.queries, 5)),
     "sampled_context": lambda d: dt.detect_sampled_context(d.index, d.queries, n=100),
@@ -38,10 +42,10 @@ DETECTORS = {
     "hybrid_context": lambda d: dt.detect_hybrid_context(d.index, d.queries),
 }
 HEADLINE = [
-    "tokenize_text", "token_band_filter", "hash_embed", "extract_functions_from_modules", "bm25_score",
+    "tokenize_text", "token_band_filter", "hash_embed", "extract_functions_from_modules", "bm25_rescore_pairs",
     "sparse_topk_thresholds", "hybrid_rrf_topk", "max_similarity_to_corpus", "detect_threshold",
     "build_judge_prompts", "token_jaccard_pairs", "validate_positive", "validate_negative",
-    "first_valid_candidate", "full_evaluation", "sweep_k", "sweep_rrf_k", "error_report",
+    "first_valid_candidate", "full_evaluation", "rebuild_indexes", "sweep_k", "sweep_rrf_k", "error_report",
     "replay_statuses", "replay_final_table", "replay_asof_lookup", "replay_asof_snapshot",
     "apply_adds", "point_lookups", "assemble_transcripts", "pair_tool_calls",
 ]
@@ -65,6 +69,8 @@ def run(spark, sf_dir: str) -> tuple[dict[str, float], dict[str, float]]:
     for name, detect in DETECTORS.items():
         seconds[f"detect_{name}"] = timed(lambda: consume(detect(data)))
         per_case[name] = round(seconds[f"detect_{name}"] / n_cases, 5)
+    for name, evaluate in END_TO_END.items():
+        seconds[name] = timed(lambda: consume(evaluate(data)))
     for name in HEADLINE:
         seconds[name] = timed(lambda: consume(QUERIES[name](spark, sf_dir)))
     return seconds, per_case

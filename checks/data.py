@@ -15,7 +15,7 @@ from kinspot.operators.judge import pair_containment
 from kinspot.operators.replay import replay, validate
 from kinspot.plans.detectors import dense_hits, sparse_hits
 from kinspot.plans.indexing import CorpusIndex, build_indexes
-from kinspot.session import spread, written
+from kinspot.session import written
 
 # Source text of one module per part; <k> is its key and <n> its size.
 FUNCTION = """def make_<k>(size, price):
@@ -70,7 +70,7 @@ class TestData:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"))
+        return self.table("documents").repartition("doc_id")  # one small file here
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -136,7 +136,7 @@ class TestData:
     @cached_property
     def modules(self) -> DataFrame:
         """One source file text per part."""
-        return spread(self.table("part")).select(
+        return self.table("part").repartition("p_partkey").select(
             F.concat(F.lit("src/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"),
             "p_partkey",
             fill(MODULE, F.col("p_partkey"), F.col("p_size")).alias("content"),
@@ -208,6 +208,26 @@ class TestData:
             args = args.when(F.col("event_type") == event, arguments[event])
         return self.table("events").select(F.col("event_id").alias("seq"), tool.alias("tool"), args.alias("arguments"))
 
+    @cached_property
+    def hard_log(self) -> DataFrame:
+        """A log of the commands that are easily lost or misread, by event id."""
+        kind, n = F.col("event_id") % 10, F.col("event_id").cast("string")
+        name = F.concat(F.lit('"name": "u'), F.col("user_id").cast("string"), F.lit('"'))
+        add = lambda salary: F.concat(F.lit("{"), name, F.lit(', "role": "eng", "salary": '), salary, F.lit("}"))
+        tool = F.when(kind == 0, F.lit(None)).when(kind.isin(3, 9), F.lit("get_employee_salary")).otherwise(F.lit("add_employee"))
+        arguments = (
+            F.when(kind == 1, add(F.concat(F.lit('"'), n, F.lit('"'))))
+            .when(kind == 2, F.lit('{"name": {"x": 1}, "role": "eng", "salary": 1}'))
+            .when(kind == 3, F.concat(F.lit("{"), name, F.lit("} trailing")))
+            .when(kind == 4, add(F.concat(F.lit("1"), F.lpad(n, 18, "0"))))
+            .when(kind == 5, add(F.lit("100000000000000000000")))
+            .when(kind == 6, add(n))
+            .when(kind == 7, F.lit(None))
+            .when(kind == 8, F.lit("[1]"))
+            .otherwise(F.concat(F.lit("{"), name, F.lit("}")))
+        )
+        return self.table("events").select(F.col("event_id").alias("seq"), tool.alias("tool"), arguments.alias("arguments"))
+
     @cached_property
     def base(self) -> DataFrame:
         return self.table("supplier").select(

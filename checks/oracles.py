@@ -8,11 +8,27 @@ import math
 from collections import Counter
 
 from checks.data import FUNCTION, METHOD, MODULE, SMALL
-from kinspot.functions.text import TOKEN_PATTERN, WHITESPACE
-from kinspot.operators.judge import PROMPT_HEAD, PROMPT_TAIL
-
 ORACLES: dict[str, str] = {}
 
+# The rules are stated here again, so that a wrong one in the package shows.
+# --- fixed values ---
+WHITESPACE = r"\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TOKEN_PATTERN = rf"[A-Za-z0-9_]+|[^A-Za-z0-9_{WHITESPACE}]"
+PROMPT_HEAD = "You are a code plagiarism detector. Analyze if the QUERY code is plagiarized from any REFERENCE code."
+PROMPT_TAIL = """Determine:
+1. Is the query plagiarized? (YES/NO)
+2. If yes, which reference(s)?
+3. Plagiarism confidence (0.0-1.0)
+4. Brief explanation
+
+Return JSON:
+{
+  "is_plagiarized": true/false,
+  "confidence": 0.0-1.0,
+  "matched_references": [1, 2, ...],
+  "explanation": "brief reason"
+}"""
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -116,13 +132,15 @@ cases AS (
 
 
 def verdicts(hits: str, method: str) -> str:
+    """Containment verdicts; a sample has no scores and so no matches."""
+    matches = "NULL::VARCHAR" if hits == "sampled" else "string_agg(h.rank || ':' || h.doc_id, ' ' ORDER BY h.rank)"
     return f"""
     SELECT i.item_id AS query_id, {lit(method)} AS method,
            coalesce(max(containment) >= 0.8, false) AS is_match,
            coalesce(max(containment), 0) AS confidence,
            count(h.doc_id)::INT AS context_size,
            coalesce(string_agg(h.rank::VARCHAR, ' ' ORDER BY h.rank) FILTER (containment >= 0.8), '') AS matched_references,
-           NULL::VARCHAR AS error
+           NULL::VARCHAR AS error, {matches} AS matches
     FROM benchmark i LEFT JOIN (
       SELECT x.query_id, x.doc_id, x.rank, coalesce(s.containment, 0) AS containment
       FROM {hits} x LEFT JOIN shares s USING (query_id, doc_id)) h ON h.query_id = i.item_id
@@ -241,7 +259,7 @@ SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(raw_idf), 6) FROM raw) AS
        (SELECT count(*) FROM raw) AS n_terms FROM stats"""
 ORACLES["bm25_doc_stats"] = f"""
 SELECT doc_id, len({tokens('text')})::INT AS dl, len(list_distinct({tokens('text')}))::BIGINT AS n_terms FROM documents"""
-ORACLES["bm25_score"] = f"""WITH {LISTS}
+ORACLES["bm25_rescore_pairs"] = f"""WITH {LISTS}
 SELECT d.query_id, d.doc_id, coalesce(b.score, 0) AS score FROM dense d LEFT JOIN bm25 b USING (query_id, doc_id)"""
 ORACLES["dense_topk_text"] = f"WITH {LISTS} SELECT * FROM dense"
 ORACLES["sparse_topk"] = f"WITH {BM25} SELECT * FROM {ranked('bm25', 20)}"
@@ -289,18 +307,20 @@ ORACLES["judge_by_containment"] = f"""WITH {HYBRID}, {CONTAINED}
 SELECT query_id, doc_id, rank, coalesce(containment, 0) AS containment FROM hybrid LEFT JOIN shares USING (query_id, doc_id)"""
 ORACLES["parse_judge_answers"] = """
 SELECT doc_id,
-  CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 3 THEN NULL ELSE false END AS is_match,
-  CASE doc_id % 6 WHEN 0 THEN ('0.' || doc_id)::DOUBLE WHEN 1 THEN ('0.' || doc_id)::DOUBLE WHEN 3 THEN NULL WHEN 5 THEN 0.25 ELSE 0 END AS confidence,
-  CASE WHEN doc_id % 6 IN (0, 1) THEN '1 ' || doc_id ELSE '' END AS matched_references,
-  CASE doc_id % 6 WHEN 0 THEN 'copy of ' || doc_id WHEN 1 THEN 'copy of ' || doc_id WHEN 3 THEN NULL WHEN 5 THEN 'none' ELSE 'Parse error' END AS explanation,
-  CASE WHEN doc_id % 6 = 3 THEN 'missing field' END AS error
+  CASE WHEN doc_id % 12 IN (3, 11) THEN NULL ELSE doc_id % 12 IN (0, 1, 4, 6, 7, 8, 9) END AS is_match,
+  CASE WHEN doc_id % 12 IN (0, 1) THEN ('0.' || doc_id)::DOUBLE WHEN doc_id % 12 IN (3, 11) THEN NULL WHEN doc_id % 12 = 4 THEN 1
+    WHEN doc_id % 12 = 5 THEN 0.25 WHEN doc_id % 12 IN (6, 7, 8) THEN 0.5 WHEN doc_id % 12 = 9 THEN 0.9 ELSE 0 END AS confidence,
+  CASE WHEN doc_id % 12 IN (0, 1) THEN '1 ' || doc_id WHEN doc_id % 12 IN (6, 8) THEN '1 2' ELSE '' END AS matched_references,
+  CASE WHEN doc_id % 12 IN (0, 1) THEN 'copy of ' || doc_id WHEN doc_id % 12 IN (3, 11) THEN NULL WHEN doc_id % 12 = 4 THEN 'x'
+    WHEN doc_id % 12 = 5 THEN 'none' WHEN doc_id % 12 IN (6, 7, 8, 9) THEN 's' ELSE 'Parse error' END AS explanation,
+  CASE doc_id % 12 WHEN 3 THEN 'missing field' WHEN 11 THEN 'not an object' END AS error
 FROM documents"""
 ORACLES["judge_with_callable"] = f"""WITH {HYBRID},
-held AS (SELECT h.query_id, h.rank, contains(d.text, i.text) AS hit
+held AS (SELECT h.query_id, h.rank, h.doc_id, contains(d.text, i.text) AS hit
          FROM hybrid h JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = h.query_id)
 SELECT query_id, 'verbatim' AS method, bool_or(hit) AS is_match, bool_or(hit)::INT::DOUBLE AS confidence,
        count(*)::INT AS context_size, coalesce(string_agg(rank::VARCHAR, ' ' ORDER BY rank) FILTER (hit), '') AS matched_references,
-       NULL::VARCHAR AS error
+       NULL::VARCHAR AS error, string_agg(rank || ':' || doc_id, ' ' ORDER BY rank) AS matches
 FROM held GROUP BY query_id"""
 
 # --- labelled sets ----------------------------------------------------------------------
@@ -384,6 +404,14 @@ SELECT p_partkey AS left_id, -p_partkey - 1 AS right_id, CASE WHEN p_size % 2 =
   THEN {trigram_cosine(example(MODULE), example(FUNCTION))} ELSE {trigram_cosine(example(MODULE), example('class A:' + chr(10) + METHOD))}
   END AS structure_similarity FROM part"""
 
+ORACLES["rebuild_indexes"] = f"""
+WITH now AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text
+  FROM documents WHERE doc_id % 3 <> 1)
+SELECT doc_id, round(length(text) / sqrt(length(text)::DOUBLE ** 2 + 10000), 6) AS first_number, len({tokens('text')})::INT AS dl,
+  CASE WHEN doc_id % 3 = 2 AND doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_embedded
+FROM now"""
+
 # --- evaluation ---------------------------------------------------------------------------
 
 ORACLES["case_labels"] = f"WITH {TERMS}, {CASES} SELECT case_id, y_true FROM cases"
@@ -481,9 +509,10 @@ tools AS (
 parsed AS (
   SELECT seq, log.tool, required, allowed, json_valid(arguments) AS good,
     CASE WHEN json_valid(arguments) THEN json_keys(arguments) END AS ks,
-    CASE WHEN json_valid(arguments) THEN json_extract_string(arguments, '$.name') END AS name,
-    CASE WHEN json_valid(arguments) THEN json_extract_string(arguments, '$.role') END AS role,
-    CASE WHEN json_valid(arguments) THEN TRY_CAST(json_extract_string(arguments, '$.salary') AS BIGINT) END AS salary
+    CASE WHEN json_valid(arguments) AND json_type(arguments, '$.name') = 'VARCHAR' THEN json_extract_string(arguments, '$.name') END AS name,
+    CASE WHEN json_valid(arguments) AND json_type(arguments, '$.role') = 'VARCHAR' THEN json_extract_string(arguments, '$.role') END AS role,
+    CASE WHEN json_valid(arguments) AND json_type(arguments, '$.salary') IN ('BIGINT', 'UBIGINT')
+      THEN TRY_CAST(json_extract_string(arguments, '$.salary') AS BIGINT) END AS salary
   FROM log LEFT JOIN tools ON tools.tool = log.tool),
 commands AS (
   SELECT seq, tool, name, role, salary,
@@ -540,6 +569,25 @@ versions AS (
 ORACLES["validate_commands"] = f"WITH {LOG} SELECT * FROM commands"
 ORACLES["replay_statuses"] = f"WITH {REPLAY} SELECT * FROM outcome"
 ORACLES["replay_summary"] = f"WITH {REPLAY} SELECT tool, status, count(*) AS n_commands FROM outcome GROUP BY ALL"
+ORACLES["replay_sparse_positions"] = f"WITH {REPLAY} SELECT * REPLACE (seq * 1000000000 AS seq) FROM outcome"
+ORACLES["replay_one_status_per_command"] = """
+WITH e AS (SELECT event_id AS seq, event_id % 10 AS kind, 'u' || user_id AS name FROM events),
+adds AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) = 1 AS first,
+    CASE kind WHEN 4 THEN 1000000000000000000 + seq ELSE seq END AS pay
+  FROM e WHERE kind IN (4, 6)),
+held AS (SELECT *, row_number() OVER (ORDER BY seq) AS id FROM adds WHERE first)
+SELECT e.seq,
+  CASE WHEN e.kind = 0 THEN NULL WHEN e.kind IN (3, 9) THEN 'get_employee_salary' ELSE 'add_employee' END AS tool,
+  CASE WHEN h.seq = e.seq OR e.kind = 9 AND h.seq < e.seq THEN 'success' ELSE 'error' END AS status,
+  CASE WHEN e.kind = 0 THEN 'Unknown tool: null'
+    WHEN e.kind IN (1, 2, 5) THEN 'Invalid arguments: bad value'
+    WHEN e.kind IN (3, 7, 8) THEN 'Invalid arguments: not a JSON object'
+    WHEN e.kind IN (4, 6) AND h.seq = e.seq THEN 'Added ' || e.name || ' with ID ' || h.id
+    WHEN e.kind IN (4, 6) THEN 'Employee ' || e.name || ' already exists'
+    WHEN e.kind = 9 AND coalesce(h.seq < e.seq, false) THEN NULL ELSE 'Employee ' || e.name || ' not found' END AS message,
+  CASE WHEN e.kind = 9 AND h.seq < e.seq THEN h.pay END AS salary
+FROM e LEFT JOIN held h ON h.name = e.name"""
 ORACLES["replay_final_table"] = f"WITH {REPLAY} SELECT id, name, role, salary FROM versions WHERE valid_to IS NULL"
 ORACLES["replay_asof_lookup"] = f"""WITH {REPLAY}
 SELECT seq, name, ok AS found, CASE WHEN ok THEN old_salary END AS salary FROM replayed WHERE tool = 'get_employee_salary'"""
@@ -589,7 +637,9 @@ ORACLES["assemble_transcripts"] = f"""WITH {TRANSCRIPT}
 SELECT conv_id, position, turn, role, md5(content) AS content_md5 FROM lines"""
 ORACLES["transcript_pages"] = f"""WITH {TRANSCRIPT}
 SELECT conv_id, position // 3 AS page, count(*)::INT AS n_messages, string_agg(role, ' ' ORDER BY position) AS roles,
-  md5(string_agg(content, '|' ORDER BY position)) AS content_md5 FROM lines GROUP BY ALL"""
+  md5(string_agg(content, '|' ORDER BY position)) AS content_md5,
+  string_agg(CASE role WHEN 'assistant' THEN 'c' || turn ELSE '-' END, ' ' ORDER BY position) AS calls,
+  string_agg(CASE role WHEN 'user' THEN 'u' || turn ELSE '-' END, ' ' ORDER BY position) AS answers FROM lines GROUP BY ALL"""
 ORACLES["pair_tool_calls"] = """
 WITH calls AS (
   SELECT conv_id, turn, 'call-' || turn || s AS tool_call_id, 'get_employee_salary' AS tool,

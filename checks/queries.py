@@ -29,7 +29,7 @@ from kinspot.operators.judge import build_prompts, judge_containment, pair_conta
 from kinspot.operators.sparse import bm25_score_pairs, term_counts
 from kinspot.plans import detectors as dt
 from kinspot.plans import evaluation as pe
-from kinspot.plans.indexing import index_sizes
+from kinspot.plans.indexing import build_indexes, index_sizes, load_indexes
 from kinspot.session import new_path, written
 from kinspot.sources import tables as tb
 from kinspot.sources.code_files import extract_functions, scan_files
@@ -250,7 +250,7 @@ def bm25_doc_stats(d: TestData) -> DataFrame:
 
 
 @query
-def bm25_score(d: TestData) -> DataFrame:
+def bm25_rescore_pairs(d: TestData) -> DataFrame:
     return bm25_score_pairs(d.index.sparse, d.queries, d.dense)
 
 
@@ -273,7 +273,7 @@ def sparse_topk(d: TestData) -> DataFrame:
 def sparse_topk_thresholds(d: TestData) -> DataFrame:
     from kinspot.operators.sparse import sparse_topk as topk
 
-    return topk(d.index.sparse, d.queries, d.K, direct_matches=0)
+    return topk(d.index.sparse, d.queries, d.K, probe_rows=50)
 
 
 @query
@@ -307,6 +307,7 @@ def _flat(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(
         "query_id", "method", "is_match", r6("confidence").alias("confidence"), "context_size",
         joined(F.transform("matched_references", lambda x: x.cast("string"))).alias("matched_references"), "error",
+        _matches_text("matches").alias("matches"),
     )
 
 
@@ -356,14 +357,21 @@ def parse_judge_answers(d: TestData) -> DataFrame:
         F.lit('{"is_plagiarized": true, "confidence": 0.'), n,
         F.lit(', "matched_references": [1, '), n, F.lit('], "explanation": "copy of '), n, F.lit('"}'),
     )
-    kind = F.col("doc_id") % 6
+    kind = F.col("doc_id") % 12
+    refs_of = lambda refs: F.lit(f'{{"is_plagiarized": true, "confidence": 0.5, "matched_references": {refs}, "explanation": "s"}}')
     response = (
         F.when(kind == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
         .when(kind == 1, good)
         .when(kind == 2, F.col("text"))
         .when(kind == 3, F.lit('{"is_plagiarized": true}'))
         .when(kind == 4, F.lit('{"is_plagiarized": "yes", "confidence": 1.0, "explanation": "x"}'))
-        .otherwise(F.lit(' {"is_plagiarized": false, "confidence": 0.25, "explanation": "none"} '))
+        .when(kind == 5, F.lit(' {"is_plagiarized": false, "confidence": 0.25, "explanation": "none"} '))
+        .when(kind == 6, refs_of('["1", "2"]'))
+        .when(kind == 7, refs_of('"1, 2"'))
+        .when(kind == 8, refs_of("[1.0, 2.0]"))
+        .when(kind == 9, F.lit('{"is_plagiarized": true, "confidence": "0.9", "explanation": "s"}'))
+        .when(kind == 10, F.concat(good, F.lit(" I hope this helps.")))
+        .otherwise(F.lit("[1]"))
     )
     parsed = parse_verdicts(d.documents.select("doc_id", response.alias("response")))
     refs = joined(F.transform("matched_references", lambda x: x.cast("string")))
@@ -386,6 +394,24 @@ def judge_with_callable(d: TestData) -> DataFrame:
     return _flat(dt.judge_contexts(d.index, d.queries, d.hybrid, "verbatim", judge=_verbatim_judge))
 
 
+@query
+def rebuild_indexes(d: TestData) -> DataFrame:
+    """A second build on one path: some texts changed, some documents new, some gone."""
+    path = new_path(d.spark, "rebuilt")
+    embed = lambda texts: [[float(len(t)), 100.0] for t in texts]
+    first = d.documents.where(F.col("doc_id") % 3 != 0).select("doc_id", "text")
+    build_indexes(first, path, embed=embed, embedder="length")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    build_indexes(d.documents.where(F.col("doc_id") % 3 != 1).select("doc_id", text.alias("text")), path, embed=embed, embedder="length")
+    served = load_indexes(d.spark, path, embed=embed, embedder="length")
+    embedded = d.spark.read.parquet(f"{path}/embeddings-length").groupBy("doc_id").agg(F.count("*").alias("n_embedded"))
+    return (
+        served.dense.select("doc_id", r6(F.col("unit_vec")[0]).alias("first_number"))
+        .join(served.sparse.doc_stats.select("doc_id", "dl"), "doc_id")
+        .join(embedded, "doc_id")
+    )
+
+
 # --- labelled sets ------------------------------------------------------------------
 
 
@@ -655,6 +681,20 @@ def replay_table_as_of(d: TestData) -> DataFrame:
     return rp.table_as_of(rp.row_versions(d.replayed), middle)
 
 
+@query
+def replay_one_status_per_command(d: TestData) -> DataFrame:
+    """Null tools, wrong types, text after the object and large integers: no command is lost or misread."""
+    commands = written(rp.validate(d.hard_log), "hard_commands")
+    return rp.statuses(commands, rp.replay(commands))
+
+
+@query
+def replay_sparse_positions(d: TestData) -> DataFrame:
+    """The same log with positions as far apart as in epoch nanoseconds."""
+    far = written(d.commands.withColumn("seq", F.col("seq") * 1_000_000_000), "sparse_commands")
+    return rp.statuses(far, rp.replay(far, d.base, span=5000))
+
+
 @query
 def replay_summary(d: TestData) -> DataFrame:
     return rp.summary(rp.statuses(d.commands, d.replayed))
@@ -675,10 +715,17 @@ def assemble_transcripts(d: TestData) -> DataFrame:
 
 @query
 def transcript_pages(d: TestData) -> DataFrame:
-    p = tr.pages(tr.assemble(_messages(d), system="default"), page_size=3)
+    turn = F.col("turn").cast("string")
+    called = _messages(d).select(
+        "*", F.when(F.col("role") == "assistant", F.array(F.struct(F.concat(F.lit("c"), turn).alias("id")))).alias("tool_calls"),
+        F.when(F.col("role") == "user", F.concat(F.lit("u"), turn)).alias("tool_call_id"),
+    )
+    p = tr.pages(tr.assemble(called, system="default"), page_size=3)
     return p.select(
         "conv_id", "page", F.size("messages").alias("n_messages"), joined(F.col("messages.role")).alias("roles"),
         F.md5(joined(F.col("messages.content"), "|")).alias("content_md5"),
+        joined(F.transform("messages", lambda m: F.coalesce(m["tool_calls"][0]["id"], F.lit("-")))).alias("calls"),
+        joined(F.transform("messages", lambda m: F.coalesce(m["tool_call_id"], F.lit("-")))).alias("answers"),
     )
 
 

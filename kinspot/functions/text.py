@@ -76,3 +76,16 @@ def containment(query_tokens: Column, context_tokens: Column) -> Column:
     distinct = F.array_distinct(query_tokens)
     shared = F.size(F.array_intersect(distinct, context_tokens))
     return F.coalesce(F.try_divide(shared, F.size(distinct)), F.lit(0.0))
+
+
+def whole_json(text: str | Column) -> Column:
+    """A variant of text that is one JSON value and nothing else; null for any other text.
+
+    The JSON parser accepts text after a value, so the value is parsed inside
+    an object whose last member must be found intact. An object that names a
+    key twice is not accepted.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    enclosed = F.try_parse_json(F.concat(F.lit('{"a":'), column, F.lit(',"z":0}')))
+    members = F.try_variant_get(enclosed, "$", "map<string,variant>")
+    return F.when(F.size(members) == 2, F.try_element_at(members, F.lit("a")))

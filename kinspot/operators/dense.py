@@ -5,19 +5,24 @@ is everything around the arithmetic. Vectors are packed into blocks, a block
 of queries meets a block of the corpus once as a matrix product inside a task,
 and only the k best rows per query leave the task.
 
-Query blocks meet corpus blocks through an equi-join on a lane number. A query
-side below a checked size has one lane and is broadcast, and the corpus does
-not move. A larger one is copied to every lane, each corpus block belongs to
-one lane, and the join shuffles by lane.
+Query blocks meet corpus blocks on a grid: each corpus block has a lane and is
+copied to every group of query blocks, each query block has a group and is
+copied to every lane, and both sides are joined on the two numbers. The grid's
+sides follow from the numbers of blocks. Spark broadcasts a side that is below
+its own threshold.
+
+Vectors that are null or hold null or non-finite numbers have no similarity to
+anything; they are left out on both sides, and ``unsound_vectors`` lists them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspot.functions.vectors import SCORE_DIGITS, as_vector, l2_normalize
@@ -25,18 +30,33 @@ from kinspot.operators.topk import top_k
 from kinspot.session import written
 
 BLOCK_ROWS = 1024
-# Query vectors up to this size are broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Products of two blocks that one task works off, about.
+TASK_PRODUCTS = 64
 
-_BLOCKS = "ids array<bigint>, vectors array<double>"
-_HITS = "query_id bigint, doc_id bigint, score double"
 
+def _sound(vector: Column | str) -> Column:
+    v = F.col(vector) if isinstance(vector, str) else vector
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & F.coalesce(finite, F.lit(False))
 
-def build_dense_index(embeddings: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
-    """Unit vectors by id; written as Parquet this is the dense index."""
-    return embeddings.select(
-        F.col(id_col).alias("doc_id"), l2_normalize(as_vector(vec_col)).alias("unit_vec")
-    )
+
+def unsound_vectors(embeddings: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
+    """``doc_id, problem`` of vectors that cannot be searched: null, not finite, or not of length ``dim``."""
+    v = as_vector(vec_col)
+    problem = F.when(v.isNull(), F.lit("null")).when(~_sound(v), F.lit("not finite"))
+    if dim is not None:
+        problem = problem.when(F.size(v) != dim, F.lit("wrong length"))
+    return embeddings.select(F.col(id_col).alias("doc_id"), problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def build_dense_index(embeddings: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
+    """Unit vectors by id; written as Parquet this is the dense index.
+
+    What :func:`unsound_vectors` lists is not in it.
+    """
+    v = as_vector(vec_col)
+    kept = _sound(v) if dim is None else _sound(v) & (F.size(v) == dim)
+    return embeddings.where(kept).select(F.col(id_col).alias("doc_id"), l2_normalize(v).alias("unit_vec"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,65 +76,74 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack_blocks(vectors: DataFrame) -> DataFrame:
     """Pack ``(id, unit vector)`` rows into blocks of ids and one flat array."""
     id_col, vec_col = vectors.columns
-    return vectors.select(F.col(id_col).cast("bigint"), vec_col).mapInArrow(_pack, _BLOCKS)
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    return vectors.where(_sound(vec_col)).mapInArrow(_pack, f"ids array<{id_type}>, vectors array<double>")
 
 
 def _block_topk(k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q_flat, d_ids, d_flat = (
-                    batch.column(name)[row].values.to_numpy(zero_copy_only=False)
-                    for name in ("q_ids", "q_vectors", "ids", "vectors")
-                )
+                q_list, d_list = (batch.column(name)[row].values for name in ("q_ids", "ids"))
+                q_flat, d_flat = (batch.column(name)[row].values.to_numpy(zero_copy_only=False) for name in ("q_vectors", "vectors"))
+                q_ids, d_ids = q_list.to_numpy(zero_copy_only=False), d_list.to_numpy(zero_copy_only=False)
                 scores = q_flat.reshape(len(q_ids), -1) @ d_flat.reshape(len(d_ids), -1).T
                 scores = np.round(scores, SCORE_DIGITS) + 0.0
+                allowed = np.ones(scores.shape, bool)
                 if exclude_self:
-                    scores[q_ids[:, None] == d_ids[None, :]] = -np.inf
-                # order columns by id once, so that equal scores keep the smaller id
-                by_id = np.argsort(d_ids, kind="stable")
-                best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-                values = np.take_along_axis(scores, best, axis=1)
-                real = np.isfinite(values)
+                    allowed = np.asarray(q_ids[:, None] != d_ids[None, :], bool)
+                    scores = np.where(allowed, scores, -np.inf)
+                # the k-th best score of each row; equal ones all stay until ids decide
+                at = max(0, scores.shape[1] - k)
+                least = np.partition(scores, at, axis=1)[:, at : at + 1]
+                rows, columns = np.nonzero(allowed & (scores >= least))
+                by_id = np.empty(len(d_ids), np.int64)
+                by_id[np.argsort(d_ids, kind="stable")] = np.arange(len(d_ids))
+                order = np.lexsort((by_id[columns], -scores[rows, columns], rows))
+                rows, columns = rows[order], columns[order]
+                kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                rows, columns = rows[kept], columns[kept]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(q_ids, best.shape[1])[real.ravel()]),
-                        pa.array(d_ids[best][real]),
-                        pa.array(values[real]),
-                    ],
+                    [q_list.take(pa.array(rows)), d_list.take(pa.array(columns)), pa.array(scores[rows, columns])],
                     names=["query_id", "doc_id", "score"],
                 )
 
     return run
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")
+
+
 def dense_topk(
     index: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False, lanes: int | None = None
 ) -> DataFrame:
     """Exact top-k by inner product: ``query_id, doc_id, score, rank``.
 
-    ``index`` is ``(doc_id, unit_vec)``, ``queries`` is ``(query_id, unit_vec)``.
-    With ``exclude_self`` a vector is not its own neighbour.
+    ``index`` is ``(doc_id, unit_vec)``, ``queries`` is ``(query_id, unit_vec)``;
+    ids may be of any type that can be ordered. With ``exclude_self`` a vector
+    is not its own neighbour. ``lanes`` overrides the grid with one group.
     """
-    spark = index.sparkSession
     blocks = written(
         pack_blocks(queries.select("query_id", "unit_vec")).select(
             F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
         ),
         "query_blocks",
     )
-    size = blocks.agg(F.coalesce(F.sum(F.size("q_vectors") * F.lit(8)), F.lit(0))).first()[0]
-    small = size <= BROADCAST_BYTES and lanes is None
+    groups = 1
     if lanes is None:
-        lanes = 1 if small else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    corpus = pack_blocks(index.select("doc_id", "unit_vec")).withColumn(
-        "lane", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(lanes).cast("bigint"))
-    )
-    spread = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<bigint>")))
-    if small:
-        spread = F.broadcast(spread)
-    met = corpus.join(spread, "lane").select("q_ids", "q_vectors", "ids", "vectors")
-    return top_k(met.mapInArrow(_block_topk(k, exclude_self), _HITS), k)
+        n_query, n_corpus = max(1, blocks.count()), max(1, math.ceil(index.count() / BLOCK_ROWS))
+        tasks = n_query * n_corpus / TASK_PRODUCTS
+        lanes = min(n_corpus, max(1, math.ceil(math.sqrt(tasks * n_corpus / n_query))))
+        groups = min(n_query, max(1, math.ceil(tasks / lanes)))
+    lane = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(lanes).cast("bigint"))
+    group = F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(groups).cast("bigint"))
+    corpus = pack_blocks(index.select("doc_id", "unit_vec")).withColumn("lane", lane).withColumn("group", F.explode(_numbers(groups)))
+    asked = blocks.withColumn("group", group).withColumn("lane", F.explode(_numbers(lanes)))
+    met = corpus.join(asked, ["lane", "group"]).select("q_ids", "q_vectors", "ids", "vectors")
+    kinds = (queries.schema["query_id"].dataType.simpleString(), index.schema["doc_id"].dataType.simpleString())
+    hits = met.mapInArrow(_block_topk(k, exclude_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top_k(hits, k)
 
 
 def max_corpus_similarity(index: DataFrame, items: DataFrame, exclude_self: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinspot.functions.vectors import HASH_DIM, hash_bucket
 from kinspot.operators.sparse import term_counts
+from kinspot.session import table_exists, written
 
 # --- fixed values -----------------------------------------------------------
 EMBED_BATCH = 128
@@ -76,22 +77,25 @@ def embed_column(
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_size: int = EMBED_BATCH,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Embed a text column with a user's model, ``batch_size`` texts per call.
 
-    The callable runs inside the tasks, so the calls go out in parallel.
+    The callable runs inside the tasks, so the calls go out in parallel. The
+    columns ``keep`` stay beside the embedding.
     """
+    keep = list(keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
                 vectors = [list(map(float, v)) for v in embed(part["text"].tolist())]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "embedding": vectors})
+                yield part[["doc_id", *keep]].assign(embedding=vectors)
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {id_type}, embedding array<double>")
+    source = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ["doc_id", *keep])
+    return source.mapInPandas(run, f"{kinds}, embedding array<double>")
 
 
 def missing_embeddings(docs: DataFrame, stored: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,12 +113,11 @@ def embed_missing(docs: DataFrame, path: str, embed: Embedder, text_col: str = "
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_hash string, embedding array<double>"
-    # an append of no rows creates the table on first use
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    if not table_exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
     stored = spark.read.schema(schema).parquet(path)
-    todo = missing_embeddings(docs, stored, text_col)
-    keys = todo.select("doc_id", "text_hash")
-    fresh = embed_column(todo, embed, text_col=text_col).join(keys, "doc_id")
-    fresh.select("doc_id", "text_hash", "embedding").write.mode("append").parquet(path)
+    todo = written(missing_embeddings(docs, stored, text_col).select("doc_id", "text_hash", text_col), "to_embed")
+    if not todo.isEmpty():
+        embed_column(todo, embed, text_col=text_col, keep=["text_hash"]).write.mode("append").parquet(path)
     current = docs.select("doc_id", F.sha2(F.col(text_col), 256).alias("text_hash"))
     return spark.read.schema(schema).parquet(path).join(current, ["doc_id", "text_hash"], "left_semi")

@@ -8,9 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kinspot.functions.text import strip_fences, tokenize
+from kinspot.functions.text import strip_fences, tokenize, whole_json
 from kinspot.session import written
 
 # --- fixed values: prompt and answer formats ---------------------------------
@@ -34,16 +33,6 @@ CONTAINMENT_THRESHOLD = 0.8
 FALLBACK_EXPLANATION = "Parse error"
 # -----------------------------------------------------------------------------
 
-ANSWER = T.StructType(
-    [
-        T.StructField("is_plagiarized", T.BooleanType()),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("matched_references", T.ArrayType(T.IntegerType())),
-        T.StructField("explanation", T.StringType()),
-        T.StructField("_corrupt", T.StringType()),
-    ]
-)
-
 # Leading hash digits counted by sample_rows; at most 16 ** 3 counts.
 SAMPLE_DIGITS = 3
 
@@ -113,16 +102,19 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
 def ask_judge(prompts: DataFrame, judge: Judge, batch_size: int = 16) -> DataFrame:
     """Send prompts to a user's judge from inside the tasks.
 
-    Returns ``query_id, response, error, elapsed``. When a call fails, its
-    prompts are sent one by one, and those that fail again keep their error.
+    Returns ``query_id, response, error, elapsed``. When a call fails, each
+    half of its prompts is sent again by itself, down to the single prompts
+    that fail, which keep their error.
     """
 
-    def one_by_one(texts: list[str]) -> Iterator[tuple[str | None, str | None]]:
-        for text in texts:
-            try:
-                yield judge([text])[0], None
-            except Exception as failure:  # noqa: BLE001 - any failure is the case's error
-                yield None, str(failure) or type(failure).__name__
+    def answered(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            return [(answer, None) for answer in judge(texts)]
+        except Exception as failure:  # noqa: BLE001 - any failure is the case's error
+            if len(texts) == 1:
+                return [(None, str(failure) or type(failure).__name__)]
+            half = len(texts) // 2
+            return answered(texts[:half]) + answered(texts[half:])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -130,10 +122,7 @@ def ask_judge(prompts: DataFrame, judge: Judge, batch_size: int = 16) -> DataFra
                 part = frame.iloc[start : start + batch_size]
                 texts = part["prompt"].tolist()
                 begun = time.perf_counter()
-                try:
-                    answers = [(answer, None) for answer in judge(texts)]
-                except Exception:  # noqa: BLE001
-                    answers = list(one_by_one(texts))
+                answers = answered(texts)
                 elapsed = (time.perf_counter() - begun) / len(texts)
                 out = pd.DataFrame(answers, columns=["response", "error"], dtype=object)
                 yield out.assign(query_id=part["query_id"].to_numpy(), elapsed=elapsed)
@@ -147,29 +136,41 @@ def ask_judge(prompts: DataFrame, judge: Judge, batch_size: int = 16) -> DataFra
 def parse_verdicts(responses: DataFrame, response: str = "response") -> DataFrame:
     """Read judge answers into ``is_match, confidence, matched_references, explanation, error``.
 
-    Text that is not the expected JSON gives the fallback verdict; JSON that
-    lacks a field is an error row, and so is a row that already has an ``error``.
+    Each field is read by itself, so a reference list of another type spoils
+    nothing. Text that is not one JSON value gives the fallback verdict; JSON
+    that is no object or lacks a field is an error row, and so is a row that
+    already has an ``error``. A null field is lacking. Any value of
+    ``is_plagiarized`` but false, 0 and the empty text counts as yes. Numbers may stand in quotes.
     """
     failed = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
-    parsed = F.from_json(
-        strip_fences(response), ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = responses.withColumn("_json", whole_json(strip_fences(response)))
+    rows = rows.withColumn("_answer", F.try_variant_get("_json", "$", "map<string,variant>"))
+    value = {name: F.try_element_at("_answer", F.lit(name)) for name in ("is_plagiarized", "confidence", "matched_references", "explanation")}
+    match, kind = value["is_plagiarized"], F.schema_of_variant(value["is_plagiarized"])
+    yes = (
+        F.when(kind == "BOOLEAN", F.try_variant_get(match, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(match, "$", "string") != "")
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(match, "$", "double") != 0)
+        .when(kind != "VOID", F.lit(True))
     )
-    rows = responses.withColumn("_answer", parsed)
-    a = F.col("_answer")
-    bad = a.isNull() | a["_corrupt"].isNotNull()
-    incomplete = a["is_plagiarized"].isNull() | a["confidence"].isNull() | a["explanation"].isNull()
+    confidence = F.try_variant_get(value["confidence"], "$", "double")
+    explanation = F.try_variant_get(value["explanation"], "$", "string")
+    bad = F.col("_json").isNull()
+    incomplete = yes.isNull() | confidence.isNull() | explanation.isNull()
 
-    def field(name: str, fallback: Column) -> Column:
-        return F.when(failed.isNull(), F.when(bad, fallback).otherwise(F.when(~incomplete, a[name])))
+    def field(found: Column, fallback: Column) -> Column:
+        return F.when(failed.isNull(), F.when(bad, fallback).otherwise(F.when(~incomplete, found)))
 
     none = F.array().cast("array<int>")
+    references = F.coalesce(F.try_variant_get(value["matched_references"], "$", "array<int>"), none)
+    problem = F.when(~bad, F.when(F.col("_answer").isNull(), F.lit("not an object")).when(incomplete, F.lit("missing field")))
     return rows.select(
         *[c for c in responses.columns if c not in (response, "error")],
-        field("is_plagiarized", F.lit(False)).alias("is_match"),
-        field("confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce(field("matched_references", none), none).alias("matched_references"),
-        field("explanation", F.lit(FALLBACK_EXPLANATION)).alias("explanation"),
-        F.coalesce(failed, F.when(~bad & incomplete, F.lit("missing field"))).alias("error"),
+        field(yes, F.lit(False)).alias("is_match"),
+        field(confidence, F.lit(0.0)).alias("confidence"),
+        F.coalesce(field(references, none), none).alias("matched_references"),
+        field(explanation, F.lit(FALLBACK_EXPLANATION)).alias("explanation"),
+        F.coalesce(failed, problem).alias("error"),
     )
 
 

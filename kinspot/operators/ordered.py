@@ -1,10 +1,12 @@
 """Ordered running state that stays parallel when one key holds most rows.
 
 A window partitioned by key alone puts a hot key into a single task. Here the
-order column is cut into spans; each (key, span) is summarised with a map-side
-combined aggregate, the short summaries are scanned per key, and the state at
-the start of each span is joined back. Rows are only ever grouped by
-(key, span), and a span holds at most ``span`` rows as the order is unique.
+rows are range partitioned by the order column into spans of about ``span``
+rows, however sparse its values are; each (key, span) is summarised with a
+map-side combined aggregate, the short summaries are scanned per key, and the
+state at the start of each span is joined back. Rows are only ever grouped by
+(key, span), and a key has one summary for each ``span`` rows of the whole
+table at most. Rows of equal order stay in one span.
 """
 
 from __future__ import annotations
@@ -14,12 +16,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspot.session import written
+
+#: rows of a span, about
 DEFAULT_SPAN = 100_000
 _SPAN = "_span"
 
 
 def _with_span(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn(_SPAN, F.floor(F.col(order) / F.lit(span)))
+    """Rows with the number of their span, in a written table, so that every reader finds the same spans."""
+    rows = written(df, "ordered_rows")
+    n = max(1, -(-rows.count() // span))
+    return written(rows.repartitionByRange(n, order).withColumn(_SPAN, F.spark_partition_id()), "spans")
 
 
 def last_before(
@@ -31,9 +39,7 @@ def last_before(
 ) -> DataFrame:
     """Add, per output name, the last non-null value of earlier rows of the key."""
     keys = list(keys)
-    rows = _with_span(df, order, span)
-    for out, value in values.items():
-        rows = rows.withColumn(f"_v_{out}", value)
+    rows = _with_span(df.select("*", *[value.alias(f"_v_{out}") for out, value in values.items()]), order, span)
     summary = rows.groupBy(*keys, _SPAN).agg(
         *[
             F.max_by(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), F.col(order))).alias(f"_s_{out}")
@@ -66,9 +72,8 @@ def running_sum(
 ) -> DataFrame:
     """Add running sums up to and including the row, per key (or over all rows)."""
     keys = list(keys)
-    rows = _with_span(df, order, span)
-    for out, value in values.items():
-        rows = rows.withColumn(f"_v_{out}", F.coalesce(value, F.lit(0)))
+    valued = [F.coalesce(value, F.lit(0)).alias(f"_v_{out}") for out, value in values.items()]
+    rows = _with_span(df.select("*", *valued), order, span)
     summary = rows.groupBy(*keys, _SPAN).agg(*[F.sum(f"_v_{out}").alias(f"_s_{out}") for out in values])
     over_spans = Window.partitionBy(*keys).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(

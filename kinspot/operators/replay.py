@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinspot.functions.text import whole_json
 from kinspot.operators.ordered import DEFAULT_SPAN, last_before, running_sum
-from kinspot.session import written
+from kinspot.session import table_exists, written
 
 # --- fixed values: commands, their arguments, and messages ---------------------
 INIT, ADD, DELETE, LIST, LOOKUP, UPDATE = (
@@ -29,15 +30,24 @@ TOOLS = {  # tool -> (required arguments, optional arguments)
     UPDATE: (["name", "salary"], []),
 }
 TABLE_SCHEMA = "id bigint, name string, role string, salary bigint"
+ARGUMENTS = {"name": ("STRING", "string"), "role": ("STRING", "string"), "salary": ("BIGINT", "bigint")}  # kind in JSON, type
 OK, ERROR = "success", "error"
+UNKNOWN_TOOL = "Unknown tool: "
+NOT_AN_OBJECT, MISSING, UNEXPECTED, BAD_VALUE = (
+    f"Invalid arguments: {x}" for x in ("not a JSON object", "missing argument", "unexpected argument", "bad value")
+)
+EMPLOYEE, ADDED, WITH_ID, EXISTS, NOT_FOUND, DELETED, UPDATED, NEW_SALARY, INITIALIZED = (
+    "Employee ", "Added ", " with ID ", " already exists", " not found", "Deleted ", "Updated ", "'s salary to $", "Database initialized",
+)
 # -------------------------------------------------------------------------------
 
 _KEYED = (ADD, DELETE, LOOKUP, UPDATE)
 
 
 def create_table(spark, path: str) -> DataFrame:
-    """Create the empty table at ``path`` unless it exists; return it."""
-    spark.createDataFrame([], TABLE_SCHEMA).write.mode("append").parquet(path)
+    """Create the empty table at ``path`` unless there is one; return it."""
+    if not table_exists(spark, path):
+        spark.createDataFrame([], TABLE_SCHEMA).write.parquet(path)
     return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
@@ -48,37 +58,40 @@ def _names(values: list[str]) -> Column:
 def validate(log: DataFrame) -> DataFrame:
     """Decode ``(seq, tool, arguments)``; ``error`` is null for a runnable command.
 
-    Rejected are unknown tools, arguments that are not a JSON object, missing or
-    unexpected names, and required values that are null or of the wrong type.
+    Rejected are unknown (and null) tools, arguments that are not one JSON
+    object and nothing else, missing or unexpected names, and values of the
+    wrong type: names and roles are strings, salaries integers of 64 bits. A
+    required value may not be null. An object that names a key twice is no
+    valid object.
     """
-    keys = F.json_object_keys("arguments")
     required = F.create_map(*[x for t, (req, _) in TOOLS.items() for x in (F.lit(t), _names(req))])
     allowed = F.create_map(*[x for t, (req, opt) in TOOLS.items() for x in (F.lit(t), _names(req + opt))])
     rows = log.select(
         "seq",
         "tool",
-        keys.alias("_keys"),
+        whole_json("arguments").alias("_json"),
         F.try_element_at(required, F.col("tool")).alias("_required"),
         F.try_element_at(allowed, F.col("tool")).alias("_allowed"),
-        F.get_json_object("arguments", "$.name").alias("name"),
-        F.get_json_object("arguments", "$.role").alias("role"),
-        F.get_json_object("arguments", "$.salary").alias("_salary"),
-    ).withColumn("salary", F.when(F.col("_salary").rlike(r"^-?[0-9]{1,18}$"), F.col("_salary").cast("bigint")))
-    given = F.array_compact(
-        F.array(
-            F.when(F.col("name").isNotNull(), F.lit("name")),
-            F.when(F.col("role").isNotNull(), F.lit("role")),
-            F.when(F.col("salary").isNotNull(), F.lit("salary")),
-        )
-    )
+    ).withColumn("_given", F.try_variant_get("_json", "$", "map<string,variant>"))
+    for name, (kind, _) in ARGUMENTS.items():
+        value = F.try_element_at("_given", F.lit(name))
+        rows = rows.withColumn(f"_kind_{name}", F.schema_of_variant(value))
+        rows = rows.withColumn(name, F.when(F.col(f"_kind_{name}") == kind, F.try_variant_get(value, "$", ARGUMENTS[name][1])))
+    keys = F.map_keys("_given")
+
+    def bad(name: str) -> Column:
+        """Given, not of its type, and not an optional null."""
+        kind, must = F.col(f"_kind_{name}"), F.array_contains("_required", name)
+        return kind.isNotNull() & F.col(name).isNull() & (must | (kind != "VOID"))
+
     problem = (
-        F.when(F.col("_allowed").isNull(), F.concat(F.lit("Unknown tool: "), "tool"))
-        .when(F.col("_keys").isNull(), F.lit("Invalid arguments: not a JSON object"))
-        .when(F.size(F.array_except("_required", "_keys")) > 0, F.lit("Invalid arguments: missing argument"))
-        .when(F.size(F.array_except("_keys", "_allowed")) > 0, F.lit("Invalid arguments: unexpected argument"))
-        .when(F.size(F.array_except("_required", given)) > 0, F.lit("Invalid arguments: bad value"))
+        F.when(F.col("_allowed").isNull(), F.concat(F.lit(UNKNOWN_TOOL), F.coalesce("tool", F.lit("null"))))
+        .when(F.col("_given").isNull(), F.lit(NOT_AN_OBJECT))
+        .when(F.size(F.array_except("_required", keys)) > 0, F.lit(MISSING))
+        .when(F.size(F.array_except(keys, "_allowed")) > 0, F.lit(UNEXPECTED))
+        .when(bad("name") | bad("role") | bad("salary"), F.lit(BAD_VALUE))
     )
-    return rows.select("seq", "tool", "name", "role", "salary", problem.alias("error"))
+    return rows.select("seq", "tool", *ARGUMENTS, problem.alias("error"))
 
 
 def _is(*tools: str) -> Column:
@@ -137,17 +150,17 @@ def replay(
 
 
 def statuses(commands: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Outcome of every command of the log: ``seq, tool, status, message, salary``."""
+    """Outcome of every command of the log, one row each: ``seq, tool, status, message, salary``."""
     done = replayed.where(F.col("seq") >= 0).select("seq", "tool", "name", "salary", "ok", "id", "old_salary")
     name = F.col("name")
     message = (
-        F.when(_is(ADD) & F.col("ok"), F.concat(F.lit("Added "), name, F.lit(" with ID "), F.col("id").cast("string")))
-        .when(_is(ADD), F.concat(F.lit("Employee "), name, F.lit(" already exists")))
-        .when(~F.col("ok"), F.concat(F.lit("Employee "), name, F.lit(" not found")))
-        .when(_is(DELETE), F.concat(F.lit("Deleted "), name))
+        F.when(_is(ADD) & F.col("ok"), F.concat(F.lit(ADDED), name, F.lit(WITH_ID), F.col("id").cast("string")))
+        .when(_is(ADD), F.concat(F.lit(EMPLOYEE), name, F.lit(EXISTS)))
+        .when(~F.col("ok"), F.concat(F.lit(EMPLOYEE), name, F.lit(NOT_FOUND)))
+        .when(_is(DELETE), F.concat(F.lit(DELETED), name))
         .when(
             _is(UPDATE),
-            F.concat(F.lit("Updated "), name, F.lit("'s salary to $"), F.col("salary").cast("string")),
+            F.concat(F.lit(UPDATED), name, F.lit(NEW_SALARY), F.col("salary").cast("string")),
         )
     )
     status = F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(ERROR))
@@ -155,10 +168,10 @@ def statuses(commands: DataFrame, replayed: DataFrame) -> DataFrame:
         "seq", "tool", status.alias("status"), message.alias("message"),
         F.when(_is(LOOKUP) & F.col("ok"), F.col("old_salary")).alias("salary"),
     )
-    other = commands.where(F.col("error").isNotNull() | ~_is(*_KEYED)).select(
+    other = commands.where(F.col("error").isNotNull() | ~F.coalesce(_is(*_KEYED), F.lit(False))).select(
         "seq", "tool",
         F.when(F.col("error").isNotNull(), F.lit(ERROR)).otherwise(F.lit(OK)).alias("status"),
-        F.coalesce("error", F.when(_is(INIT), F.lit("Database initialized"))).alias("message"),
+        F.coalesce("error", F.when(_is(INIT), F.lit(INITIALIZED))).alias("message"),
         F.lit(None).cast("bigint").alias("salary"),
     )
     return keyed.unionByName(other)
@@ -296,6 +309,6 @@ def point_lookups(table: DataFrame, names: DataFrame, key: str, value: str) -> D
     return names.select(key).join(found, key, "left").select(
         key,
         F.when(F.col("_found"), F.lit(OK)).otherwise(F.lit(ERROR)).alias("status"),
-        F.when(F.col("_found").isNull(), F.concat(F.lit("Employee "), key, F.lit(" not found"))).alias("message"),
+        F.when(F.col("_found").isNull(), F.concat(F.lit(EMPLOYEE), key, F.lit(NOT_FOUND))).alias("message"),
         value,
     )

@@ -13,8 +13,11 @@ too low to skip anything is scored against all its postings.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,6 @@ B = 0.75
 EPSILON = 0.25
 # -----------------------------------------------------------------------------
 
-# Up to this many (query term, posting) matches are simply added up.
-DIRECT_MATCHES = 50_000_000
 # Postings read per query to find its threshold, the documents scored in full
 # for it (times k), and the slack that covers rounding in comparisons with it.
 PROBE_ROWS = 20_000
@@ -55,22 +56,35 @@ class SparseIndex:
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Term frequencies and length per document: ``doc_id, dl, term, tf``.
 
-    A document without tokens keeps one row with a null term and ``tf`` 0, so
-    that later steps need no join to find it.
+    A document without tokens (or without text) keeps one row with a null term
+    and ``tf`` 0, so that later steps need no join to find it.
 
-    The texts are hashed by id before they are cut into tokens. That spreads
-    the tokenising over all tasks, and the counting then needs no shuffle of
-    the (much larger) exploded tokens. The outer explode also keeps the
-    optimiser from testing for tokens, and so tokenising, before the shuffle.
+    A document is one row, so its terms are counted where the row is: neither
+    texts nor tokens are shuffled.
     """
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartition("doc_id")
-        .select("doc_id", tokenize("text").alias("tokens"))
-        .select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count("term").alias("tf"))
-    )
+    tokens = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    id_type = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.mapInArrow(_count, f"doc_id {id_type}, dl int, term string, tf bigint")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (document, length, term, frequency) of rows (document, tokens)."""
+    for batch in batches:
+        lengths = batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False)
+        coded = batch.column("tokens").flatten().dictionary_encode()
+        n_terms = max(1, len(coded.dictionary))
+        owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths)
+        pairs, tf = np.unique(owner * n_terms + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        empty = np.flatnonzero(lengths == 0)
+        rows = np.concatenate((pairs // n_terms, empty))
+        terms = pa.concat_arrays([coded.dictionary.take(pa.array(pairs % n_terms)), pa.nulls(len(empty), pa.string())])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(pa.array(rows)), pa.array(lengths[rows], pa.int32()), terms,
+                pa.array(np.concatenate((tf, np.zeros(len(empty), np.int64)))),
+            ],
+            names=["doc_id", "dl", "term", "tf"],
+        )
 
 
 def build_sparse_index(corpus: DataFrame, path: str | None = None, text_col: str = "text") -> SparseIndex:
@@ -95,6 +109,12 @@ def build_sparse_index(corpus: DataFrame, path: str | None = None, text_col: str
         "terms",
         f"{root}/terms",
     )
+    counts = spark.read.parquet(f"{root}/counts")
+    written(counts.where(F.col("term").isNotNull()).groupBy("doc_id", "dl").agg(F.count("term").alias("n_terms")).unionByName(
+        counts.where(F.col("term").isNull()).select("doc_id", "dl", F.lit(0).cast("bigint").alias("n_terms"))
+    ), "doc_stats", f"{root}/doc_stats")
+    terms = spark.read.parquet(f"{root}/terms")
+    written(terms.agg(F.avg("raw_idf").alias("avg_idf"), F.count("*").alias("n_terms")), "term_totals", f"{root}/term_totals")
     return load_sparse_index(spark, root)
 
 
@@ -108,15 +128,16 @@ def load_sparse_index(spark: SparkSession, root: str) -> SparseIndex:
     terms = spark.read.parquet(f"{root}/terms")
     totals = spark.read.parquet(f"{root}/totals")
     avgdl = totals.select("avgdl").scalar()
-    avg_idf = terms.agg(F.avg("raw_idf")).scalar()
+    term_totals = spark.read.parquet(f"{root}/term_totals")
+    avg_idf = term_totals.select("avg_idf").scalar()
     floored = F.when(F.col("raw_idf") < 0, EPSILON * avg_idf).otherwise(F.col("raw_idf"))
     return SparseIndex(
         counts=counts,
         postings=counts.where(F.col("term").isNotNull()).withColumn("saturation", _saturation(avgdl)),
-        doc_stats=counts.groupBy("doc_id", "dl").agg(F.count("term").alias("n_terms")),
+        doc_stats=spark.read.parquet(f"{root}/doc_stats"),
         term_stats=terms.select("term", "df", floored.alias("idf"), "max_saturation"),
         corpus_stats=totals.select(
-            "n", "avgdl", avg_idf.alias("avg_idf"), terms.agg(F.count("*")).scalar().alias("n_terms")
+            "n", "avgdl", avg_idf.alias("avg_idf"), term_totals.select("n_terms").scalar().alias("n_terms")
         ),
     )
 
@@ -152,39 +173,15 @@ def bm25_score_pairs(index: SparseIndex, queries: DataFrame, pairs: DataFrame) -
     )
 
 
-def bm25_scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """Score of every document that shares a term with a query.
-
-    The result holds a row per such pair by definition; for the best documents
-    use :func:`sparse_topk`, which does not form the pairs.
-    """
-    terms = weighted_query_terms(index, queries)
-    return _added(terms, index.postings, ["term"], []).select(
-        "query_id", "doc_id", F.round("part", SCORE_DIGITS).alias("score")
-    )
-
-
 def sparse_topk(
     index: SparseIndex,
     queries: DataFrame,
     k: int = 10,
-    direct_matches: int = DIRECT_MATCHES,
     probe_rows: int = PROBE_ROWS,
 ) -> DataFrame:
-    """Exact BM25 top-k per query: ``query_id, doc_id, score, rank``.
-
-    The number of postings the queries match is known from the document
-    frequencies. Few matches are added up directly; more than
-    ``direct_matches`` go through the thresholds described above.
-    """
+    """Exact BM25 top-k per query: ``query_id, doc_id, score, rank``, by the thresholds described above."""
     terms = written(weighted_query_terms(index, queries), "query_terms")
-    matches = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    if matches <= direct_matches:
-        parts = _added(terms, index.postings, ["term"], [])
-        scores = parts.select("query_id", "doc_id", F.round("part", SCORE_DIGITS).alias("score"))
-    else:
-        scores = _scores_above_threshold(index, terms, k, probe_rows)
-    return top_k(scores, k)
+    return top_k(_scores_above_threshold(index, terms, k, probe_rows), k)
 
 
 def _scores_above_threshold(index: SparseIndex, query_terms: DataFrame, k: int, probe_rows: int) -> DataFrame:

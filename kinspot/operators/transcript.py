@@ -35,11 +35,13 @@ def assemble(messages: DataFrame, system: str = SYSTEM_MESSAGE, span: int = DEFA
 
 
 def pages(transcripts: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Transcripts as arrays of at most ``page_size`` messages per row."""
+    """Transcripts as arrays of at most ``page_size`` messages per row; a message keeps all its columns."""
+    message = F.struct("position", *[c for c in transcripts.columns if c not in ("conv_id", "position")])
+    in_order = F.array_sort(F.collect_list(message), lambda a, b: F.sign(a["position"] - b["position"]).cast("int"))
     return (
-        transcripts.withColumn("page", F.floor(F.col("position") / page_size))
-        .groupBy("conv_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "role", "content"))).alias("messages"))
+        transcripts.withColumn("_page", F.floor(F.col("position") / page_size))
+        .groupBy("conv_id", F.col("_page").alias("page"))
+        .agg(in_order.alias("messages"))
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspot.operators.dense import dense_topk
-from kinspot.operators.fusion import DEPTH_FACTOR, match_records, rrf_topk
+from kinspot.operators.fusion import DEPTH_FACTOR, hydrate, match_records, rrf_topk
 from kinspot.operators.judge import (
     CONTAINMENT_THRESHOLD,
     Judge,
@@ -35,20 +37,27 @@ def as_queries(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id bigint, text string")
 
 
+def _records(hits: DataFrame, corpus: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Hits per query as an array, with the corpus columns asked for."""
+    return match_records(hydrate(hits, corpus, *columns) if columns else hits, *columns)
+
+
 def detect_threshold(
-    queries: DataFrame, hits: DataFrame, threshold: float = SIMILARITY_THRESHOLD, k: int = TOP_K
+    queries: DataFrame, hits: DataFrame, threshold: float = SIMILARITY_THRESHOLD, k: int = TOP_K,
+    corpus: DataFrame | None = None, columns: Sequence[str] = (),
 ) -> DataFrame:
     """Match when the best similarity reaches the threshold.
 
     ``hits`` is a dense ranked list of depth ``k`` or more. Queries without a
-    hit stay, with a negative verdict.
+    hit stay, with a negative verdict. ``matches`` holds the hits, with the
+    ``columns`` of ``corpus`` (name, path).
     """
     best = hits.where(F.col("rank") <= k)
     verdicts = best.groupBy("query_id").agg(F.max("score").alias("max_similarity"))
     return (
         queries.select("query_id")
         .join(verdicts, "query_id", "left")
-        .join(match_records(best), "query_id", "left")
+        .join(_records(best, corpus, columns), "query_id", "left")
         .select(
             "query_id",
             F.lit("embedding").alias("method"),
@@ -62,12 +71,13 @@ def detect_threshold(
 
 def judge_contexts(
     index: CorpusIndex, queries: DataFrame, hits: DataFrame, method: str, judge: Judge | None = None,
-    threshold: float = CONTAINMENT_THRESHOLD,
+    threshold: float = CONTAINMENT_THRESHOLD, columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Verdicts for queries from their ranked contexts ``(query_id, doc_id, rank)``.
+    """Verdicts for queries from their ranked contexts ``(query_id, doc_id, rank, score)``.
 
     Without a judge the built-in containment rule decides; a judge gets the
-    assembled prompts.
+    assembled prompts. ``matches`` holds the contexts with their scores and
+    the ``columns`` of the corpus; it is null where contexts have no score.
     """
     if judge is None:
         judged = pair_containment(queries, hits.select("query_id", "doc_id", "rank"), index.sparse.postings)
@@ -80,6 +90,9 @@ def judge_contexts(
         # written, so that no prompt is sent to the judge twice
         answers = parse_verdicts(written(ask_judge(prompts, judge), "answers"))
         verdicts = answers.join(prompts.select("query_id", "context_size"), "query_id")
+    if "score" in hits.columns:
+        found = _records(hits.select("query_id", "doc_id", "rank", "score"), index.corpus, columns)
+        verdicts = verdicts.join(found, "query_id", "left")
     return _verdict_rows(verdicts, method)
 
 
@@ -100,12 +113,13 @@ def detect_sampled_context(
 
 
 def _verdict_rows(verdicts: DataFrame, method: str) -> DataFrame:
-    for name, kind in (("explanation", "string"), ("error", "string"), ("elapsed", "double")):
+    no_matches = "array<struct<rank:int,doc_id:bigint,score:double>>"
+    for name, kind in (("explanation", "string"), ("error", "string"), ("elapsed", "double"), ("matches", no_matches)):
         if name not in verdicts.columns:
             verdicts = verdicts.withColumn(name, F.lit(None).cast(kind))
     return verdicts.select(
         "query_id", F.lit(method).alias("method"), "is_match", "confidence", "explanation", "context_size",
-        "matched_references", "error", "elapsed",
+        "matched_references", "matches", "error", "elapsed",
     )
 
 
@@ -124,14 +138,14 @@ def hybrid_hits(index: CorpusIndex, queries: DataFrame, k: int = TOP_K) -> DataF
 
 
 def detect_dense_context(
-    index: CorpusIndex, queries: DataFrame, k: int = TOP_K, judge: Judge | None = None
+    index: CorpusIndex, queries: DataFrame, k: int = TOP_K, judge: Judge | None = None, columns: Sequence[str] = ()
 ) -> DataFrame:
     """Dense retrieval, then the judge."""
-    return judge_contexts(index, queries, dense_hits(index, queries, k), "dense_context", judge)
+    return judge_contexts(index, queries, dense_hits(index, queries, k), "dense_context", judge, columns=columns)
 
 
 def detect_hybrid_context(
-    index: CorpusIndex, queries: DataFrame, k: int = TOP_K, judge: Judge | None = None
+    index: CorpusIndex, queries: DataFrame, k: int = TOP_K, judge: Judge | None = None, columns: Sequence[str] = ()
 ) -> DataFrame:
     """Hybrid retrieval, then the judge."""
-    return judge_contexts(index, queries, hybrid_hits(index, queries, k), "hybrid_context", judge)
+    return judge_contexts(index, queries, hybrid_hits(index, queries, k), "hybrid_context", judge, columns=columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from kinspot.operators.embedding import Embedder, embed_column, embed_missing, h
 from kinspot.operators.sparse import SparseIndex, build_sparse_index, load_sparse_index
 from kinspot.session import new_path, written
 
+#: what a build leaves about itself
+ABOUT = "version string, dim int, embedder string"
+
 
 @dataclass(frozen=True)
 class CorpusIndex:
@@ -32,36 +36,49 @@ class CorpusIndex:
 
 
 def build_indexes(
-    corpus: DataFrame, path: str | None = None, embed: Embedder | None = None, dim: int = HASH_DIM
+    corpus: DataFrame, path: str | None = None, embed: Embedder | None = None, dim: int = HASH_DIM, embedder: str = "hashed"
 ) -> CorpusIndex:
-    """Sparse and dense index tables of a corpus ``(doc_id, text)``.
+    """Sparse and dense index tables of a corpus ``(doc_id, text)``, whose ids must be unique.
 
     The default embedding hashes the term counts the sparse index has already
-    made; with ``embed`` the user's model is called for rows whose text has no
-    stored embedding yet. Given a path, the corpus is kept there as well, so
-    that :func:`load_indexes` finds everything.
+    made; with ``embed`` the user's model, known by the name ``embedder``, is
+    called for rows whose text has no stored embedding yet. Given a path, the
+    build may be repeated on a grown or changed corpus: embeddings stay there
+    from build to build, each build's tables are a version of their own, and
+    :func:`load_indexes` finds the last version that was finished.
     """
-    root = path or new_path(corpus.sparkSession, "index")
+    spark = corpus.sparkSession
+    if not corpus.groupBy("doc_id").count().where("count > 1").isEmpty():
+        raise ValueError("doc_id is not unique")
+    root = path or new_path(spark, "index")
+    version = f"{root}/version-{uuid.uuid4().hex}"
     if path is not None:
-        corpus = written(corpus, "corpus", f"{root}/corpus")
-    sparse = build_sparse_index(corpus, f"{root}/sparse")
+        corpus = written(corpus, "corpus", f"{version}/corpus")
+    sparse = build_sparse_index(corpus, f"{version}/sparse")
     if embed is None:
         vectors = hash_embed(sparse.counts, dim)
     else:
-        vectors = embed_missing(corpus, f"{root}/embeddings", embed).select("doc_id", "embedding")
-    dense = written(build_dense_index(vectors), "dense", f"{root}/dense")
-    return CorpusIndex(corpus=corpus, sparse=sparse, dense=dense, dim=dim, embed=embed)
+        vectors = embed_missing(corpus, f"{root}/embeddings-{embedder}", embed).select("doc_id", "embedding")
+    dense = written(build_dense_index(vectors), "dense", f"{version}/dense")
+    width = dense.agg(F.max(F.size("unit_vec"))).first()[0] or dim
+    about = spark.createDataFrame([(version, width, embedder if embed else "hashed")], ABOUT)
+    about.coalesce(1).write.mode("append").parquet(f"{root}/versions/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    return CorpusIndex(corpus=corpus, sparse=sparse, dense=dense, dim=width, embed=embed)
 
 
 def load_indexes(
-    spark: SparkSession, path: str, embed: Embedder | None = None, dim: int = HASH_DIM
+    spark: SparkSession, path: str, embed: Embedder | None = None, dim: int | None = None, embedder: str = "hashed"
 ) -> CorpusIndex:
-    """Index tables written by :func:`build_indexes` at ``path``."""
+    """Index tables of the last build at ``path``; ``dim`` and embedder must be those it was built with."""
+    about = spark.read.schema(ABOUT).parquet(f"{path}/versions/*").select("*", F.col("_metadata.file_modification_time").alias("at"))
+    last = about.orderBy(F.desc("at"), F.desc("version")).first()
+    if (embedder if embed else "hashed") != last["embedder"] or dim not in (None, last["dim"]):
+        raise ValueError(f"the index was built with {last['embedder']} vectors of {last['dim']} numbers")
     return CorpusIndex(
-        corpus=spark.read.parquet(f"{path}/corpus"),
-        sparse=load_sparse_index(spark, f"{path}/sparse"),
-        dense=spark.read.parquet(f"{path}/dense"),
-        dim=dim,
+        corpus=spark.read.parquet(f"{last['version']}/corpus"),
+        sparse=load_sparse_index(spark, f"{last['version']}/sparse"),
+        dense=spark.read.parquet(f"{last['version']}/dense"),
+        dim=last["dim"],
         embed=embed,
     )
 

@@ -23,7 +23,7 @@ def build_labelled_set(
     """
     cases = written(
         candidates.join(originals.select("src_id", F.col("code").alias("original_ref")), "src_id").withColumn(
-            "case_id", F.xxhash64("src_id", "label", "attempt")
+            "case_id", F.md5(F.to_json(F.struct("src_id", "label", "attempt")))
         ),
         "cases",
     )

@@ -62,11 +62,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that has fewer partitions than the session has cores.
-
-    A table of many files passes unchanged; one small file would otherwise be
-    worked on by a single task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or file at ``path``, in whatever store the path names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,9 @@ from kinspot.operators.corpus import token_band
 _FUNCTIONS = "file_path string, function_name string, line int, code string"
 
 
+LINE_END = re.compile(r"\r\n|\r|\n")
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
     """Every matching file below ``root``: ``file_path, content`` (binary)."""
     return (
@@ -30,7 +34,7 @@ def defined_functions(content: bytes | str) -> list[tuple[str, int, str]]:
     """(name, line, source) of each plain function in one file; none if it does not parse."""
     text = content if isinstance(content, str) else bytes(content).decode("utf-8", errors="ignore")
     try:
-        tree, lines = ast.parse(text), text.splitlines()
+        tree, lines = ast.parse(text), LINE_END.split(text)  # the lines that the parser counts
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     found = [node for node in ast.walk(tree) if isinstance(node, ast.FunctionDef)]
@@ -58,7 +62,7 @@ def extract_functions(files: DataFrame, low: int = MIN_TOKENS, high: int = MAX_T
     return (
         token_band(functions.where(~F.startswith("function_name", F.lit("_"))), "code", low, high)
         .select(
-            F.xxhash64("file_path", "function_name", "line").alias("doc_id"),
+            F.md5(F.to_json(F.struct("file_path", "function_name", "line"))).alias("doc_id"),
             F.concat_ws("::", path_tail("file_path"), "function_name", line).alias("id"),
             "code",
             "file_path",

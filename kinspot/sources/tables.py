@@ -48,7 +48,7 @@ def union_corpora(*corpora: DataFrame) -> DataFrame:
     renumbered, so a row keeps its id when another corpus grows.
     """
     every = reduce(DataFrame.unionByName, corpora)
-    return every.withColumn("doc_id", F.xxhash64("part", "key"))
+    return every.withColumn("doc_id", F.md5(F.to_json(F.struct("part", "key"))))
 
 
 def write_labelled(cases: DataFrame, path: str) -> None:

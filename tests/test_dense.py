@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinspot.functions.vectors import cosine, l2_normalize
-from kinspot.operators.dense import build_dense_index, dense_topk, max_corpus_similarity
+from kinspot.operators.dense import build_dense_index, dense_topk, max_corpus_similarity, unsound_vectors
 from kinspot.operators.embedding import embed_column, embed_missing, hash_embed_text
 
 
@@ -74,3 +74,20 @@ def test_embed_missing_embeds_new_and_changed_texts_once(spark, tmp_path):
     got = {r.doc_id: r.embedding for r in embed_missing(changed, path, make(2.0)).collect()}
     assert got == {1: [1, 1], 2: [3, 2], 3: [1, 2]}
     assert spark.read.parquet(path).count() == 4
+
+
+def test_unsound_vectors_are_listed_and_cost_no_other_row(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [nan, 1.0]), (2, [0.6, 0.8]), (3, None), (4, [None, 1.0]), (5, [float("inf"), 0.0])]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, unit_vec array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in rows], "query_id bigint, unit_vec array<double>")
+    got = {(r.query_id, r.doc_id) for r in dense_topk(corpus, queries, 3).collect()}
+    assert got == {(q, d) for q in (0, 2) for d in (0, 2)}
+    listed = unsound_vectors(corpus.unionByName(spark.createDataFrame([(6, [1.0])], corpus.schema)), vec_col="unit_vec", dim=2)
+    assert {tuple(r) for r in listed.collect()} == {(1, "not finite"), (3, "null"), (4, "not finite"), (5, "not finite"), (6, "wrong length")}
+
+
+def test_ids_of_any_type(spark):
+    corpus = spark.createDataFrame([("b", [1.0]), ("a", [1.0]), ("c", [0.5])], "doc_id string, unit_vec array<double>")
+    got = dense_topk(corpus, corpus.withColumnRenamed("doc_id", "query_id"), 1, exclude_self=True).collect()
+    assert {(r.query_id, r.doc_id) for r in got} == {("a", "b"), ("b", "a"), ("c", "a")}

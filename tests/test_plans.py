@@ -8,7 +8,7 @@ from kinspot.plans import detectors as dt
 from kinspot.plans.evaluation import evaluate_detector, full_evaluation, report
 from kinspot.plans.indexing import build_indexes, load_indexes
 from kinspot.plans.labelled_set import build_labelled_set
-from kinspot.session import shared_dir, spread
+from kinspot.session import shared_dir, table_exists
 
 TEXTS = ["alpha beta gamma delta", "one two three four five", "red green blue", "alpha beta gamma epsilon", ""]
 
@@ -29,6 +29,8 @@ def test_saved_indexes_give_the_same_verdicts(spark, corpus, tmp_path):
     queries = dt.as_queries(spark, ["gamma beta", "blue red", "unknown"])
     built = build_indexes(corpus, path)
     loaded = load_indexes(spark, path)
+    with pytest.raises(ValueError, match="vectors of"):
+        load_indexes(spark, path, dim=3)
     for detect in (dt.detect_hybrid_context, dt.detect_dense_context, dt.detect_sampled_context):
         a = sorted(detect(built, queries).collect())
         assert a == sorted(detect(loaded, queries).collect())
@@ -96,6 +98,6 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide, narrow = spark.range(100, numPartitions=20), spark.range(100, numPartitions=1)
-    assert spread(wide) is wide and spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_table_exists(spark, tmp_path):
+    spark.range(1).write.parquet(f"{tmp_path}/there")
+    assert table_exists(spark, f"{tmp_path}/there") and not table_exists(spark, f"file://{tmp_path}/elsewhere")

@@ -154,3 +154,18 @@ def test_ordered_state_does_not_depend_on_the_span(spark, span):
     out = running_sum(out, ["key"], "seq", {"total": F.col("amount")}, span)
     out = running_sum(out, [], "seq", {"every": F.col("amount")}, span)
     assert {(r.seq, r.before, r.total, r.every) for r in out.collect()} == want
+
+
+def test_spans_hold_rows_however_sparse_positions_are(spark):
+    """One hot name, positions in microseconds one second apart."""
+    from pyspark.sql import functions as F
+
+    from kinspot.operators import ordered
+
+    rows = spark.range(20_000).select(F.lit("hot").alias("name"), (F.col("id") * 1_000_000 + 1_700_000_000_000_000).alias("at"), (F.col("id") % 7).alias("v"))
+    spans = ordered._with_span(rows, "at", 1000)
+    assert spans.select(ordered._SPAN).distinct().count() <= 20
+    got = ordered.running_sum(rows, [], "at", {"total": F.col("v")}, span=1000).orderBy(F.desc("at")).first()
+    assert got.total == sum(i % 7 for i in range(20_000))
+    before = ordered.last_before(rows, ["name"], "at", {"odd": F.when(F.col("v") == 3, F.col("at"))}, span=1000).orderBy(F.desc("at")).first()
+    assert before.odd == 1_700_000_000_000_000 + 1_000_000 * max(i for i in range(19_999) if i % 7 == 3)

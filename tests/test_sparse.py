@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kinspot.operators.sparse import bm25_score_pairs, bm25_scores, build_sparse_index, sparse_topk
+from kinspot.operators.sparse import bm25_score_pairs, build_sparse_index, sparse_topk, term_counts
 
 CORPUS = [(1, "x = a + a"), (2, "x = b"), (3, "y = b - c"), (4, "return c")]
 
@@ -44,10 +44,9 @@ def test_hand_fixture(spark):
     assert terms["="] == (3, 0.094144) and terms["a"] == (1, 0.847298) and terms["x"] == (2, 0.0)
     queries = docs_of(spark, [(7, "x = a a")], "query_id")
     expected = {1: 2.268440, 2: 0.103455, 3: 0.081865}
-    assert {r.doc_id: r.score for r in bm25_scores(index, queries).collect()} == pytest.approx(expected)
-    for matches in (0, 10**9):
-        top = sparse_topk(index, queries, 10, direct_matches=matches).orderBy("rank").collect()
-        assert [(r.doc_id, r.rank) for r in top] == [(1, 1), (2, 2), (3, 3)]
+    top = sparse_topk(index, queries, 10).orderBy("rank").collect()
+    assert [(r.doc_id, r.rank) for r in top] == [(1, 1), (2, 2), (3, 3)]
+    assert {r.doc_id: r.score for r in top} == pytest.approx(expected)
     pairs = spark.createDataFrame([(7, 1), (7, 4)], "query_id bigint, doc_id bigint")
     assert {r.doc_id: r.score for r in bm25_score_pairs(index, queries, pairs).collect()} == {1: 2.26844, 4: 0.0}
 
@@ -70,9 +69,9 @@ def test_thresholds_give_the_exact_top_k(spark, seed):
     index = build_sparse_index(docs_of(spark, docs))
     asked = docs_of(spark, queries, "query_id")
     expected = brute_force(docs, queries, 5)
-    for matches, probe in ((10**9, 1), (0, 1), (0, 50), (0, 10**6)):
-        got = sparse_topk(index, asked, 5, direct_matches=matches, probe_rows=probe).collect()
-        assert {(r.query_id, r.doc_id, r.rank) for r in got} == expected, (matches, probe)
+    for probe in (1, 50, 10**6):
+        got = sparse_topk(index, asked, 5, probe_rows=probe).collect()
+        assert {(r.query_id, r.doc_id, r.rank) for r in got} == expected, probe
 
 
 def test_negative_floor_is_exact_too(spark):
@@ -80,7 +79,7 @@ def test_negative_floor_is_exact_too(spark):
     queries = [(0, "a c"), (1, "a")]
     index = build_sparse_index(docs_of(spark, docs))
     expected = brute_force(docs, queries, 2)
-    got = sparse_topk(index, docs_of(spark, queries, "query_id"), 2, direct_matches=0).collect()
+    got = sparse_topk(index, docs_of(spark, queries, "query_id"), 2).collect()
     assert {(r.query_id, r.doc_id, r.rank) for r in got} == expected
 
 
@@ -90,3 +89,13 @@ def test_empty_documents_count(spark):
     assert index.corpus_stats.first().avgdl == pytest.approx(2 / 3)
     assert {(r.doc_id, r.dl, r.n_terms) for r in index.doc_stats.collect()} == {(1, 2, 2), (2, 0, 0), (3, 0, 0)}
     assert index.postings.where(F.col("term").isNull()).count() == 0
+
+
+def test_texts_and_tokens_are_not_shuffled(spark, capsys):
+    term_counts(docs_of(spark, CORPUS)).explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_null_text_is_empty(spark):
+    got = term_counts(docs_of(spark, [(1, None), (2, "a a")])).collect()
+    assert {tuple(r) for r in got} == {(1, 0, None, 0), (2, 2, "a", 2)}
