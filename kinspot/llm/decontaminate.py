@@ -100,8 +100,9 @@ def _candidates(index: PositionalIndex) -> DataFrame:
 def exact_matches(index: PositionalIndex, docs: DataFrame) -> DataFrame:
     """Occurrences of whole windows: id, key, start (words before it), length, window."""
     found = stored(_candidates(index).distinct(), "window-candidates")
-    # texts of the documents with candidates only, however many places each has
-    named = found.select("id", "key").distinct()
+    # texts of the documents with candidates only, however many places each has; never a broadcast, as their number
+    # grows with the documents (on large inputs Spark sends a Bloom filter ahead of such a shuffle)
+    named = found.select("id", "key").distinct().hint("merge")
     texts = _keyed(docs)
     texts = texts.join(named, _same_document(texts, named), "left_semi").dropDuplicates(["id", "key"])
     texts = texts.select("id", "key", words(F.col("text")).alias("w"))
