@@ -77,15 +77,15 @@ def root_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     reach = stored(nodes.select("node", F.col("parent").alias("above"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), "reach-0")
     n = reach.count()
     jumps: list[DataFrame] = []
-    while len(jumps) <= math.log2(max(n, 1)) + 1:
-        jump = reach.filter("above IS NOT NULL").select("node", "above")
-        if jump.isEmpty():
-            break
-        jumps.append(jump)
-        upper = reach.select(F.col("node").alias("above"), F.col("above").alias("higher"), F.col("total").alias("more"))
-        further = reach.join(upper, "above", "left").select("node", F.col("higher").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
+    going, rooted = reach.filter("above IS NOT NULL"), reach.filter("above IS NULL")
+    while len(jumps) <= math.log2(max(n, 1)) + 1 and not going.isEmpty():
+        jumps.append(going.select("node", "above"))
+        # messages whose whole way up is known are looked up, but go no further
+        upper = going.union(rooted).select(F.col("node").alias("above"), F.col("above").alias("higher"), F.col("total").alias("more"))
+        further = going.join(upper, "above", "left").select("node", F.col("higher").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
         reach = stored(further, f"reach-{len(jumps)}")
-    rooted = reach.filter("above IS NULL").select("node", "total")
+        going, rooted = reach.filter("above IS NOT NULL"), rooted.union(reach.filter("above IS NULL"))
+    rooted = rooted.select("node", "total")
     parents = nodes.select(F.col("parent").alias("node")).dropna().distinct()
     leaves = nodes.select("tree", "node").join(parents, "node", "left_anti").join(rooted, "node")
     best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
