@@ -4,18 +4,22 @@
    its set of hashed word shingles, a MinHash signature and its band buckets.
    Documents of equal sets are one class, which the smallest id stands for.
 2. Class representatives that share a bucket are candidates. A bucket's
-   members meet hubs, never each other all: in the first round one hub, drawn
-   by a hash of id and bucket, so that a large group gets another hub in each
-   band. Later rounds draw more hubs among members that have been none, for
-   buckets that still hold several components, until no pair of different
-   components is left untried. So a bucket of any size is done exactly,
-   in a number of rows linear in its size per round.
+   members meet hubs, never each other all: in the first round one hub, the
+   member that meets most others over all its buckets, as the text does that
+   the others of a group were made of. Later rounds draw more and more hubs among members that have been
+   none, for buckets that still hold several components, until no pair of
+   different components is left untried, so a bucket of any size is done exactly.
+   Large groups are one component by then. What is left are mostly texts a
+   little too different from all others, and most of their pairs need no hub:
+   a document with more shingles that few open documents hold (``RARE`` at
+   most) than a partner may lack must share one of them, so such pairs are
+   found by these shingles, each of which makes a bounded number of pairs.
 3. Signatures of a pair are compared a batch of positions at a time. With a
    uniform prior, m matches in n positions make the chance of a similarity of
    at least t equal to P(Bin(n + 1, t) <= m); below ``miss`` the pair goes.
 4. Surviving pairs are verified on the full shingle sets of their whole texts,
-   each document's likeliest pair first; pairs within one component by then
-   need no verification, since they can change nothing.
+   each document's likeliest pair first, then many times as many of the rest in each step; pairs within one component by then need no verification, since they
+   can change nothing.
 
 The number of bands is chosen so that a pair at the threshold shares none of
 them with a chance below ``miss``.
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinspot.llm.components import components
 from kinspot.llm.stage import stored, whole_text
@@ -44,8 +48,12 @@ BAND_ROWS = 5
 MISS = 1e-6
 #: positions that are compared before the next look at the bounds
 BATCH = 20
-#: hubs of a bucket in each round after the first
-HUBS = 8
+#: a bucket that is not done draws this many times as many hubs in its next round
+MORE_HUBS = 8
+#: and a step of verification takes this many times as many pairs of a document
+TRIED_MORE = 16
+#: documents that hold a rare shingle, at most
+RARE = 32
 
 
 def n_bands(threshold: float, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -152,6 +160,49 @@ def _verify_task(k: int, percent: int, separators: np.ndarray):
     return run
 
 
+def _post_task(k: int, separators: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, words, starts in hashed_words(batch.column("text"), separators):
+                value, owner = shingles(words, starts, k)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first).take(pa.array(owner)), pa.array(value.view(np.int64))], ["id", "shingle"])
+
+    return run
+
+
+def _least_common(n: Column, other: Column, percent: int) -> Column:
+    """Fewest common shingles with which sets of these sizes can be linked."""
+    return F.ceil(percent * (n + other) / (100 + percent))
+
+
+def _rare_pairs(pool: DataFrame, own: DataFrame, k: int, percent: int, separators: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``pool`` with the number of each document's rare shingles, and the pairs that can be linked by sharing some."""
+    open_docs = pool.select(F.col("id").alias("doc_id"), "n", "component").distinct()
+    texts = own.join(open_docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = stored(texts.mapInArrow(_post_task(k, separators), "id long, shingle long"), "open-shingles")
+    few = held.groupBy("shingle").agg(F.count("*").alias("holders")).filter(F.col("holders") <= RARE)
+    rare = stored(held.join(few, "shingle"), "rare-shingles")
+    # rows that share an id count as one document here, whose rare shingles prove nothing about either text
+    once = texts.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
+    counted = rare.groupBy("id").agg(F.count("*").alias("rare")).join(once.filter("rows = 1"), "id").select("id", "rare")
+    pool = stored(pool.drop("rare").join(counted, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))).select(*pool.columns), "bucket-members")
+    about = pool.select("id", "n", "rare", "component").distinct()
+    posted = rare.filter("holders > 1").select("id", "shingle").join(about, "id")
+    left = posted.toDF("hub", "shingle", "hub_n", "hub_rare", "hub_component")
+    right = posted.withColumnRenamed("id", "member")
+    met = left.join(right, "shingle").filter("hub < member AND hub_component <> component")
+    met = met.groupBy("hub", "member", "hub_n", "n", "hub_rare", "rare").agg(F.count("*").alias("shared"))
+    least = _least_common(F.col("hub_n"), F.col("n"), percent)
+    enough = F.col("shared") >= F.greatest(F.col("hub_rare") - F.col("hub_n"), F.col("rare") - F.col("n")) + least
+    return pool, met.filter(enough).select("hub", "member")
+
+
+def _open(pool: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
+    several = pool.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
+    return pool.join(several, "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, separators: np.ndarray = SPACE) -> DataFrame:
     """Components of documents linked by ``100 * intersection >= percent * union`` of their k-word shingle sets.
 
@@ -169,50 +220,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *keys, "signature", "buckets"), "representatives")
 
     posted = reps.select(F.explode("buckets").alias("bucket"), "id", "n")
-    shared = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    pool = stored(posted.join(shared, "bucket").withColumn("component", F.col("id")), "bucket-members")
+    shared = posted.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    pool = stored(posted.join(shared, "bucket"), "bucket-members")
+    central = pool.groupBy("id").agg(F.sum("members").alias("met"))
+    pool = stored(pool.join(central, "id").select("bucket", "id", "n", F.lit(0).cast("long").alias("rare"), "met", F.col("id").alias("component")), "bucket-members")
+    # never a broadcast, as the number of members grows with the documents
+    own = stored(texts.join(pool.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "candidate-texts")
     signs = reps.select("id", *keys, "signature")
-    links = reps.select(F.col("id").alias("high"), F.col("id").alias("low")).limit(0)
-    labels = links.toDF("node", "component")
+    labels = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+
+    def settled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """``labels`` with the links among ``pairs`` (hub, member), pruned by their signatures and verified."""
+        signed_pairs = pairs.join(signs.toDF("hub", "hub_a", "hub_b", "hub_signature"), "hub").join(signs.withColumnRenamed("id", "member"), "member")
+        pairs, tries = stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors"), 1
+        while not pairs.isEmpty():
+            likeliest = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "hub", "hub_a", "hub_b", "key_a", "key_b"))
+            ranked = pairs.withColumn("turn", likeliest)
+            tried = ranked.filter(F.col("turn") <= tries).join(own.toDF("member", "text"), "member").join(own.toDF("hub", "hub_text"), "hub")
+            found = stored(tried.mapInArrow(_verify_task(k, percent, separators), "hub long, member long"), "links")
+            if not found.isEmpty():
+                labels = stored(components(labels.union(found)), "components")
+            left = ranked.filter(F.col("turn") > tries).drop("turn")
+            left = left.join(labels.toDF("hub", "hub_component"), "hub", "left").join(labels.toDF("member", "component"), "member", "left")
+            left = left.filter(F.coalesce("hub_component", "hub") != F.coalesce("component", "member")).drop("hub_component", "component")
+            pairs, tries = stored(left, "survivors"), tries * TRIED_MORE
+        return labels
+
+    def still_open(pool: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of buckets of several components, which have nothing left to find otherwise."""
+        now = pool.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return stored(_open(now.withColumn("component", F.coalesce("component", "id")).select(*pool.columns)), "bucket-members")
+
     hubs_each = 1
     while True:
-        drawn = F.struct(F.xxhash64("id", "bucket").alias("order"), "id", "n", "component")
+        drawn = F.struct((-F.col("met")).alias("order"), F.xxhash64("id", "bucket").alias("draw"), "id", "n", "rare", "component")
         share = F.pmod(F.xxhash64("bucket", "id", F.lit(hubs_each)), F.lit(hubs_each))
         hubs = stored(pool.groupBy("bucket", share.alias("share")).agg(F.min(drawn).alias("h")).select("bucket", "h.*"), "hubs")
-        met = pool.join(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), "bucket")
-        met = met.filter((F.col("hub_component") != F.col("component")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+        met = pool.join(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("rare").alias("hub_rare"), F.col("component").alias("hub_component")), "bucket")
+        least = _least_common(F.col("hub_n"), F.col("n"), percent)
+        near = (F.least("n", "hub_n") >= least) & (F.col("rare") <= F.col("n") - least) & (F.col("hub_rare") <= F.col("hub_n") - least)
+        met = met.filter((F.col("hub_component") != F.col("component")) & near)
         pairs = met.groupBy(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).agg(F.max(F.struct("hub", F.col("id").alias("member"))).alias("p")).select("p.*")
-        signed_pairs = pairs.join(signs.toDF("hub", "hub_a", "hub_b", "hub_signature"), "hub").join(signs.withColumnRenamed("id", "member"), "member")
-        pairs = stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors")
-        if not pairs.isEmpty():
-            named = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
-            own = stored(texts.join(named, "doc_id", "left_semi"), "candidate-texts")
-            grown = False
-            while True:
-                likeliest = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "hub", "hub_a", "hub_b", "key_a", "key_b"))
-                ranked = pairs.withColumn("turn", likeliest)
-                tried = ranked.filter("turn = 1").join(own.toDF("member", "text"), "member").join(own.toDF("hub", "hub_text"), "hub")
-                found = stored(tried.mapInArrow(_verify_task(k, percent, separators), "hub long, member long"), "links")
-                if not found.isEmpty():
-                    labels = stored(components(labels.union(found)), "components")
-                    grown = True
-                left = ranked.filter("turn > 1").drop("turn")
-                by_hub, by_member = labels.toDF("hub", "hub_component"), labels.toDF("member", "component")
-                left = left.join(by_hub, "hub", "left").join(by_member, "member", "left")
-                left = left.filter(F.coalesce("hub_component", "hub") != F.coalesce("component", "member")).drop("hub_component", "component")
-                pairs = stored(left, "survivors")
-                if pairs.isEmpty():
-                    break
-            if grown:
-                pool = pool.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left")
-                pool = pool.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        # hubs have met every member; buckets of one component have nothing left to find
-        pool = pool.join(hubs.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        open_buckets = pool.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        pool = stored(pool.join(open_buckets, "bucket", "left_semi"), "bucket-members")
+        labels = settled(pairs, labels)
+        # hubs have met every member
+        pool = still_open(pool.join(hubs.select("bucket", "id"), ["bucket", "id"], "left_anti"), labels)
+        if hubs_each == 1 and not pool.isEmpty():
+            pool, pairs = _rare_pairs(pool, own, k, percent, separators)
+            labels = settled(pairs, labels)
+            pool = still_open(pool, labels)
         if pool.isEmpty():
             break
-        hubs_each = HUBS
+        hubs_each *= MORE_HUBS
 
     by_class = reps.select(*keys, F.col("id").alias("node")).join(labels, "node", "left")
     by_class = by_class.select(*keys, F.coalesce("component", "node").alias("component_id"))
