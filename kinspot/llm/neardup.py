@@ -18,8 +18,8 @@
    uniform prior, m matches in n positions make the chance of a similarity of
    at least t equal to P(Bin(n + 1, t) <= m); below ``miss`` the pair goes.
 4. Surviving pairs are verified on the full shingle sets of their whole texts,
-   each document's likeliest pair first, then many times as many of the rest in each step; pairs within one component by then need no verification, since they
-   can change nothing.
+   each document's likeliest pair first and then the others; pairs within one
+   component by then need no verification, since they can change nothing.
 
 The number of bands is chosen so that a pair at the threshold shares none of
 them with a chance below ``miss``.
@@ -49,9 +49,7 @@ MISS = 1e-6
 #: positions that are compared before the next look at the bounds
 BATCH = 20
 #: a bucket that is not done draws this many times as many hubs in its next round
-MORE_HUBS = 8
-#: and a step of verification takes this many times as many pairs of a document
-TRIED_MORE = 16
+MORE_HUBS = 32
 #: documents that hold a rare shingle, at most
 RARE = 32
 
@@ -229,22 +227,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     signs = reps.select("id", *keys, "signature")
     labels = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
+    def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """``labels`` with the links that ``pairs`` really are."""
+        both = pairs.join(own.toDF("member", "text"), "member").join(own.toDF("hub", "hub_text"), "hub")
+        found = stored(both.mapInArrow(_verify_task(k, percent, separators), "hub long, member long"), "links")
+        return labels if found.isEmpty() else stored(components(labels.union(found)), "components")
+
     def settled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """``labels`` with the links among ``pairs`` (hub, member), pruned by their signatures and verified."""
+        """``labels`` with the links among ``pairs`` (hub, member), which are pruned by their signatures and verified."""
         signed_pairs = pairs.join(signs.toDF("hub", "hub_a", "hub_b", "hub_signature"), "hub").join(signs.withColumnRenamed("id", "member"), "member")
-        pairs, tries = stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors"), 1
-        while not pairs.isEmpty():
-            likeliest = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "hub", "hub_a", "hub_b", "key_a", "key_b"))
-            ranked = pairs.withColumn("turn", likeliest)
-            tried = ranked.filter(F.col("turn") <= tries).join(own.toDF("member", "text"), "member").join(own.toDF("hub", "hub_text"), "hub")
-            found = stored(tried.mapInArrow(_verify_task(k, percent, separators), "hub long, member long"), "links")
-            if not found.isEmpty():
-                labels = stored(components(labels.union(found)), "components")
-            left = ranked.filter(F.col("turn") > tries).drop("turn")
-            left = left.join(labels.toDF("hub", "hub_component"), "hub", "left").join(labels.toDF("member", "component"), "member", "left")
-            left = left.filter(F.coalesce("hub_component", "hub") != F.coalesce("component", "member")).drop("hub_component", "component")
-            pairs, tries = stored(left, "survivors"), tries * TRIED_MORE
-        return labels
+        pairs = stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors")
+        if pairs.isEmpty():
+            return labels
+        likeliest = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "hub", "hub_a", "hub_b", "key_a", "key_b"))
+        ranked = pairs.withColumn("turn", likeliest)
+        labels = linked(ranked.filter("turn = 1"), labels)
+        left = ranked.filter("turn > 1").join(labels.toDF("hub", "hub_component"), "hub", "left").join(labels.toDF("member", "component"), "member", "left")
+        left = left.filter(F.coalesce("hub_component", "hub") != F.coalesce("component", "member")).select(*pairs.columns)
+        left = stored(left, "survivors")
+        return labels if left.isEmpty() else linked(left, labels)
 
     def still_open(pool: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of buckets of several components, which have nothing left to find otherwise."""
