@@ -8,10 +8,12 @@ each filter is pooled, and a linear layer gives the logit. It is trained by
 Adam on a bounded sample: of the labelled documents that may be learnt from,
 the ``PER_CLASS`` first in hash order of each label, but for those over
 ``TRAIN_WORDS`` words. Words and beginnings of fewer than ``MIN_DOCUMENTS`` of
-them have no vector, so that chance words of few documents say nothing. Each fifth of them does not train, and sets the
-thresholds by language, the language being guessed from the text's own
-function words. A score is the probability, stretched so that its language's
-threshold lies at 0.7.
+them have no vector, so that chance words of few documents say nothing. Each
+fifth of all labelled documents does not train. All of that fifth, whatever
+their number and length, are scored where they lie and counted by label,
+language and score bin, and the counts set the thresholds by language, the
+language being guessed from the text's own function words. A score is the
+probability, stretched so that its language's threshold lies at 0.7.
 
 Cases: null and empty texts have no words and get the score of that. Each row
 is scored by itself. Without labels of both kinds no model can be made and
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,6 +43,8 @@ EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.01, 1e-4
 CUT = 0.7
 #: share of clean calibration documents that a threshold may wrong, and its bounds
 WRONGED, LOWEST, HIGHEST = 0.01, 0.3, 0.99
+#: score bins of the calibration
+BINS = 10_000
 #: training documents a word must stand in to have a vector; all others are zeros
 MIN_DOCUMENTS = 3
 #: share of words that a training step leaves out
@@ -205,19 +210,19 @@ class ConvNet:
         return self
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Midpoint of the gap at which the F1 measure is largest, of those that wrong few clean documents.
+def best_threshold(bins: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Midpoint of the gap between bins at which the F1 measure is largest, of those that wrong few clean documents.
 
+    ``clean`` and ``toxic`` count the documents of each of the distinct ``bins``.
     Where even the highest score is a clean document's, the threshold lies above it.
     """
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # equal scores are not cut apart
-    f1[np.cumsum(1 - y) > WRONGED * (1 - y).sum()] = -1
+    order = np.argsort(-bins)
+    s, clean, toxic = bins[order] / BINS, clean[order], toxic[order]
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(clean + toxic) + toxic.sum())
+    f1[np.cumsum(clean) > WRONGED * clean.sum()] = -1
     i = int(np.argmax(f1))
     if f1[i] <= 0:
-        return float((s[y == 0].max(initial=0) + 1) / 2)
+        return float((s[clean > 0].max(initial=0) + 1) / 2)
     return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
 
 
@@ -232,43 +237,65 @@ class ToxicModel:
         return np.round(np.where(p < t, CUT * p / t, CUT + (1 - CUT) * (p - t) / (1 - t)), 6)
 
 
-def _sample_task(known: list[np.ndarray]):
+def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, words, starts in _codes(batch.column("text")):
+            texts = [words[a:b].tobytes() if b - a <= TRAIN_WORDS else None for a, b in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(first, last - first), batch.column("label").slice(first, last - first), pa.array(texts, pa.binary())],
+                ["doc_id", "label", "words"])
+
+
+def _bin_task(net: ConvNet, known: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, words, starts, language in _coded(batch.column("text"), known):
-                texts = [words[a:b].tobytes() if b - a <= TRAIN_WORDS else None for a, b in zip(starts[:-1], starts[1:])]
+                at = np.floor(net.probability(words, starts) * BINS + 0.5)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), batch.column("label").slice(first, last - first), pa.array(language, pa.int32()), pa.array(texts, pa.binary())],
-                    ["doc_id", "label", "language", "words"])
+                    [batch.column("doc_id").slice(first, last - first), pa.array(language, pa.int32()), pa.array(at.astype(np.int32))],
+                    ["doc_id", "language", "bin"])
 
     return run
 
 
+def _calibration_counts(texts: DataFrame, labels: DataFrame, net: ConvNet) -> pd.DataFrame:
+    """Clean and toxic documents of each language and score bin; texts do not travel to their labels."""
+    binned = stored(texts.mapInArrow(_bin_task(net, _language_words()), "doc_id long, language int, bin int"), "calibration-bins")
+    counts = binned.join(labels, "doc_id").groupBy("language", "bin")
+    return counts.agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic")).toPandas()
+
+
+def _threshold(counts: pd.DataFrame) -> float:
+    by_bin = counts.groupby("bin")[["clean", "toxic"]].sum()
+    return best_threshold(by_bin.index.to_numpy(), by_bin["clean"].to_numpy(), by_bin["toxic"].to_numpy())
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> ToxicModel | None:
     """The model, or None if the labels that may be learnt from are not of both kinds."""
     known = training_labels(labels, name)
     order = F.xxhash64("doc_id")
+    fold = F.pmod(order, F.lit(5)) == 0
     halves = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(PER_CLASS) for v in (0, 1)]
     sample = stored(halves[0].union(halves[1]), "training-sample")
-    texts = whole_text(docs).join(sample, "doc_id")
-    rows = texts.mapInArrow(_sample_task(_language_words()), "doc_id long, label int, language int, words binary").filter("words IS NOT NULL")
-    rows = rows.select("label", "language", "words", (F.pmod(order, F.lit(5)) == 0).alias("kept"), "doc_id").toPandas().sort_values("doc_id")
+    rows = whole_text(docs).join(sample, "doc_id").mapInArrow(_sample_task, "doc_id long, label int, words binary").filter("words IS NOT NULL")
+    rows = rows.select("label", "words", fold.alias("kept"), "doc_id").toPandas().sort_values("doc_id")
     y = rows["label"].to_numpy()
     if len(set(y)) < 2:
         return None
     texts = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-    kept, language = rows["kept"].to_numpy(), rows["language"].to_numpy()
+    kept = rows["kept"].to_numpy()
     train = np.flatnonzero(~kept) if len(set(y[~kept])) == 2 else np.arange(len(y))
     net = ConvNet().train([texts[i] for i in train], y[train].astype(np.float32))
-    check = np.flatnonzero(kept) if len(set(y[kept])) == 2 else np.arange(len(y))
-    starts = np.concatenate(([0], np.cumsum([len(texts[i]) for i in check])))
-    p = net.probability(np.concatenate([texts[i] for i in check]), starts)
-    common = best_threshold(p, y[check])
+    learnable = whole_text(docs).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = _calibration_counts(learnable.filter(fold), known, net)
+    if not (counts["clean"].any() and counts["toxic"].any()):
+        counts = _calibration_counts(learnable, known, net)
+    common = _threshold(counts)
     thresholds = np.full(len(NAMES), common)
     for i in range(1, len(NAMES)):
-        own = language[check] == i
-        if min(y[check][own].sum(), (1 - y[check][own]).sum()) >= LEAST:
-            thresholds[i] = best_threshold(p[own], y[check][own])
+        own = counts[counts["language"] == i]
+        if min(own["clean"].sum(), own["toxic"].sum()) >= LEAST:
+            thresholds[i] = _threshold(own)
     return ToxicModel(net, np.clip(thresholds, LOWEST, HIGHEST))
 
 

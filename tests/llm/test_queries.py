@@ -4,6 +4,7 @@ from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -75,6 +76,29 @@ def test_classifiers_of_odd_cases(spark, labels):
     assert toxicity.score_toxicity(cases.docs(spark), model).columns == [*cases.docs(spark).columns, "toxicity_score"]
 
 
+def test_thresholds_come_from_the_whole_calibration_fold(spark, monkeypatch):
+    """Many times the sample, documents over TRAIN_WORDS included."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 60)
+    rng = np.random.default_rng(8)
+    calm, rude, rows = [f"calm{i}" for i in range(60)], [f"rude{i}" for i in range(6)], []
+    for i in range(3000):
+        words = list(rng.choice(calm, 20 if i % 30 else toxicity.TRAIN_WORDS + 1))
+        if rng.random() < (0.8 if i % 2 else 0.03):
+            words[5] = rng.choice(rude)
+        rows.append((i, "the and of " + " ".join(words), i % 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.train_toxicity(table.drop("toxic"), table.select("doc_id", "toxic"))
+    fold = table.filter((F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0) & ~held_out(F.col("doc_id"))).toPandas()
+    scores = np.concatenate([model.net.probability(w, s) for _, _, w, s in toxicity._codes(pa.array(fold["text"]))])
+    bins, at = np.unique(np.floor(scores * toxicity.BINS + 0.5), return_inverse=True)
+    y = fold["toxic"].to_numpy()
+    clean, toxic = np.bincount(at, y == 0, len(bins)), np.bincount(at, y == 1, len(bins))
+    want = np.clip(toxicity.best_threshold(bins, clean, toxic), toxicity.LOWEST, toxicity.HIGHEST)
+    assert len(fold) > 300 and (fold["text"].str.count(" ") > toxicity.TRAIN_WORDS).sum() > 5
+    assert abs(model.thresholds[1] - want) < 2 / toxicity.BINS
+    assert (scores[y == 0] >= model.thresholds[1]).mean() <= toxicity.WRONGED
+
+
 def test_isotonic_is_the_nearest_monotone_fit():
     rng = np.random.default_rng(2)
     for _ in range(20):
