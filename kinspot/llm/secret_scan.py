@@ -5,7 +5,8 @@ method adds kind ``novel``: a long string of letters and digits after a
 sensitive word is compressed behind its surroundings, with a zstandard
 dictionary of common identifiers; if the bytes it adds are at least ``NOVEL``
 of its length, it repeats nothing around it and is no identifier, and is
-reported. Base spans stay as they are, and a novel span never overlaps one.
+reported. A candidate starts near the word and is taken whole, however long it
+is. Base spans stay as they are, and a novel span never overlaps one.
 
 Positions count code points and the end is exclusive. Null and empty texts
 have no spans. Rows are judged one by one, so repeated rows, equal ids and
@@ -30,7 +31,8 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = r"pass(?:word|wd|phrase)|secret|token|credential|api_?key|private_?key|auth(?:orization)?|bearer"
 #: code points between a sensitive word and a candidate, and of surroundings on either side
 REACH, AROUND = 40, 1024
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE_LEAST = 16
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LEAST
 #: bytes that a candidate must add for each of its own
 NOVEL = 0.65
 #: identifiers that need no explanation
@@ -75,18 +77,23 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return sorted(found)
 
+    def candidates(self, text: str, first: int) -> Iterator[tuple[int, int]]:
+        """Whole candidates that start at ``first`` or up to ``REACH`` after it."""
+        at = first
+        # the least candidate that starts in reach ends here, so looking for a start never reads on
+        while m := self.candidate.search(text, at, min(len(text), first + REACH + CANDIDATE_LEAST)):
+            start, at = self.candidate.match(text, m.start()).span()
+            yield start, at
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Base spans and novel ones."""
         base = self.base(text)
         taken, last, novel = base, -1, []
         for word in self.sensitive.finditer(text):
-            for m in self.candidate.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
-                start, end = m.span()
-                if start > word.end() + REACH:
-                    break
+            for start, end in self.candidates(text, word.end()):
                 if start <= last or any(a < end and start < b for a, _, b in taken):
                     continue
-                last, string = start, m[0]
+                last, string = start, text[start:end]
                 if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
                     continue
                 if self.added_bytes(text[max(0, start - AROUND) : start], string, text[end : end + AROUND]) >= self.novel * len(string):

@@ -159,6 +159,18 @@ def test_base_secrets_match_the_patterns(spark):
     assert secret_scan.secret_report(cases.empty(spark)).count() == 0
 
 
+def test_long_secrets_are_found_and_masked_whole(spark):
+    rng = random.Random(9)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=10_000))
+    rows = [(1, f"private_key {blob}"), (2, f"credential: {blob} end"), (3, "bearer " + " " * secret_scan.REACH + blob), (4, f"auth {blob[:5000]} {blob[5000:]}")]
+    at = {1: 12, 2: 12}
+    spans = {r.doc_id: r.spans for r in secret_scan.secret_report(cases.docs(spark, rows)).collect()}
+    assert all(spans[i] == f"novel:{a}:{a + len(blob)}" for i, a in at.items())
+    assert spans[3] == "" and spans[4] == "novel:5:5005"
+    text = {r.doc_id: r.text for r in secret_scan.mask_secrets(cases.docs(spark, rows)).collect()}
+    assert text[1] == "private_key [SECRET]" and text[2] == "credential: [SECRET] end"
+
+
 def test_masking_keeps_every_row_and_column(spark):
     rows = cases.DOCS + SECRETS
     table = cases.docs(spark, rows)
