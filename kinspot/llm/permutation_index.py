@@ -4,10 +4,11 @@ A bounded sample of distinct vectors are the pivots. Every vector is described
 by its ``PREFIX`` nearest pivots in order, and posted in the inverted file of
 each. The index is cut in blocks of about ``BLOCK_ROWS`` vectors. A block of
 queries meets a block of the index in one task: only vectors posted with a
-pivot of the query are touched, ranked by the footrule distance between the
-two orders (places beyond the prefix count as its end), and the nearest
-``SHARE`` of the block is reranked by the exact inner product. Blocks send
-their best k, of which the k best remain.
+pivot of the query are touched. The footrule distance between the two orders
+(places beyond the prefix count as its end) tells how near their directions
+are. As the measure is the inner product, a vector's rank is that nearness
+times its length, and the first ``SHARE`` of the block is reranked by the exact
+inner product. Blocks send their best k, of which the k best remain.
 
 Vectors that are null, zero, of another length than most or hold null or
 non-finite components take no part, nor do rows without id; of rows of one id
@@ -91,7 +92,8 @@ def _search_task(k: int, share: float):
         posted, before_end = order // prefix, (prefix - order % prefix).astype(np.int64)
         lists = np.searchsorted(nearest.ravel()[order], np.arange(int(nearest.max()) + 2))
         n_taken = min(n, max(10 * k, math.ceil(share * n)))
-        smaller_first = np.arange(n - 1, -1, -1)
+        # relative to the largest number, so that no square overflows
+        lengths = np.linalg.norm(x / np.abs(x).max(), axis=1)
         out = []
         for query, vector, own in zip(queries["vec_id"], queries["vector"], queries["nearest"], strict=True):
             # footrule distance is 2 * (sum of places) minus 2 * this overlap, so the nearest overlap the most
@@ -100,8 +102,7 @@ def _search_task(k: int, share: float):
                 if pivot + 1 < len(lists):
                     at = slice(lists[pivot], lists[pivot + 1])
                     overlap[posted[at]] += np.minimum(before_end[at], prefix - place)
-            key = overlap * n + smaller_first
-            taken = np.sort(np.argpartition(-key, n_taken - 1)[:n_taken]) if n_taken < n else np.arange(n)
+            taken = np.sort(np.argsort(-overlap * lengths, kind="stable")[:n_taken]) if n_taken < n else np.arange(n)
             score = (x[taken] * np.frombuffer(vector, "<f8")).sum(1)
             score[ids[taken] == query] = -np.inf
             best = np.lexsort((ids[taken], -score))[:k]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -220,6 +221,26 @@ def test_recall_over_several_blocks(spark, sf_dir, monkeypatch):
     assert len(got) == len(shares) and np.mean(shares) >= 0.9
 
 
+@pytest.mark.parametrize("deviation", [0.0, 0.3, 0.5, 1.0])
+def test_recall_where_lengths_differ(spark, deviation):
+    """A block of many times 10 * k rows, so that only a share of it is reranked."""
+    larger = Path("/root/testdata/sf0.1/embeddings.parquet")
+    if not larger.exists():
+        pytest.skip("larger test tables are not here")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(str(larger)).collect()]
+    ids = np.array([i for i, _ in rows])
+    x = np.stack([v for _, v in rows]) * np.exp(np.random.default_rng(0).normal(0, deviation, len(rows)))[:, None]
+    got: dict = {}
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    for r in permutation_index.neighbours(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in ids[ids % 20 == 0]:
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        shares.append(len(set(ids[np.argsort(-s)[:20]]) & got[q]) / 20)
+    assert len(ids) * permutation_index.SHARE > 2 * 10 * 20 and np.mean(shares) >= 0.95
+
+
 # --- URLs ----------------------------------------------------------------------------
 
 URLS = [
