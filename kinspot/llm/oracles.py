@@ -66,3 +66,74 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(14 + length(role) + length(text)
     + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""
+
+
+def _clusters_sql(k: int, rounds: int, seed: int, scale: int, width: int) -> str:
+    """Rounds one after another; floor division of signed sums, as ``//`` cuts towards zero."""
+    steps = [f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS c
+  FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i})
+  GROUP BY vec_id, v)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS c FROM (
+    SELECT cluster, place, sum(x)::BIGINT AS s, count(*) AS n
+    FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, {width} + 1)) AS place FROM a{i}) GROUP BY cluster, place) GROUP BY cluster),
+c{i + 1} AS (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON m.cluster = o.cluster)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, a.cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+ORACLES["op11_clusters"] = _clusters_sql(16, 3, 1, 64, 64)
+
+ORACLES["op12_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    substr(sha256('7:' || doc_id), 1, 16) AS draw FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sources),
+ordered AS (
+  SELECT *, (SELECT sum(source_size) FROM sources)::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
+    row_number() OVER (ORDER BY cap / weight, source) AS place
+  FROM weighed),
+-- the first source, by how soon it is full, that its share of what is left does not fill
+level AS (SELECT rest, open_weight FROM ordered WHERE cap >= rest * weight / open_weight ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN cap < l.rest * weight / l.open_weight THEN cap ELSE l.rest * weight / l.open_weight END AS target
+  FROM ordered, level l),
+goals AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM targets),
+placed AS (
+  SELECT doc_id, s.source, size, source_size, target, repeats, round(target)::BIGINT - repeats * source_size AS extra,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN goals g ON g.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, (repeats * size + least(size, greatest(extra - before, 0)))::BIGINT AS taken, source FROM placed"""
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, lines, len(lines)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(lines) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(lines) + 1) AS y,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+parts AS (
+  SELECT doc_id, t, n,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(lines[1:least(x, y)], '') AS p, array_to_string(lines[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(lines[greatest(x, y) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinspot.llm import chat, decontaminate, neardup, packing, permutation_index, quality, secret_scan, token_store, toxicity, url_filter
+from kinspot.llm import (
+    chat, clustering, decontaminate, fill_in_middle, mixing, neardup, packing, permutation_index, quality, secret_scan, token_store, toxicity, url_filter,
+)
 
 #: fixed by the contract: verdict, host, begin of the path
 URL_RULES = (
@@ -25,12 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary; the package that holds them is needed by two queries only."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.token_index(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +67,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_pieces(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +77,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_report(own.unionByName(odd))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_report(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1, scale=64, width=64)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"), mixing.WEIGHTS, share=1.5, epochs=2, seed=7)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transformation_report(_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_index": op2_token_index,
@@ -80,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_clusters": op11_clusters,
+    "op12_mixing": op12_mixing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

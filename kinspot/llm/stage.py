@@ -14,11 +14,15 @@ SETTINGS = {
 }
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``written`` under ``SETTINGS``; the session gets its own settings back."""
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``written`` under ``SETTINGS``; the session gets its own settings back.
+
+    ``batch_rows`` overrides the rows of a batch, for rows that are large blocks.
+    """
     conf = df.sparkSession.conf
-    before = {key: conf.get(key, None) for key in SETTINGS}
-    for key, value in SETTINGS.items():
+    settings = SETTINGS | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {})
+    before = {key: conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         conf.set(key, value)
     try:
         return written(df, name)
