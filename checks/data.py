@@ -13,9 +13,10 @@ from kinspot.operators.dense import build_dense_index, dense_topk
 from kinspot.operators.fusion import rrf_topk
 from kinspot.operators.judge import pair_containment
 from kinspot.operators.replay import replay, validate
+from kinspot.operators.segments import SegmentedIndex, add_documents
 from kinspot.plans.detectors import dense_hits, sparse_hits
 from kinspot.plans.indexing import CorpusIndex, build_indexes
-from kinspot.session import written
+from kinspot.session import new_path, written
 
 # Source text of one module per part; <k> is its key and <n> its size.
 FUNCTION = """def make_<k>(size, price):
@@ -80,6 +81,10 @@ class TestData:
     def index(self) -> CorpusIndex:
         return build_indexes(self.documents)
 
+    @cached_property
+    def segments(self) -> SegmentedIndex:
+        return add_documents(self.documents, new_path(self.spark, "segments"))
+
     @cached_property
     def dense(self) -> DataFrame:
         return dense_hits(self.index, self.queries, 2 * self.K)

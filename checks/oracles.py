@@ -242,6 +242,15 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 ORACLES["max_similarity_to_corpus"] = f"""
 WITH {NEIGHBOURS} SELECT query_id, doc_id AS nearest_id, score AS max_similarity FROM {ranked('sims', 1)}"""
 ORACLES["dense_topk"] = f"WITH {NEIGHBOURS} SELECT * FROM {ranked('sims', 10)}"
+ORACLES["dense_topk_regions"] = ORACLES["dense_topk"]
+ORACLES["dense_topk_ragged"] = f"""WITH {VECTORS},
+sims AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.v, b.v), 6) + 0.0 AS score
+         FROM unit a, unit b WHERE b.vec_id % 7 <> 0 AND b.vec_id % 11 <> 0 AND b.vec_id % 13 <> 0 AND b.vec_id % 17 <> 0)
+SELECT * FROM {ranked('sims', 10)}"""
+ORACLES["unsound_embeddings"] = """
+SELECT vec_id AS doc_id, CASE WHEN vec_id % 17 = 0 THEN 'null' WHEN vec_id % 7 <> 0 AND vec_id % 13 = 0 THEN 'empty'
+  WHEN vec_id % 19 = 0 THEN 'not finite' WHEN vec_id % 7 = 0 THEN 'wrong length' END AS problem
+FROM embeddings WHERE problem IS NOT NULL"""
 ORACLES["build_all_indexes"] = f"""WITH {TERMS}
 SELECT 'corpus' AS table_name, count(*) AS n_rows FROM documents
 UNION ALL SELECT 'dense', count(*) FROM documents
@@ -262,8 +271,15 @@ SELECT doc_id, len({tokens('text')})::INT AS dl, len(list_distinct({tokens('text
 ORACLES["bm25_rescore_pairs"] = f"""WITH {LISTS}
 SELECT d.query_id, d.doc_id, coalesce(b.score, 0) AS score FROM dense d LEFT JOIN bm25 b USING (query_id, doc_id)"""
 ORACLES["dense_topk_text"] = f"WITH {LISTS} SELECT * FROM dense"
+ORACLES["dense_topk_regions_text"] = ORACLES["dense_topk_text"]
 ORACLES["sparse_topk"] = f"WITH {BM25} SELECT * FROM {ranked('bm25', 20)}"
 ORACLES["sparse_topk_thresholds"] = f"WITH {BM25} SELECT * FROM {ranked('bm25', 10)}"
+ORACLES["sparse_topk_blocks"] = ORACLES["sparse_topk_thresholds"]
+GROWN = """documents AS (
+  SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN text || ' ' || lang WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text
+  FROM documents)"""
+ORACLES["index_grow"] = f"""WITH {GROWN}, {LISTS}
+SELECT *, 'sparse' AS kind FROM sparse WHERE rank <= 10 UNION ALL SELECT *, 'dense' AS kind FROM dense WHERE rank <= 10"""
 ORACLES["hybrid_rrf_topk"] = f"WITH {LISTS}, {fused(20, 10)} SELECT * FROM hybrid"
 ORACLES["hydrate_hits"] = f"""WITH {BM25}
 SELECT query_id, rank, doc_id, lang, source, score FROM {ranked('bm25', 20)} JOIN documents USING (doc_id)"""
@@ -406,10 +422,10 @@ SELECT p_partkey AS left_id, -p_partkey - 1 AS right_id, CASE WHEN p_size % 2 =
 
 ORACLES["rebuild_indexes"] = f"""
 WITH now AS (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text
-  FROM documents WHERE doc_id % 3 <> 1)
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text FROM documents
+  UNION ALL SELECT -doc_id - 1, concat_ws(' ', lang, source) FROM documents)
 SELECT doc_id, round(length(text) / sqrt(length(text)::DOUBLE ** 2 + 10000), 6) AS first_number, len({tokens('text')})::INT AS dl,
-  CASE WHEN doc_id % 3 = 2 AND doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_embedded
+  CASE WHEN doc_id >= 0 AND doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_embedded
 FROM now"""
 
 # --- evaluation ---------------------------------------------------------------------------

@@ -22,13 +22,17 @@ from kinspot.operators import labelset as ls
 from kinspot.operators import replay as rp
 from kinspot.operators import transcript as tr
 from kinspot.operators.corpus import token_band
-from kinspot.operators.dense import build_dense_index, max_corpus_similarity
+from kinspot.operators.dense import build_dense_index, max_corpus_similarity, unsound_vectors
+from kinspot.operators.dense import dense_topk as topk_by_blocks
 from kinspot.operators.embedding import embed_column, embed_missing, hash_embed_text, hashed_counts, missing_embeddings
 from kinspot.operators.fusion import hydrate, match_records, rrf_topk_sweep
 from kinspot.operators.judge import build_prompts, judge_containment, pair_containment, parse_verdicts, sample_rows
+from kinspot.operators.regions import build_regions, region_search
+from kinspot.operators.segments import segmented_topk
 from kinspot.operators.sparse import bm25_score_pairs, term_counts
 from kinspot.plans import detectors as dt
 from kinspot.plans import evaluation as pe
+from kinspot.plans.growing import grow_indexes
 from kinspot.plans.indexing import build_indexes, index_sizes, load_indexes
 from kinspot.session import new_path, written
 from kinspot.sources import tables as tb
@@ -259,6 +263,33 @@ def dense_topk(d: TestData) -> DataFrame:
     return d.neighbours
 
 
+@query
+def dense_topk_regions(d: TestData) -> DataFrame:
+    items = d.vectors.withColumnRenamed("doc_id", "query_id")
+    return region_search(build_regions(d.vectors), items, d.K, exclude_self=True).hits
+
+
+@query
+def dense_topk_regions_text(d: TestData) -> DataFrame:
+    return region_search(build_regions(d.index.dense), d.index.embed_queries(d.queries), 2 * d.K).hits
+
+
+@query
+def dense_topk_ragged(d: TestData) -> DataFrame:
+    """Vectors of two other lengths, empty ones and nulls among the embeddings are left out."""
+    length = F.when(F.col("vec_id") % 7 == 0, 63).when(F.col("vec_id") % 11 == 0, 1).when(F.col("vec_id") % 13 == 0, 0).otherwise(64)
+    cut = F.when(F.col("vec_id") % 17 != 0, F.slice(as_vector("embedding"), F.lit(1), length))
+    index = build_dense_index(d.embeddings.select("vec_id", cut.alias("embedding")), "vec_id")
+    return topk_by_blocks(index, d.vectors.withColumnRenamed("doc_id", "query_id"), d.K)
+
+
+@query
+def unsound_embeddings(d: TestData) -> DataFrame:
+    length = F.when(F.col("vec_id") % 7 == 0, 63).when(F.col("vec_id") % 13 == 0, 0).otherwise(64)
+    vector = F.transform(F.slice(as_vector("embedding"), F.lit(1), length), lambda x: F.when(F.col("vec_id") % 19 != 0, x))
+    return unsound_vectors(d.embeddings.select("vec_id", F.when(F.col("vec_id") % 17 != 0, vector).alias("embedding")), "vec_id")
+
+
 @query
 def dense_topk_text(d: TestData) -> DataFrame:
     return d.dense
@@ -276,6 +307,28 @@ def sparse_topk_thresholds(d: TestData) -> DataFrame:
     return topk(d.index.sparse, d.queries, d.K, probe_rows=50)
 
 
+@query
+def sparse_topk_blocks(d: TestData) -> DataFrame:
+    return segmented_topk(d.segments, d.queries, d.K)
+
+
+@query
+def index_grow(d: TestData) -> DataFrame:
+    """Three batches: some documents come later, some texts change once or twice, foreign ids come and go."""
+    path = new_path(d.spark, "growing")
+    docs = d.documents.select("doc_id", "text", "lang")
+    foreign = docs.where("doc_id % 4 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), F.reverse("text").alias("text"))
+    first = docs.where("doc_id % 3 <> 2").select("doc_id", "text").unionByName(foreign)
+    grow_indexes(first, path)
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    second = docs.where("doc_id % 3 = 2 OR doc_id % 5 = 0").select("doc_id", changed.alias("text"))
+    grow_indexes(second, path, removed=foreign.select("doc_id"))
+    again = F.concat("text", F.lit(" "), "lang")
+    grown = grow_indexes(docs.where("doc_id % 7 = 0").select("doc_id", again.alias("text")), path)
+    sparse, dense = grown.sparse_hits(d.queries, d.K), grown.dense_hits(d.queries, d.K)
+    return sparse.withColumn("kind", F.lit("sparse")).unionByName(dense.withColumn("kind", F.lit("dense")))
+
+
 @query
 def hybrid_rrf_topk(d: TestData) -> DataFrame:
     return dt.rrf_topk(d.dense, d.sparse, d.K)
@@ -396,13 +449,13 @@ def judge_with_callable(d: TestData) -> DataFrame:
 
 @query
 def rebuild_indexes(d: TestData) -> DataFrame:
-    """A second build on one path: some texts changed, some documents new, some gone."""
+    """A second build on one path: some texts changed, and as many documents new."""
     path = new_path(d.spark, "rebuilt")
     embed = lambda texts: [[float(len(t)), 100.0] for t in texts]
-    first = d.documents.where(F.col("doc_id") % 3 != 0).select("doc_id", "text")
-    build_indexes(first, path, embed=embed, embedder="length")
+    build_indexes(d.documents.select("doc_id", "text"), path, embed=embed, embedder="length")
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
-    build_indexes(d.documents.where(F.col("doc_id") % 3 != 1).select("doc_id", text.alias("text")), path, embed=embed, embedder="length")
+    new = d.documents.select((-F.col("doc_id") - 1).alias("doc_id"), F.concat_ws(" ", "lang", "source").alias("text"))
+    build_indexes(d.documents.select("doc_id", text.alias("text")).unionByName(new), path, embed=embed, embedder="length")
     served = load_indexes(d.spark, path, embed=embed, embedder="length")
     embedded = d.spark.read.parquet(f"{path}/embeddings-length").groupBy("doc_id").agg(F.count("*").alias("n_embedded"))
     return (

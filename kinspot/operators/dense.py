@@ -11,8 +11,10 @@ copied to every lane, and both sides are joined on the two numbers. The grid's
 sides follow from the numbers of blocks. Spark broadcasts a side that is below
 its own threshold.
 
-Vectors that are null or hold null or non-finite numbers have no similarity to
-anything; they are left out on both sides, and ``unsound_vectors`` lists them.
+Vectors that are null, empty or hold null or non-finite numbers have no
+similarity to anything, and neither have two vectors of unequal length. An
+index holds vectors of one length, the given one or else the most frequent;
+``unsound_vectors`` lists what is left out. Queries of another length get no hits.
 """
 
 from __future__ import annotations
@@ -34,53 +36,69 @@ BLOCK_ROWS = 1024
 TASK_PRODUCTS = 64
 
 
-def _sound(vector: Column | str) -> Column:
+def sound_vector(vector: Column | str) -> Column:
+    """True for vectors that have a length and finite numbers only."""
     v = F.col(vector) if isinstance(vector, str) else vector
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.isNotNull() & F.coalesce(finite, F.lit(False))
+    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False))
+
+
+def usual_length(embeddings: DataFrame, vec_col: str = "embedding") -> int | None:
+    """Most frequent length of the sound vectors, of equally frequent ones the smallest; null without vectors."""
+    v = as_vector(vec_col)
+    counts = embeddings.where(sound_vector(v)).groupBy(F.size(v).alias("length")).agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), "length").first()
+    return first["length"] if first else None
 
 
 def unsound_vectors(embeddings: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """``doc_id, problem`` of vectors that cannot be searched: null, not finite, or not of length ``dim``."""
+    """``doc_id, problem`` of vectors that cannot be searched: null, empty, not finite, or not of length ``dim`` (the usual one)."""
     v = as_vector(vec_col)
-    problem = F.when(v.isNull(), F.lit("null")).when(~_sound(v), F.lit("not finite"))
-    if dim is not None:
-        problem = problem.when(F.size(v) != dim, F.lit("wrong length"))
+    dim = usual_length(embeddings, vec_col) if dim is None else dim
+    problem = F.when(v.isNull(), F.lit("null")).when(F.size(v) == 0, F.lit("empty")).when(~sound_vector(v), F.lit("not finite"))
+    problem = problem.when(F.size(v) != F.lit(dim), F.lit("wrong length"))
     return embeddings.select(F.col(id_col).alias("doc_id"), problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def build_dense_index(embeddings: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """Unit vectors by id; written as Parquet this is the dense index.
 
-    What :func:`unsound_vectors` lists is not in it.
+    What :func:`unsound_vectors` lists is not in it. Without ``dim`` the
+    vectors are looked through once more for their usual length.
     """
     v = as_vector(vec_col)
-    kept = _sound(v) if dim is None else _sound(v) & (F.size(v) == dim)
-    return embeddings.where(kept).select(F.col(id_col).alias("doc_id"), l2_normalize(v).alias("unit_vec"))
+    dim = usual_length(embeddings, vec_col) if dim is None else dim
+    return embeddings.where(sound_vector(v) & (F.size(v) == F.lit(dim))).select(F.col(id_col).alias("doc_id"), l2_normalize(v).alias("unit_vec"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(start, BLOCK_ROWS)
-            vectors = part.column(1).flatten()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)),
-                    pa.ListArray.from_arrays(pa.array([0, len(vectors)], pa.int32()), vectors),
-                ],
-                names=["ids", "vectors"],
-            )
+        widths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for width in np.unique(widths):
+            alike = batch if (widths == width).all() else batch.take(pa.array(np.flatnonzero(widths == width)))
+            for start in range(0, alike.num_rows, BLOCK_ROWS):
+                part = alike.slice(start, BLOCK_ROWS)
+                vectors = part.column(1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)),
+                        pa.ListArray.from_arrays(pa.array([0, len(vectors)], pa.int32()), vectors),
+                        pa.array([width], pa.int32()),
+                    ],
+                    names=["ids", "vectors", "width"],
+                )
 
 
 def pack_blocks(vectors: DataFrame) -> DataFrame:
-    """Pack ``(id, unit vector)`` rows into blocks of ids and one flat array."""
+    """Pack ``(id, unit vector)`` rows into blocks of ids and one flat array, each of vectors of one ``width``."""
     id_col, vec_col = vectors.columns
     id_type = vectors.schema[id_col].dataType.simpleString()
-    return vectors.where(_sound(vec_col)).mapInArrow(_pack, f"ids array<{id_type}>, vectors array<double>")
+    return vectors.where(sound_vector(vec_col)).mapInArrow(_pack, f"ids array<{id_type}>, vectors array<double>, width int")
+
 
+def block_topk(k: int, exclude_self: bool):
+    """The k best rows per query of rows that hold a block of queries and one of the corpus."""
 
-def _block_topk(k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -126,7 +144,7 @@ def dense_topk(
     """
     blocks = written(
         pack_blocks(queries.select("query_id", "unit_vec")).select(
-            F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
+            F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "width"
         ),
         "query_blocks",
     )
@@ -140,9 +158,9 @@ def dense_topk(
     group = F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(groups).cast("bigint"))
     corpus = pack_blocks(index.select("doc_id", "unit_vec")).withColumn("lane", lane).withColumn("group", F.explode(_numbers(groups)))
     asked = blocks.withColumn("group", group).withColumn("lane", F.explode(_numbers(lanes)))
-    met = corpus.join(asked, ["lane", "group"]).select("q_ids", "q_vectors", "ids", "vectors")
+    met = corpus.join(asked, ["lane", "group", "width"]).select("q_ids", "q_vectors", "ids", "vectors")
     kinds = (queries.schema["query_id"].dataType.simpleString(), index.schema["doc_id"].dataType.simpleString())
-    hits = met.mapInArrow(_block_topk(k, exclude_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    hits = met.mapInArrow(block_topk(k, exclude_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
     return top_k(hits, k)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspot.functions.vectors import HASH_DIM, hash_bucket
@@ -82,20 +82,44 @@ def embed_column(
     """Embed a text column with a user's model, ``batch_size`` texts per call.
 
     The callable runs inside the tasks, so the calls go out in parallel. The
-    columns ``keep`` stay beside the embedding.
+    columns ``keep`` stay beside the embedding. A null text is embedded as the
+    empty one. When a call fails, each half of its texts is sent again by
+    itself, down to the single texts that fail: these have no embedding, and
+    their ``error`` says why.
     """
     keep = list(keep)
 
+    def embedded(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            vectors = [list(map(float, v)) for v in embed(texts)]
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} embeddings of {len(texts)} texts")
+            return [(v, None) for v in vectors]
+        except Exception as failure:  # noqa: BLE001 - any failure is the text's error
+            if len(texts) == 1:
+                return [(None, str(failure) or type(failure).__name__)]
+            half = len(texts) // 2
+            return embedded(texts[:half]) + embedded(texts[half:])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
-                vectors = [list(map(float, v)) for v in embed(part["text"].tolist())]
-                yield part[["doc_id", *keep]].assign(embedding=vectors)
+                vectors, errors = zip(*embedded(part["text"].tolist()), strict=True)
+                yield part[["doc_id", *keep]].assign(embedding=vectors, error=errors)
 
-    source = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), *keep, _whole(text_col).alias("text"))
     kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ["doc_id", *keep])
-    return source.mapInPandas(run, f"{kinds}, embedding array<double>")
+    return source.mapInPandas(run, f"{kinds}, embedding array<double>, error string")
+
+
+def _whole(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """What a stored embedding knows its text by; a null text is the empty one."""
+    return F.sha2(_whole(text_col), 256)
 
 
 def missing_embeddings(docs: DataFrame, stored: DataFrame, text_col: str = "text") -> DataFrame:
@@ -104,20 +128,25 @@ def missing_embeddings(docs: DataFrame, stored: DataFrame, text_col: str = "text
     ``stored`` has ``doc_id`` and ``text_hash``; a changed text has a new hash
     and is embedded again.
     """
-    hashed = docs.withColumn("text_hash", F.sha2(F.col(text_col), 256))
+    hashed = docs.withColumn("text_hash", text_hash(text_col))
     return hashed.join(stored.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
 
 
 def embed_missing(docs: DataFrame, path: str, embed: Embedder, text_col: str = "text") -> DataFrame:
-    """Embed what the table at ``path`` lacks, append it, and return current embeddings."""
+    """Embed what the table at ``path`` lacks, append it, and return current embeddings.
+
+    A text that fails is a row of the table with its ``error``, has no current
+    embedding, and is tried again by the next call.
+    """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_hash string, embedding array<double>"
+    schema = f"doc_id {id_type}, text_hash string, embedding array<double>, error string"
     if not table_exists(spark, path):
         spark.createDataFrame([], schema).write.parquet(path)
-    stored = spark.read.schema(schema).parquet(path)
-    todo = written(missing_embeddings(docs, stored, text_col).select("doc_id", "text_hash", text_col), "to_embed")
+    known = spark.read.schema(schema).parquet(path).where(F.col("embedding").isNotNull())
+    todo = written(missing_embeddings(docs, known, text_col).select("doc_id", "text_hash", text_col), "to_embed")
     if not todo.isEmpty():
         embed_column(todo, embed, text_col=text_col, keep=["text_hash"]).write.mode("append").parquet(path)
-    current = docs.select("doc_id", F.sha2(F.col(text_col), 256).alias("text_hash"))
-    return spark.read.schema(schema).parquet(path).join(current, ["doc_id", "text_hash"], "left_semi")
+    current = docs.select("doc_id", text_hash(text_col).alias("text_hash"))
+    known = spark.read.schema(schema).parquet(path).where(F.col("embedding").isNotNull())
+    return known.join(current, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text_hash", "embedding")

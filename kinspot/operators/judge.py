@@ -65,7 +65,8 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     """Prompt per query from ``(query_id, rank, text)`` contexts in rank order.
 
     A query has at most k contexts, which bounds the collected array. A query
-    without contexts gets a prompt without references.
+    without contexts gets a prompt without references. Null texts, of queries
+    and of references, are empty ones.
     """
     fence_open, fence_close = F.lit("\n```python\n"), F.lit("\n```")
     blocks = (
@@ -78,7 +79,7 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
                 F.transform(
                     "refs",
                     lambda r, i: F.concat(
-                        F.lit(REFERENCE_HEAD), (i + 1).cast("string"), F.lit(":"), fence_open, r["text"], fence_close
+                        F.lit(REFERENCE_HEAD), (i + 1).cast("string"), F.lit(":"), fence_open, F.coalesce(r["text"], F.lit("")), fence_close
                     ),
                 ),
                 REFERENCE_SEPARATOR,
@@ -88,7 +89,7 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     prompt = F.concat(
         F.lit(PROMPT_HEAD + "\n\nQUERY CODE:"),
         fence_open,
-        F.col("text"),
+        F.coalesce("text", F.lit("")),
         fence_close,
         F.lit("\n\nREFERENCE CODES:\n"),
         F.coalesce("references", F.lit("")),

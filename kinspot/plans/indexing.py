@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspot.functions.vectors import HASH_DIM
-from kinspot.operators.dense import build_dense_index
+from kinspot.operators.dense import build_dense_index, usual_length
 from kinspot.operators.embedding import Embedder, embed_column, embed_missing, hash_embed, hash_embed_text
 from kinspot.operators.sparse import SparseIndex, build_sparse_index, load_sparse_index
 from kinspot.session import new_path, written
@@ -32,7 +32,7 @@ class CorpusIndex:
             vectors = hash_embed_text(queries, id_col="query_id", dim=self.dim)
         else:
             vectors = embed_column(queries, self.embed, id_col="query_id")
-        return build_dense_index(vectors).withColumnRenamed("doc_id", "query_id")
+        return build_dense_index(vectors, dim=self.dim).withColumnRenamed("doc_id", "query_id")
 
 
 def build_indexes(
@@ -59,8 +59,8 @@ def build_indexes(
         vectors = hash_embed(sparse.counts, dim)
     else:
         vectors = embed_missing(corpus, f"{root}/embeddings-{embedder}", embed).select("doc_id", "embedding")
-    dense = written(build_dense_index(vectors), "dense", f"{version}/dense")
-    width = dense.agg(F.max(F.size("unit_vec"))).first()[0] or dim
+    width = dim if embed is None else usual_length(vectors) or dim
+    dense = written(build_dense_index(vectors, dim=width), "dense", f"{version}/dense")
     about = spark.createDataFrame([(version, width, embedder if embed else "hashed")], ABOUT)
     about.coalesce(1).write.mode("append").parquet(f"{root}/versions/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
     return CorpusIndex(corpus=corpus, sparse=sparse, dense=dense, dim=width, embed=embed)

@@ -1,9 +1,11 @@
-"""Every registered query against its SQL, and the shape of its plan."""
+"""Every query of the library against its SQL, and the shape of its plan; tests/llm has those of the optional part."""
 
 import pytest
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,14 +13,14 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    ok, note = compare(spark, con, sf_dir, queries()[name], oracle_sql()[name])
+    ok, note = compare(spark, con, sf_dir, QUERIES[name], ORACLES[name])
     assert ok, note
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -30,9 +32,9 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, sf_dir, name):
-    text = plan(queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
@@ -50,6 +52,6 @@ def test_topk_cuts_before_the_shuffle(spark, sf_dir):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    text = plan(queries()["filter_optional"](spark, sf_dir))
+    text = plan(QUERIES["filter_optional"](spark, sf_dir))
     assert "EqualTo(c_mktsegment,BUILDING)" in text
     assert "c_nationkey" not in text.split("ReadSchema: ")[1].split("\n")[0]
