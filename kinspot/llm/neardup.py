@@ -4,16 +4,19 @@
    its set of hashed word shingles, a MinHash signature and its band buckets.
    Documents of equal sets are one class, which the smallest id stands for.
 2. Class representatives that share a bucket are candidates. A bucket's
-   members meet hubs, never each other all: in the first round one hub, the
-   member that meets most others over all its buckets, as the text does that
-   the others of a group were made of. Later rounds draw more and more hubs among members that have been
-   none, for buckets that still hold several components, until no pair of
-   different components is left untried, so a bucket of any size is done exactly.
-   Large groups are one component by then. What is left are mostly texts a
-   little too different from all others, and most of their pairs need no hub:
-   a document with more shingles that few open documents hold (``RARE`` at
-   most) than a partner may lack must share one of them, so such pairs are
-   found by these shingles, each of which makes a bounded number of pairs.
+   members meet one hub, never each other all: the member that meets most
+   others over all its buckets, as the text does that the others of a group
+   were made of. Large groups are one component by then. Buckets that still
+   hold several components are done exactly by what their members do not
+   share, in two equi-joins:
+   * A pair with a shingle that few open documents hold (``RARE`` at most) is
+     found by this shingle, which makes a bounded number of pairs.
+   * Of all others, each document is described by its difference from the
+     hub: shingles added and missing. Two documents can be linked only if
+     their differences overlap enough, which grows with the differences, and
+     one of them is not linked to the hub. So a pair shares one of the
+     rarest shingles of both differences (a prefix filter), and copies that
+     differ from the hub each in its own way never meet.
 3. Signatures of a pair are compared a batch of positions at a time. With a
    uniform prior, m matches in n positions make the chance of a similarity of
    at least t equal to P(Bin(n + 1, t) <= m); below ``miss`` the pair goes.
@@ -48,10 +51,10 @@ BAND_ROWS = 5
 MISS = 1e-6
 #: positions that are compared before the next look at the bounds
 BATCH = 20
-#: a bucket that is not done draws this many times as many hubs in its next round
-MORE_HUBS = 32
 #: documents that hold a rare shingle, at most
 RARE = 32
+#: parts that the members of one hub are dealt to
+SALTS = 16
 
 
 def n_bands(threshold: float, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -173,8 +176,8 @@ def _least_common(n: Column, other: Column, percent: int) -> Column:
     return F.ceil(percent * (n + other) / (100 + percent))
 
 
-def _rare_pairs(pool: DataFrame, own: DataFrame, k: int, percent: int, separators: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """``pool`` with the number of each document's rare shingles, and the pairs that can be linked by sharing some."""
+def _rare_pairs(pool: DataFrame, own: DataFrame, k: int, percent: int, separators: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``pool`` with the number of each document's rare shingles, these shingles, and the pairs that can be linked by sharing some."""
     open_docs = pool.select(F.col("id").alias("doc_id"), "n", "component").distinct()
     texts = own.join(open_docs.select("doc_id").distinct(), "doc_id", "left_semi")
     held = stored(texts.mapInArrow(_post_task(k, separators), "id long, shingle long"), "open-shingles")
@@ -192,7 +195,78 @@ def _rare_pairs(pool: DataFrame, own: DataFrame, k: int, percent: int, separator
     met = met.groupBy("hub", "member", "hub_n", "n", "hub_rare", "rare").agg(F.count("*").alias("shared"))
     least = _least_common(F.col("hub_n"), F.col("n"), percent)
     enough = F.col("shared") >= F.greatest(F.col("hub_rare") - F.col("hub_n"), F.col("rare") - F.col("n")) + least
-    return pool, met.filter(enough).select("hub", "member")
+    return pool, rare.select("shingle").distinct(), met.filter(enough).select("hub", "member")
+
+
+def _difference_task(k: int, separators: np.ndarray):
+    """Shingles of each text that its hub lacks (added) and the other way round, for rows (hub, id, hub_text, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, members = (_sets(batch.column(c), k, separators) for c in ("hub_text", "text"))
+            for row, (h, a) in enumerate(zip(hubs, members, strict=True)):
+                added, missing = np.setdiff1d(a, h, True), np.setdiff1d(h, a, True)
+                n = len(added) + len(missing)
+                if not n:
+                    continue
+                same = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(n, np.int64))) for c in ("hub", "id")]
+                numbers = [int(mix(x).sum().view(np.int64)) for x in (h, a)] + [len(h), len(a), len(added), len(missing)]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, *(pa.array(np.full(n, x)) for x in numbers), pa.array(np.concatenate((added, missing)).view(np.int64)), pa.array(np.arange(n) < len(added))],
+                    ["hub", "id", "hub_key", "key", "hub_n", "n", "n_added", "n_missing", "shingle", "added"])
+
+    return run
+
+
+DIFFERENCES = "hub long, id long, hub_key long, key long, hub_n long, n long, n_added long, n_missing long, shingle long, added boolean"
+
+
+def _difference_pairs(pool: DataFrame, hubs: DataFrame, rare: DataFrame, own: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:
+    """Pairs of open documents of different components that can be linked without sharing a rare shingle.
+
+    With all sizes times ``100 + percent``, x and y are linked if their
+    differences from the hub share at least ``W(x) + W(y) - S`` shingles, where
+    ``W = percent * added + 100 * missing`` and ``S = (100 - percent) * size of
+    the hub``; a document is linked to the hub itself if ``W <= S``. So what is
+    not linked to the hub has ``W > S``, and whoever meets it shares more than
+    its own ``W``. Rare shingles are not shared, and count in ``W`` only.
+    """
+    scale = 100 + percent
+    able = F.col("rare") <= F.col("n") - F.ceil(F.col("n") * percent / 100)
+    # all buckets whose hubs are of one component refer to that component's most central hub
+    first = hubs.groupBy("component").agg(F.min(F.struct("order", "id")).alias("h")).select("component", F.col("h.id").alias("hub"))
+    refer = hubs.join(first, "component").select("bucket", "hub", F.col("component").alias("hub_component"))
+    here = stored(pool.join(refer, "bucket").filter(able).select("hub", "hub_component", "id", "component", "rare").distinct(), "able-members")
+    # where all are of the hub's component there is no pair left; a large group is dealt to SALTS parts
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    apart = here.filter("component <> hub_component").select("hub").distinct().select("hub", copies)
+    here = here.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(apart, ["hub", "salt"], "left_semi")
+    hub_texts = own.toDF("hub", "hub_text").join(apart.select("hub").distinct(), "hub", "left_semi").select("hub", "hub_text", copies)
+    both = here.select("hub", "salt", "id").join(own.toDF("id", "text"), "id").join(hub_texts, ["hub", "salt"]).drop("salt")
+    different = stored(both.mapInArrow(_difference_task(k, separators), DIFFERENCES), "differences")
+    shared = different.join(rare.withColumn("added", F.lit(True)), ["shingle", "added"], "left_anti")
+    holders = shared.groupBy("hub", "hub_key", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    member = ["hub", "hub_key", "id", "key"]
+    sizes = shared.groupBy(*member).agg(F.count("*").alias("d"))
+    rows = shared.join(sizes, member).join(here.drop("salt"), ["hub", "id"]).withColumn("w", percent * F.col("n_added") + 100 * F.col("n_missing"))
+    inner = F.col("component") == F.col("hub_component")
+    beyond = F.col("d") - F.floor(F.col("w") / scale)  # the prefix where the partner is not linked to the hub
+    least = F.greatest(F.lit(1), F.ceil((F.col("w") - (100 - percent) * F.col("hub_n")) / scale))
+    rows = rows.withColumn("beyond", beyond).withColumn("prefix", F.when(inner, beyond).otherwise(F.col("d") - least + 1)).filter("prefix > 0")
+    # shingles that one difference holds come first in the order and make no pair
+    rows = rows.join(holders, ["hub", "hub_key", "shingle"], "left")
+    alone = F.count(F.when(F.col("holders").isNull(), 1)).over(Window.partitionBy(*member))
+    place = F.row_number().over(Window.partitionBy(*member).orderBy(F.asc_nulls_first("holders"), "shingle"))
+    rows = rows.withColumn("alone", alone).filter(F.col("alone") < F.col("prefix")).withColumn("place", place)
+    rows = rows.filter((F.col("place") <= F.col("prefix")) & F.col("holders").isNotNull())
+    rows = stored(rows.select(*member[:2], "shingle", "id", "n", "rare", "component", inner.alias("inner"), (F.col("place") <= F.col("beyond")).alias("close")), "difference-prefixes")
+    names = ["id", "n", "rare", "component", "inner", "close"]
+    left = rows.filter("NOT inner").withColumnsRenamed({c: f"hub_{c}" for c in names}).withColumnRenamed("hub", "of")
+    met = left.join(rows.withColumnRenamed("hub", "of"), ["of", "hub_key", "shingle"])
+    met = met.filter("hub_component <> component AND (inner OR (close AND hub_close AND hub_id < id))")
+    common = _least_common(F.col("hub_n"), F.col("n"), percent)
+    near = (F.least("n", "hub_n") >= common) & (F.col("rare") <= F.col("n") - common) & (F.col("hub_rare") <= F.col("hub_n") - common)
+    return met.filter(near).select(F.col("hub_id").alias("hub"), F.col("id").alias("member")).distinct()
 
 
 def _open(pool: DataFrame) -> DataFrame:
@@ -233,10 +307,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         found = stored(both.mapInArrow(_verify_task(k, percent, separators), "hub long, member long"), "links")
         return labels if found.isEmpty() else stored(components(labels.union(found)), "components")
 
+    def pruned(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (hub, member) whose signatures leave them a chance."""
+        signed_pairs = pairs.join(signs.toDF("hub", "hub_a", "hub_b", "hub_signature"), "hub").join(signs.withColumnRenamed("id", "member"), "member")
+        return stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors")
+
     def settled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """``labels`` with the links among ``pairs`` (hub, member), which are pruned by their signatures and verified."""
-        signed_pairs = pairs.join(signs.toDF("hub", "hub_a", "hub_b", "hub_signature"), "hub").join(signs.withColumnRenamed("id", "member"), "member")
-        pairs = stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors")
+        pairs = pruned(pairs)
         if pairs.isEmpty():
             return labels
         likeliest = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "hub", "hub_a", "hub_b", "key_a", "key_b"))
@@ -252,26 +330,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         now = pool.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left")
         return stored(_open(now.withColumn("component", F.coalesce("component", "id")).select(*pool.columns)), "bucket-members")
 
-    hubs_each = 1
-    while True:
-        drawn = F.struct((-F.col("met")).alias("order"), F.xxhash64("id", "bucket").alias("draw"), "id", "n", "rare", "component")
-        share = F.pmod(F.xxhash64("bucket", "id", F.lit(hubs_each)), F.lit(hubs_each))
-        hubs = stored(pool.groupBy("bucket", share.alias("share")).agg(F.min(drawn).alias("h")).select("bucket", "h.*"), "hubs")
-        met = pool.join(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("rare").alias("hub_rare"), F.col("component").alias("hub_component")), "bucket")
-        least = _least_common(F.col("hub_n"), F.col("n"), percent)
-        near = (F.least("n", "hub_n") >= least) & (F.col("rare") <= F.col("n") - least) & (F.col("hub_rare") <= F.col("hub_n") - least)
-        met = met.filter((F.col("hub_component") != F.col("component")) & near)
-        pairs = met.groupBy(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).agg(F.max(F.struct("hub", F.col("id").alias("member"))).alias("p")).select("p.*")
-        labels = settled(pairs, labels)
-        # hubs have met every member
-        pool = still_open(pool.join(hubs.select("bucket", "id"), ["bucket", "id"], "left_anti"), labels)
-        if hubs_each == 1 and not pool.isEmpty():
-            pool, pairs = _rare_pairs(pool, own, k, percent, separators)
-            labels = settled(pairs, labels)
-            pool = still_open(pool, labels)
-        if pool.isEmpty():
-            break
-        hubs_each *= MORE_HUBS
+    # one hub a bucket
+    drawn = F.struct((-F.col("met")).alias("order"), F.xxhash64("id", "bucket").alias("draw"), "id", "n")
+    hubs = stored(pool.groupBy("bucket").agg(F.min(drawn).alias("h")).select("bucket", "h.id", "h.n", "h.order"), "hubs")
+    met = pool.join(hubs.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n")), "bucket")
+    met = met.filter((F.col("hub") != F.col("id")) & (F.least("n", "hub_n") >= _least_common(F.col("hub_n"), F.col("n"), percent)))
+    pairs = met.groupBy(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).agg(F.max(F.struct("hub", F.col("id").alias("member"))).alias("p")).select("p.*")
+    labels = settled(pairs, labels)
+    pool = still_open(pool, labels)
+    if not pool.isEmpty():
+        pool, rare, pairs = _rare_pairs(pool, own, k, percent, separators)
+        known = hubs.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = pairs.union(_difference_pairs(pool, known, rare, own, k, percent, separators)).distinct()
+        # few are left, so all are verified at once
+        labels = linked(pruned(pairs), labels)
 
     by_class = reps.select(*keys, F.col("id").alias("node")).join(labels, "node", "left")
     by_class = by_class.select(*keys, F.coalesce("component", "node").alias("component_id"))

@@ -73,6 +73,50 @@ def test_near_duplicates_of_one_large_group(spark):
     assert as_dict(neardup.near_duplicates(cases.docs(spark, rows), 3, 85)) == cases.near_duplicates(rows, 3, 85)
 
 
+def under_the_threshold(rng, n, words=150):
+    """Texts about as far from a base text as the threshold allows; some changes are shared by many, in steps of different reach."""
+    base = [f"b{i}" for i in range(words)]
+    shared = [(rng.randrange(words), f"s{i % 9}") for i in range(60)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(words)] = f"own{i}x{rng.randrange(999)}"
+        for at, word in rng.sample(shared, rng.randrange(9)):
+            own[at] = word
+        if i % 5 == 0:
+            del own[rng.randrange(100) :][: rng.randrange(12)]
+        if i % 7 == 0:
+            own += [f"tail{rng.randrange(4)}x{j}" for j in range(rng.randrange(25))]
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent", "rare"), [(3, 85, 32), (3, 85, 2), (5, 80, 4), (2, 90, 3)])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, k, percent, rare):
+    monkeypatch.setattr(neardup, "RARE", rare)
+    rows = under_the_threshold(random.Random(100 * k + rare), 350)
+    # rows that share an id, and another group far from the first
+    rows += [(3, rows[40][1]), (3, "something else"), *((1000 + i, t) for i, t in under_the_threshold(random.Random(5), 60, 40))]
+    texts = [(i, t) for i, t in rows if i != 3]
+    want = cases.near_duplicates(texts, k, percent)
+    got = neardup.near_duplicates(cases.docs(spark, texts), k, percent)
+    assert as_dict(got) == want and 20 < len({c for _, c in want.values()}) < 400
+    whole = {(r.doc_id, r.n_shingles) for r in neardup.near_duplicates(cases.docs(spark, rows), k, percent).collect()}
+    assert whole == {(i, len(cases.shingle_set(t, k))) for i, t in rows}
+
+
+@pytest.mark.parametrize("found_by", ["rare", "difference"])
+def test_pairs_that_their_hub_does_not_link(spark, monkeypatch, found_by):
+    """Two outliers alike, and an outlier like one text of the hub's group."""
+    monkeypatch.setattr(neardup, "RARE", 0 if found_by == "difference" else 32)
+    base = [f"b{i}" for i in range(120)]
+    edit = lambda spots, mark: " ".join(f"{mark}{i}" if i in spots else w for i, w in enumerate(base))
+    rows = [(i, edit({(7 * i) % 120}, f"m{i}x")) for i in range(40)]
+    rows += [(100, edit({10, 30, 50, 70}, "o")), (101, edit({10, 30, 50, 71}, "o")), (102, edit({5, 25, 45, 65}, "p")), (103, edit({5, 25, 85}, "p"))]
+    assert as_dict(neardup.near_duplicates(cases.docs(spark, rows), 3, 85)) == cases.near_duplicates(rows, 3, 85)
+
+
 def test_near_duplicates_of_odd_cases(spark):
     got = neardup.near_duplicates(cases.docs(spark), 3, 85)
     rows = got.collect()
