@@ -14,6 +14,7 @@ from kinspot.operators.fusion import rrf_topk
 from kinspot.operators.judge import pair_containment
 from kinspot.operators.replay import replay, validate
 from kinspot.operators.segments import SegmentedIndex, add_documents
+from kinspot.plans.continuing import LogRun, run_log, start_table
 from kinspot.plans.detectors import dense_hits, sparse_hits
 from kinspot.plans.indexing import CorpusIndex, build_indexes
 from kinspot.session import new_path, written
@@ -250,6 +251,14 @@ class TestData:
     def replayed(self) -> DataFrame:
         return written(replay(self.commands, self.base), "replayed")
 
+    @cached_property
+    def two_runs(self) -> tuple[LogRun, LogRun]:
+        """The log in two halves, the second from the state that the first left."""
+        path = new_path(self.spark, "staff_table")
+        start_table(self.base, path)
+        half = self.table("events").agg((F.max("event_id") / 2).cast("bigint")).first()[0]
+        return run_log(self.log.where(F.col("seq") <= half), path), run_log(self.log.where(F.col("seq") > half), path)
+
     @cached_property
     def staff(self) -> DataFrame:
         """Customers as the keyed table of the batch operators."""

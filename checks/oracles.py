@@ -210,6 +210,9 @@ ORACLES["extract_functions_from_modules"] = f"""
 SELECT 'part_' || p_partkey || '.py::' || function_name || '::' || line AS id, code,
        'src/part_' || p_partkey || '.py' AS file_path, function_name, token_count FROM {functions()}"""
 ORACLES["scan_source_files"] = f"SELECT code, function_name, token_count FROM {functions()}"
+ORACLES["scan_changed_files"] = f"""
+SELECT code, function_name, token_count FROM {functions()}
+UNION ALL SELECT replace(code, 'make_', 'build_up_'), replace(function_name, 'make_', 'build_up_'), token_count FROM {functions()}"""
 ORACLES["token_band_filter"] = f"""
 SELECT doc_id, len({tokens('text')})::INT AS token_count FROM documents WHERE len({tokens('text')}) BETWEEN 30 AND 8000"""
 ORACLES["corpus_union"] = """
@@ -338,6 +341,22 @@ SELECT query_id, 'verbatim' AS method, bool_or(hit) AS is_match, bool_or(hit)::I
        count(*)::INT AS context_size, coalesce(string_agg(rank::VARCHAR, ' ' ORDER BY rank) FILTER (hit), '') AS matched_references,
        NULL::VARCHAR AS error, string_agg(rank || ':' || doc_id, ' ' ORDER BY rank) AS matches
 FROM held GROUP BY query_id"""
+ORACLES["judge_answers_once"] = f"""WITH {HYBRID},
+held AS (SELECT h.query_id, h.rank, contains(d.text, i.text) AS hit
+         FROM hybrid h JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = h.query_id),
+judged AS (SELECT query_id, bool_or(hit) AS is_match, bool_or(hit)::INT::DOUBLE AS confidence,
+                  coalesce(string_agg(rank::VARCHAR, ' ' ORDER BY rank) FILTER (hit), '') AS matched_references
+           FROM held GROUP BY query_id)
+SELECT query_id * 3 + copy AS query_id, is_match, confidence, matched_references, NULL::VARCHAR AS error, 1 AS n_answers
+FROM judged CROSS JOIN range(3) c(copy)"""
+ORACLES["detect_sampled_context_parts"] = """
+WITH held AS (
+  SELECT i.item_id AS query_id, s.rank, contains(s.text, i.text) AS hit FROM benchmark i CROSS JOIN (
+    SELECT text, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)::INT AS rank FROM documents QUALIFY rank <= 1000) s)
+SELECT query_id, 'sampled_context' AS method, bool_or(hit) AS is_match, bool_or(hit)::INT::DOUBLE AS confidence,
+       count(*)::INT AS context_size, coalesce(string_agg(rank::VARCHAR, ' ' ORDER BY rank) FILTER (hit), '') AS matched_references,
+       NULL::VARCHAR AS error, NULL::VARCHAR AS matches
+FROM held GROUP BY query_id"""
 
 # --- labelled sets ----------------------------------------------------------------------
 
@@ -377,6 +396,22 @@ scored AS (SELECT src_id, label, attempt, {jaccard('x', 'y')} AS jaccard FROM sp
 valid AS (SELECT * FROM scored WHERE CASE WHEN label = 1 THEN jaccard >= 0.1 AND attempt <= 3 ELSE jaccard < 0.1 AND attempt <= 5 END),
 best AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY src_id, label ORDER BY attempt) = 1)
 """
+ORACLES["candidate_rounds"] = f"""
+WITH raw AS (
+  SELECT doc_id AS src_id, text, unnest([
+    {{'label': 1, 'attempt': 1, 'code': translate(text, 'aeiou', '     '), 'error': NULL}},
+    {{'label': 1, 'attempt': 2, 'code': CASE WHEN NOT starts_with(text, 'a') THEN translate(text, 'ae', 'xy') END,
+      'error': CASE WHEN starts_with(text, 'a') THEN 'no copy of this' END}},
+    {{'label': 1, 'attempt': 3, 'code': 'copy of ' || text, 'error': NULL}},
+    {{'label': 0, 'attempt': 1, 'code': text, 'error': NULL}}, {{'label': 0, 'attempt': 2, 'code': 'copy of ' || text, 'error': NULL}},
+    {{'label': 0, 'attempt': 3, 'code': translate(text, 'ae', 'xy'), 'error': NULL}},
+    {{'label': 0, 'attempt': 4, 'code': NULL, 'error': 'nothing generated'}}, {{'label': 0, 'attempt': 5, 'code': 'nothing of this', 'error': NULL}}]) AS c
+  FROM documents),
+split AS (SELECT src_id, c.label, c.attempt, c.code, c.error, {words('text')} AS x, {words("coalesce(c.code, '')")} AS y FROM raw),
+scored AS (SELECT src_id, label, attempt, code, error, CASE WHEN code IS NOT NULL THEN {jaccard('x', 'y')} END AS jaccard FROM split),
+valid AS (SELECT *, coalesce(CASE WHEN label = 1 THEN jaccard >= 0.1 ELSE jaccard < 0.1 END, false) AS is_valid FROM scored)
+SELECT src_id, label::INT AS label, attempt::INT AS attempt, is_valid, jaccard, md5(code) AS code_md5, error FROM valid
+QUALIFY coalesce(min(attempt) FILTER (is_valid) OVER (PARTITION BY src_id, label), 9) >= attempt"""
 ORACLES["first_valid_candidate"] = f"WITH {CANDIDATES} SELECT src_id, label, attempt, jaccard FROM best"
 ORACLES["candidate_stats"] = f"""WITH {CANDIDATES}
 SELECT l.label, count(b.src_id) AS n_success, count(*) - count(b.src_id) AS n_fail
@@ -613,6 +648,16 @@ SELECT c.seq, c.role, count(v.name) AS n_rows, coalesce(sum(v.salary), 0)::BIGIN
 FROM calls c LEFT JOIN versions v ON v.valid_from < c.seq AND (v.valid_to IS NULL OR v.valid_to >= c.seq)
   AND (c.role IS NULL OR v.role = c.role)
 GROUP BY c.seq, c.role"""
+ORACLES["tables_as_of"] = f"""WITH {REPLAY},
+calls AS (SELECT seq AS position, nullif(role, '') AS asked_role FROM commands WHERE error IS NULL AND tool = 'get_employees')
+SELECT position, asked_role, count(*) AS n_rows, sum(id)::BIGINT AS id_total, sum(salary)::BIGINT AS salary_total,
+  min(name) AS first_name, max(name) AS last_name, count(DISTINCT role) AS n_roles
+FROM calls JOIN versions v ON v.valid_from < position AND (v.valid_to IS NULL OR v.valid_to >= position)
+  AND (asked_role IS NULL OR v.role = asked_role)
+GROUP BY position, asked_role"""
+ORACLES["replay_in_two_parts"] = ORACLES["replay_statuses"]
+ORACLES["replay_in_two_parts_lists"] = ORACLES["replay_asof_snapshot"]
+ORACLES["replay_in_two_parts_table"] = ORACLES["replay_final_table"]
 ORACLES["replay_row_versions"] = f"WITH {REPLAY} SELECT * FROM versions"
 ORACLES["replay_table_as_of"] = f"""WITH {REPLAY},
 middle AS (SELECT floor(max(seq) / 2) AS point FROM commands)

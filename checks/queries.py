@@ -27,8 +27,11 @@ from kinspot.operators.dense import dense_topk as topk_by_blocks
 from kinspot.operators.embedding import embed_column, embed_missing, hash_embed_text, hashed_counts, missing_embeddings
 from kinspot.operators.fusion import hydrate, match_records, rrf_topk_sweep
 from kinspot.operators.judge import build_prompts, judge_containment, pair_containment, parse_verdicts, sample_rows
+from kinspot.operators.answers import answer_key, answer_table, ask_once
+from kinspot.operators.rounds import candidate_rounds as run_rounds
 from kinspot.operators.regions import build_regions, region_search
 from kinspot.operators.segments import segmented_topk
+from kinspot.operators.timeline import tables_as_of as tables_at
 from kinspot.operators.sparse import bm25_score_pairs, term_counts
 from kinspot.plans import detectors as dt
 from kinspot.plans import evaluation as pe
@@ -36,6 +39,7 @@ from kinspot.plans.growing import grow_indexes
 from kinspot.plans.indexing import build_indexes, index_sizes, load_indexes
 from kinspot.session import new_path, written
 from kinspot.sources import tables as tb
+from kinspot.sources.changed_files import scan_changed_files as scan_changed
 from kinspot.sources.code_files import extract_functions, scan_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,13 +127,29 @@ def extract_functions_from_modules(d: TestData) -> DataFrame:
 @query
 def scan_source_files(d: TestData) -> DataFrame:
     path = new_path(d.spark, "sources")
-    # one line per row keeps the text as it is; a file holds many modules
-    lines = d.modules.repartition(64, "p_partkey").select(F.explode(F.split("content", "\n")).alias("line"))
+    _write_modules(d.modules, f"{path}/deep/er", 64)
+    return extract_functions(scan_files(d.spark, path)).select("code", "function_name", "token_count")
+
+
+def _write_modules(modules: DataFrame, path: str, files: int) -> None:
+    """Modules as source files of several modules each; one line per row keeps the text as it is."""
+    lines = modules.repartition(files, "p_partkey").select(F.explode(F.split("content", "\n")).alias("line"))
     (
-        lines.write.option("extension", "py").option("sep", "\x01").option("quote", "\x02").option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/deep/er")
+        lines.write.mode("overwrite").option("extension", "py").option("sep", "\x01").option("quote", "\x02").option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
-    return extract_functions(scan_files(d.spark, path)).select("code", "function_name", "token_count")
+
+
+@query
+def scan_changed_files(d: TestData) -> DataFrame:
+    """A second scan after half of the files were written anew with other modules, of other sizes."""
+    path, store = new_path(d.spark, "sources"), new_path(d.spark, "parsed")
+    _write_modules(d.modules, f"{path}/one", 16)
+    _write_modules(d.modules.select("p_partkey", F.replace("content", F.lit("total"), F.lit("amount")).alias("content")), f"{path}/two", 16)
+    scan_changed(d.spark, path, store).count()
+    renamed = d.modules.select("p_partkey", F.replace("content", F.lit("make_"), F.lit("build_up_")).alias("content"))
+    _write_modules(renamed, f"{path}/two", 12)
+    return scan_changed(d.spark, path, store).select("code", "function_name", "token_count")
 
 
 @query
@@ -447,6 +467,30 @@ def judge_with_callable(d: TestData) -> DataFrame:
     return _flat(dt.judge_contexts(d.index, d.queries, d.hybrid, "verbatim", judge=_verbatim_judge))
 
 
+@query
+def detect_sampled_context_parts(d: TestData) -> DataFrame:
+    """A sample of more documents than a prompt can hold."""
+    return _flat(dt.detect_sampled_context(d.index, d.queries, n=1000, judge=_verbatim_judge))
+
+
+@query
+def judge_answers_once(d: TestData) -> DataFrame:
+    """Every prompt asked under three ids, in two runs; the number of answers stored for it stays one."""
+    path = new_path(d.spark, "answers")
+    contexts = d.hybrid.join(d.documents.select("doc_id", "text"), "doc_id")
+    prompts = written(build_prompts(d.queries, contexts).select("query_id", "prompt"), "once_prompts")
+    ask_once(prompts, _verbatim_judge, path, "verbatim").count()
+    thrice = prompts.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    copies = thrice.select((F.col("query_id") * 3 + F.col("copy")).alias("query_id"), "prompt")
+    verdicts = parse_verdicts(ask_once(copies, _verbatim_judge, path, "verbatim"))
+    stored = answer_table(d.spark, path).groupBy("key").agg(F.count("*").alias("n_answers"))
+    keyed = copies.select("query_id", answer_key("prompt").alias("key"))
+    refs = joined(F.transform("matched_references", lambda x: x.cast("string")))
+    return verdicts.join(keyed, "query_id").join(stored, "key").select(
+        "query_id", "is_match", "confidence", refs.alias("matched_references"), "error", "n_answers"
+    )
+
+
 @query
 def rebuild_indexes(d: TestData) -> DataFrame:
     """A second build on one path: some texts changed, and as many documents new."""
@@ -547,6 +591,31 @@ def _candidates(d: TestData) -> DataFrame:
     )
 
 
+def _disguise(asked: list[tuple[str, int, int]]) -> list[str | None]:
+    """Copies of falling disguise for label 1, texts that resemble the original less and less for label 0."""
+    if any(attempt == 2 and label == 1 and text.startswith("a") for text, label, attempt in asked):
+        raise RuntimeError("no copy of this")
+    plain = [lambda t: t.translate(_NO_VOWELS), lambda t: t.translate(_OTHERS), lambda t: "copy of " + t]
+    far = [lambda t: t, lambda t: "copy of " + t, lambda t: t.translate(_OTHERS), lambda t: None, lambda t: "nothing of this"]
+    return [(plain if label else far)[attempt - 1](text) for text, label, attempt in asked]
+
+
+_NO_VOWELS, _OTHERS = str.maketrans("aeiou", "     "), str.maketrans("ae", "xy")
+
+
+@query
+def candidate_rounds(d: TestData) -> DataFrame:
+    originals = d.documents.select(F.col("doc_id").alias("src_id"), F.col("text").alias("code"))
+
+    def check(made: DataFrame) -> DataFrame:
+        scored = made.join(originals.withColumnRenamed("code", "text"), "src_id").withColumn("jaccard", r6(token_jaccard("text", "code")))
+        close = F.col("jaccard") >= ls.MIN_JACCARD
+        return scored.withColumn("is_valid", F.when(F.col("label") == 1, close).otherwise(~close)).drop("text")
+
+    rounds = run_rounds(originals, _disguise, check)
+    return rounds.select("src_id", "label", "attempt", "is_valid", "jaccard", F.md5("code").alias("code_md5"), "error")
+
+
 @query
 def first_valid_candidate(d: TestData) -> DataFrame:
     return ls.first_valid(_candidates(d))
@@ -734,6 +803,32 @@ def replay_table_as_of(d: TestData) -> DataFrame:
     return rp.table_as_of(rp.row_versions(d.replayed), middle)
 
 
+@query
+def tables_as_of(d: TestData) -> DataFrame:
+    """What every list call of the log returned, as counts and sums of its rows."""
+    calls = d.commands.where((F.col("tool") == rp.LIST) & F.col("error").isNull()).select(F.col("seq").alias("position"), "role")
+    rows = tables_at(rp.row_versions(d.replayed), calls)
+    return rows.groupBy("position", "asked_role").agg(
+        F.count("*").alias("n_rows"), F.sum("id").alias("id_total"), F.sum("salary").alias("salary_total"), F.min("name").alias("first_name"),
+        F.max("name").alias("last_name"), F.countDistinct("role").alias("n_roles"),
+    )
+
+
+@query
+def replay_in_two_parts(d: TestData) -> DataFrame:
+    return d.two_runs[0].statuses.unionByName(d.two_runs[1].statuses)
+
+
+@query
+def replay_in_two_parts_lists(d: TestData) -> DataFrame:
+    return d.two_runs[0].list_calls.unionByName(d.two_runs[1].list_calls)
+
+
+@query
+def replay_in_two_parts_table(d: TestData) -> DataFrame:
+    return d.two_runs[1].state.table
+
+
 @query
 def replay_one_status_per_command(d: TestData) -> DataFrame:
     """Null tools, wrong types, text after the object and large integers: no command is lost or misread."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspot.functions.text import strip_fences, tokenize, whole_json
+from kinspot.operators.ordered import running_sum
 from kinspot.session import written
 
 # --- fixed values: prompt and answer formats ---------------------------------
@@ -31,6 +33,7 @@ Return JSON:
 }"""
 CONTAINMENT_THRESHOLD = 0.8
 FALLBACK_EXPLANATION = "Parse error"
+FENCE_OPEN, FENCE_CLOSE = "\n```python\n", "\n```"
 # -----------------------------------------------------------------------------
 
 # Leading hash digits counted by sample_rows; at most 16 ** 3 counts.
@@ -56,9 +59,18 @@ def sample_rows(corpus: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id
 
 def number_sample(sample: DataFrame) -> DataFrame:
     """Give a sample its 1-based ``rank`` in sample order, the order of the context."""
-    # one task, over the n rows the sample was asked for
-    order = Window.partitionBy(F.lit(0)).orderBy("sample_key", "doc_id")
-    return sample.withColumn("rank", F.row_number().over(order)).drop("sample_key")
+    counted = running_sum(sample, [], "sample_key", {"rank": F.lit(1).cast("bigint")}, then=["doc_id"])
+    return counted.withColumn("rank", F.col("rank").cast("int")).drop("sample_key")
+
+
+def reference_text(number: Column, text: Column) -> Column:
+    """One reference of a prompt."""
+    return F.concat(F.lit(REFERENCE_HEAD), number.cast("string"), F.lit(":" + FENCE_OPEN), F.coalesce(text, F.lit("")), F.lit(FENCE_CLOSE))
+
+
+def prompt_text(query: str, references: str) -> str:
+    """The prompt about a query and its joined references."""
+    return f"{PROMPT_HEAD}\n\nQUERY CODE:{FENCE_OPEN}{query}{FENCE_CLOSE}\n\nREFERENCE CODES:\n{references}\n\n{PROMPT_TAIL}"
 
 
 def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -68,7 +80,6 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     without contexts gets a prompt without references. Null texts, of queries
     and of references, are empty ones.
     """
-    fence_open, fence_close = F.lit("\n```python\n"), F.lit("\n```")
     blocks = (
         contexts.groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("refs"))
@@ -76,30 +87,35 @@ def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
             "query_id",
             F.size("refs").alias("context_size"),
             F.array_join(
-                F.transform(
-                    "refs",
-                    lambda r, i: F.concat(
-                        F.lit(REFERENCE_HEAD), (i + 1).cast("string"), F.lit(":"), fence_open, F.coalesce(r["text"], F.lit("")), fence_close
-                    ),
-                ),
+                F.transform("refs", lambda r, i: reference_text(i + 1, r["text"])),
                 REFERENCE_SEPARATOR,
             ).alias("references"),
         )
     )
+    mark, other = "\0query\0", "\0references\0"
+    before, between, after = re.split(f"{mark}|{other}", prompt_text(mark, other))
     prompt = F.concat(
-        F.lit(PROMPT_HEAD + "\n\nQUERY CODE:"),
-        fence_open,
-        F.coalesce("text", F.lit("")),
-        fence_close,
-        F.lit("\n\nREFERENCE CODES:\n"),
-        F.coalesce("references", F.lit("")),
-        F.lit("\n\n" + PROMPT_TAIL),
+        F.lit(before), F.coalesce("text", F.lit("")), F.lit(between), F.coalesce("references", F.lit("")), F.lit(after)
     )
     return queries.join(blocks, "query_id", "left").select(
         "query_id", F.coalesce("context_size", F.lit(0)).alias("context_size"), prompt.alias("prompt")
     )
 
 
+def answer_each(judge: Judge, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each prompt; when a call fails, each half of its prompts is sent again by itself."""
+    try:
+        answers = list(judge(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        return [(answer, None) for answer in answers]
+    except Exception as failure:  # noqa: BLE001 - any failure is the case's error
+        if len(prompts) == 1:
+            return [(None, str(failure) or type(failure).__name__)]
+        half = len(prompts) // 2
+        return answer_each(judge, prompts[:half]) + answer_each(judge, prompts[half:])
+
+
 def ask_judge(prompts: DataFrame, judge: Judge, batch_size: int = 16) -> DataFrame:
     """Send prompts to a user's judge from inside the tasks.
 
@@ -108,22 +124,13 @@ def ask_judge(prompts: DataFrame, judge: Judge, batch_size: int = 16) -> DataFra
     that fail, which keep their error.
     """
 
-    def answered(texts: list[str]) -> list[tuple[str | None, str | None]]:
-        try:
-            return [(answer, None) for answer in judge(texts)]
-        except Exception as failure:  # noqa: BLE001 - any failure is the case's error
-            if len(texts) == 1:
-                return [(None, str(failure) or type(failure).__name__)]
-            half = len(texts) // 2
-            return answered(texts[:half]) + answered(texts[half:])
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
                 texts = part["prompt"].tolist()
                 begun = time.perf_counter()
-                answers = answered(texts)
+                answers = answer_each(judge, texts)
                 elapsed = (time.perf_counter() - begun) / len(texts)
                 out = pd.DataFrame(answers, columns=["response", "error"], dtype=object)
                 yield out.assign(query_id=part["query_id"].to_numpy(), elapsed=elapsed)

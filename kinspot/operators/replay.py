@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspot.functions.text import whole_json
-from kinspot.operators.ordered import DEFAULT_SPAN, last_before, running_sum
+from kinspot.operators.ordered import DEFAULT_SPAN, PLACE, SPAN, last_before, running_sum, spanned
 from kinspot.session import table_exists, written
 
 # --- fixed values: commands, their arguments, and messages ---------------------
@@ -116,8 +116,10 @@ def replay(
                 F.col("salary").cast("bigint").alias("salary"), F.col("id").alias("base_id"),
             )
         )
+    # the commands are written twice, in their spans and with their outcome; all three steps share the spans
+    keyed = spanned(keyed, "seq", span)
     stands = F.when(_is(ADD), F.lit(True)).when(_is(DELETE), F.lit(False))
-    seen = last_before(keyed, ["name"], "seq", {"_present": stands}, span)
+    seen = last_before(keyed, ["name"], "seq", {"_present": stands})
     present = F.coalesce("_present", F.lit(False))
     judged = written(
         seen.withColumn("ok", F.when(_is(ADD), ~present).otherwise(present)).drop("_present"), "judged_commands"
@@ -131,12 +133,12 @@ def replay(
         first = F.lit(0)
     # only new rows are numbered; base rows all share one position
     is_new = _is(ADD) & F.col("ok") & F.col("base_id").isNull()
-    new = running_sum(judged.where(is_new), [], "seq", {"_n": F.lit(1).cast("bigint")}, span)
+    new = running_sum(judged.where(is_new), [], "seq", {"_n": F.lit(1).cast("bigint")})
     numbered = new.withColumn("id", first + F.col("_n")).drop("_n").unionByName(
         judged.where(~is_new).withColumn("id", F.col("base_id"))
     )
     done = F.col("ok")
-    return last_before(
+    replayed = last_before(
         numbered.drop("base_id"),
         ["name"],
         "seq",
@@ -145,8 +147,8 @@ def replay(
             "old_role": F.when(_is(ADD) & done, F.col("role")),
             "old_salary": F.when(_is(ADD, UPDATE) & done, F.col("salary")),
         },
-        span,
     )
+    return replayed.drop(SPAN, PLACE)
 
 
 def statuses(commands: DataFrame, replayed: DataFrame) -> DataFrame:
@@ -209,9 +211,7 @@ def lookups_as_of(replayed: DataFrame) -> DataFrame:
 def row_versions(replayed: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Every state of every row: valid after ``valid_from`` up to ``valid_to`` (null: still valid)."""
     changes = replayed.where(_is(ADD, DELETE, UPDATE) & F.col("ok"))
-    # "next change" is "last change before" in reversed order
-    flipped = changes.withColumn("_back", -F.col("seq"))
-    ended = last_before(flipped, ["name"], "_back", {"valid_to": F.col("seq")}, span)
+    ended = last_before(changes, ["name"], "seq", {"valid_to": F.col("seq")}, span, backwards=True)
     return ended.where(_is(ADD, UPDATE)).select(
         F.coalesce("id", "old_id").alias("id"),
         "name",
@@ -229,19 +229,31 @@ def table_as_of(versions: DataFrame, seq: Column) -> DataFrame:
     )
 
 
-def list_calls_as_of(commands: DataFrame, replayed: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
-    """Number of rows and salary total every list call saw, role filter included.
-
-    Each successful write changes a role's count and total by a known amount,
-    so a list call reads running sums; no call is joined with the rows it saw.
-    """
+def role_changes(replayed: DataFrame) -> DataFrame:
+    """``seq, role, rows, total``: by how much each successful write changes a role's number of rows and salary total."""
     salary, old = F.col("salary"), F.col("old_salary")
-    done = replayed.where(F.col("ok") & _is(ADD, DELETE, UPDATE)).select(
+    return replayed.where(F.col("ok") & _is(ADD, DELETE, UPDATE)).select(
         "seq",
         F.when(_is(ADD), F.col("role")).otherwise(F.col("old_role")).alias("role"),
         F.when(_is(ADD), F.lit(1)).when(_is(DELETE), F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias("rows"),
         F.when(_is(ADD), salary).when(_is(DELETE), -old).otherwise(salary - old).alias("total"),
     )
+
+
+def list_calls_as_of(
+    commands: DataFrame, replayed: DataFrame, span: int = DEFAULT_SPAN, start: DataFrame | None = None
+) -> DataFrame:
+    """Number of rows and salary total every list call saw, role filter included.
+
+    Each successful write changes a role's count and total by a known amount,
+    so a list call reads running sums; no call is joined with the rows it saw.
+    ``start`` (role, rows, total) are sums before the log; base rows among
+    ``replayed`` are then part of them.
+    """
+    done = role_changes(replayed)
+    if start is not None:
+        begin = start.select(F.lit(-1).cast("bigint").alias("seq"), "role", "rows", "total")
+        done = done.where(F.col("seq") >= 0).unionByName(begin)
     # base rows share one position, so they are summed up first
     changes = done.groupBy("seq", "role").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
     # every change counts for its role and for the unfiltered table

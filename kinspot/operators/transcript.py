@@ -22,16 +22,22 @@ def assemble(messages: DataFrame, system: str = SYSTEM_MESSAGE, span: int = DEFA
     ``messages`` has ``conv_id, turn, role, content`` and may have more
     columns. The result stays one row per message with its 0-based
     ``position``, so a conversation of any length is spread over the tasks.
+    Messages of one turn stand in the order of role and content; a null turn
+    comes first.
     """
     without = (
         messages.groupBy("conv_id")
-        .agg(F.count_if(F.col("role") == "system").alias("n"), F.min("turn").alias("first"))
+        .agg(
+            F.count_if(F.col("role") == "system").alias("n"),
+            F.when(F.count_if(F.col("turn").isNull()) == 0, F.min("turn") - 1).alias("turn"),
+        )
         .where(F.col("n") == 0)
-        .select("conv_id", (F.col("first") - 1).alias("turn"), F.lit("system").alias("role"), F.lit(system).alias("content"))
+        .select("conv_id", "turn", F.lit("system").alias("role"), F.lit(system).alias("content"))
     )
-    every = messages.unionByName(without, allowMissingColumns=True)
-    numbered = running_sum(every, ["conv_id"], "turn", {"_n": F.lit(1).cast("bigint")}, span)
-    return numbered.withColumn("position", F.col("_n") - 1).drop("_n")
+    rest = F.lit(True).alias("_rest")  # what the default message comes before, whatever its turn
+    every = messages.select("*", rest).unionByName(without.withColumn("_rest", F.lit(False)), allowMissingColumns=True)
+    numbered = running_sum(every, ["conv_id"], "turn", {"_n": F.lit(1).cast("bigint")}, span, then=["_rest", "role", "content"])
+    return numbered.withColumn("position", F.col("_n") - 1).drop("_n", "_rest")
 
 
 def pages(transcripts: DataFrame, page_size: int = 1000) -> DataFrame:

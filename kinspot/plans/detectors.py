@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinspot.operators.answers import ask_once
 from kinspot.operators.dense import dense_topk
 from kinspot.operators.fusion import DEPTH_FACTOR, hydrate, match_records, rrf_topk
 from kinspot.operators.judge import (
@@ -21,6 +22,7 @@ from kinspot.operators.judge import (
     sample_containment,
     sample_rows,
 )
+from kinspot.operators.parts import BUDGET, QUERY_BUDGET, judge_in_parts
 from kinspot.operators.sparse import sparse_topk
 from kinspot.plans.indexing import CorpusIndex
 from kinspot.session import written
@@ -71,12 +73,13 @@ def detect_threshold(
 
 def judge_contexts(
     index: CorpusIndex, queries: DataFrame, hits: DataFrame, method: str, judge: Judge | None = None,
-    threshold: float = CONTAINMENT_THRESHOLD, columns: Sequence[str] = (),
+    threshold: float = CONTAINMENT_THRESHOLD, columns: Sequence[str] = (), answers: str | None = None, model: str = "judge",
 ) -> DataFrame:
     """Verdicts for queries from their ranked contexts ``(query_id, doc_id, rank, score)``.
 
     Without a judge the built-in containment rule decides; a judge gets the
-    assembled prompts. ``matches`` holds the contexts with their scores and
+    assembled prompts. With a path of ``answers`` a prompt that the ``model``
+    has answered before is not sent again. ``matches`` holds the contexts with their scores and
     the ``columns`` of the corpus; it is null where contexts have no score.
     """
     if judge is None:
@@ -88,8 +91,8 @@ def judge_contexts(
         )
         prompts = written(build_prompts(queries, contexts), "prompts")
         # written, so that no prompt is sent to the judge twice
-        answers = parse_verdicts(written(ask_judge(prompts, judge), "answers"))
-        verdicts = answers.join(prompts.select("query_id", "context_size"), "query_id")
+        asked = ask_judge(prompts, judge) if answers is None else ask_once(prompts, judge, answers, model)
+        verdicts = parse_verdicts(written(asked, "answers")).join(prompts.select("query_id", "context_size"), "query_id")
     if "score" in hits.columns:
         found = _records(hits.select("query_id", "doc_id", "rank", "score"), index.corpus, columns)
         verdicts = verdicts.join(found, "query_id", "left")
@@ -97,19 +100,22 @@ def judge_contexts(
 
 
 def detect_sampled_context(
-    index: CorpusIndex, queries: DataFrame, n: int = MAX_CONTEXT, seed: int = 42, judge: Judge | None = None
+    index: CorpusIndex, queries: DataFrame, n: int = MAX_CONTEXT, seed: int = 42, judge: Judge | None = None, budget: int = BUDGET,
+    query_budget: int = QUERY_BUDGET,
 ) -> DataFrame:
-    """Every query against the same sample of ``n`` corpus rows."""
+    """Every query against the same sample of ``n`` corpus rows.
+
+    A judge is asked about as many parts of the sample as its ``budget`` of tokens makes necessary.
+    """
     sample = written(number_sample(sample_rows(index.corpus.select("doc_id"), n, seed)), "sample")
     size = sample.agg(F.count("*").cast("int")).scalar()
     if judge is None:
         judged = sample_containment(queries, sample, index.sparse.postings)
         verdicts = judge_containment(queries, judged).withColumn("context_size", size)
         return _verdict_rows(verdicts, "sampled_context")
-    # the sample's ids and ranks, at most n of them, come back as one value
-    refs = sample.agg(F.collect_list(F.struct("doc_id", "rank"))).scalar()
-    hits = queries.select("query_id", F.explode(refs).alias("ref")).select("query_id", "ref.doc_id", "ref.rank")
-    return judge_contexts(index, queries, hits, "sampled_context", judge)
+    references = sample.join(index.corpus.select("doc_id", "text"), "doc_id").select("rank", "text")
+    verdicts = judge_in_parts(queries, references, judge, budget, query_budget)
+    return _verdict_rows(verdicts.withColumn("context_size", size), "sampled_context")
 
 
 def _verdict_rows(verdicts: DataFrame, method: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspot.operators import labelset as ls
+from kinspot.operators.rounds import Generator, candidate_rounds
 from kinspot.plans.indexing import CorpusIndex
 from kinspot.session import written
 
@@ -13,7 +14,22 @@ from kinspot.session import written
 def build_labelled_set(
     originals: DataFrame, candidates: DataFrame, index: CorpusIndex, threshold: float = ls.MAX_SIMILARITY
 ) -> DataFrame:
-    """First valid candidate per original and label, with the scores behind it.
+    """First valid candidate per original and label, with the scores behind it; candidates as in :func:`score_candidates`."""
+    return ls.first_valid(score_candidates(originals, candidates, index, threshold))
+
+
+def generate_labelled_set(
+    originals: DataFrame, generator: Generator, index: CorpusIndex, threshold: float = ls.MAX_SIMILARITY, path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The labelled set and every attempt behind it; the generator is asked only where nothing valid was found before."""
+    attempts = candidate_rounds(originals, generator, lambda made: score_candidates(originals, made, index, threshold), path=path)
+    return ls.first_valid(attempts.drop("error")), attempts
+
+
+def score_candidates(
+    originals: DataFrame, candidates: DataFrame, index: CorpusIndex, threshold: float = ls.MAX_SIMILARITY
+) -> DataFrame:
+    """Candidates with their scores and whether they are valid.
 
     ``originals`` is ``(src_id, code)``, ``candidates`` is ``(src_id, label,
     attempt, code)``. Copies (label 1) are checked by syntax structure and
@@ -50,5 +66,4 @@ def build_labelled_set(
         index.dense,
         threshold,
     )
-    checked = cases.join(ls.ragged_union(positive, negative), "case_id").drop("case_id")
-    return ls.first_valid(checked)
+    return cases.join(ls.ragged_union(positive, negative), "case_id").drop("case_id")

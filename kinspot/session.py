@@ -20,6 +20,8 @@ def local_session(app_name: str = "kinspot", cores: int | str = "*", **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
     )
+    # driver and executors of a local session are one machine
+    conf = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="kinspot-")} | conf
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -28,19 +30,12 @@ def local_session(app_name: str = "kinspot", cores: int | str = "*", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
-
-    Only a local session may fall back to a temporary folder: there the
-    executors and the driver are one machine.
-    """
+    """Folder every executor can reach: the one the cluster names, or else one in the warehouse, which is shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="kinspot-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinspot-work"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -163,8 +163,8 @@ def test_spans_hold_rows_however_sparse_positions_are(spark):
     from kinspot.operators import ordered
 
     rows = spark.range(20_000).select(F.lit("hot").alias("name"), (F.col("id") * 1_000_000 + 1_700_000_000_000_000).alias("at"), (F.col("id") % 7).alias("v"))
-    spans = ordered._with_span(rows, "at", 1000)
-    assert spans.select(ordered._SPAN).distinct().count() <= 20
+    spans = ordered.spanned(rows, "at", 1000)
+    assert spans.select(ordered.SPAN).distinct().count() <= 20
     got = ordered.running_sum(rows, [], "at", {"total": F.col("v")}, span=1000).orderBy(F.desc("at")).first()
     assert got.total == sum(i % 7 for i in range(20_000))
     before = ordered.last_before(rows, ["name"], "at", {"odd": F.when(F.col("v") == 3, F.col("at"))}, span=1000).orderBy(F.desc("at")).first()
