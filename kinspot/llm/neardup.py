@@ -104,10 +104,10 @@ def _sign_task(k: int, bands: int, rows: int, separators: np.ndarray):
                 signs[some] = (low & np.uint32(0xFFFF)).astype("<u2")
                 flat = pa.array(buckets.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, docs), pa.array(sizes, pa.int64()), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)),
+                    [batch.column("doc_id").slice(first, docs), batch.column("text_key").slice(first, docs), pa.array(sizes, pa.int64()), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)),
                      pa.array([s.tobytes() for s in signs], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * bands, pa.int32()), flat)],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "signature", "buckets"])
+                    ["doc_id", "text_key", "n_shingles", "key_a", "key_b", "signature", "buckets"])
 
     return run
 
@@ -279,13 +279,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     """Components of documents linked by ``100 * intersection >= percent * union`` of their k-word shingle sets.
 
     Returns per row of ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id (smallest id reachable) and kept (the component's own id).
+    component_id (smallest id reachable), kept (the component's own id) and
+    text_key (hash of the text, which tells rows of one id apart).
     """
     threshold = percent / 100
     bands = n_bands(threshold, BAND_ROWS, miss)
     texts = whole_text(docs)
-    signed = stored(texts.mapInArrow(_sign_task(k, bands, BAND_ROWS, separators), "doc_id long, n_shingles long, key_a long, key_b long, signature binary, buckets array<long>"), "signatures")
-    narrow = signed.select("doc_id", "n_shingles", "key_a", "key_b")
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    signed = stored(keyed.mapInArrow(_sign_task(k, bands, BAND_ROWS, separators), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, signature binary, buckets array<long>"), "signatures")
+    narrow = signed.select("doc_id", "text_key", "n_shingles", "key_a", "key_b")
     keys = ["key_a", "key_b"]
     classes = narrow.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("doc_id"))
     reps = signed.join(classes, [*keys, "doc_id"]).dropDuplicates([*keys, "doc_id"])
@@ -349,5 +351,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     by_class = by_class.select(*keys, F.coalesce("component", "node").alias("component_id"))
     named = narrow.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(by_class, keys)
     alone = narrow.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    whole = named.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
-    return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key"]
+    return named.select(*columns).union(alone.select(*columns))

@@ -34,7 +34,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_key")
 
 
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:

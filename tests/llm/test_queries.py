@@ -153,5 +153,18 @@ def test_pipeline_stages_on_odd_cases(spark, sf_dir, rows):
             assert n == len(rows)
 
 
+def test_duplicates_stage_keeps_texts_of_one_id_apart(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long), (1, "another clean text of the same id"), (2, long + " end"), (3, "clean"), (3, "clean"), (3, "other"), (4, None), (4, ""), (None, long), (None, long)]
+    out = corpus_pipeline.drop_near_duplicates(spark, cases.docs(spark, rows).selectExpr("*", "1 AS place", "2 AS text_key", "3 AS judged_id"), sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, long), (1, rows[1][1]), (3, "clean"), (3, "other"), (4, None), (4, ""), (None, long), (None, long)], key=str)
+
+
+def test_toxicity_stage_keeps_a_column_of_the_scores_name(spark, sf_dir):
+    table = cases.docs(spark).selectExpr("*", "'mine' AS toxicity_score", "1 AS own_score")
+    out = corpus_pipeline.drop_toxic(spark, table, sf_dir)
+    assert out.columns == table.columns and {r.toxicity_score for r in out.collect()} == {"mine"}
+
+
 def test_registered_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
