@@ -8,15 +8,17 @@ two tables in the shared folder:
   keys and ends of its documents beside them;
 * index: one row per hash bucket of keys. Its keys are hashed and displaced: a
   seed per small group of keys sends each key to a slot of its own, with as
-  many slots as keys. A slot holds the key's fingerprint and its shard, offset
-  and length. A lookup reads one row, one seed and one slot, however many
+  many slots as keys. A slot holds the key's fingerprint, its shard, offset
+  and length, and how many documents have the key. A lookup reads one row, one seed and one slot, however many
   documents there are; another key passes a fingerprint with chance 2**-32.
 
 Cases: null text is the empty text and still gets its end id. Documents of
 equal ids are all stored, in the order of their texts' hashes; the key finds
-the first of them. A document whose id is null is stored before all others
-and counts for ``start``, but has no key to be found by. No documents make
-empty tables, and lookups of absent keys give no rows.
+the first of them and their number, and the others are found in the shards'
+directories, which lists them all. A document whose id is null is stored
+before all others and has no key to be found by, but is in the directory too.
+So reading back by all keys gives every document. No documents make empty
+tables, and lookups of absent keys give no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ BUCKET_KEYS = 4096
 GROUP_KEYS = 4
 
 SHARDS = "shard long, n_docs long, n_ids long, width int, keys binary, ends binary, ids binary"
-INDEX = "bucket long, n_keys long, seeds binary, prints binary, shards binary, offsets binary, lengths binary"
+INDEX = "bucket long, n_keys long, seeds binary, prints binary, shards binary, offsets binary, lengths binary, copies binary"
+PLACES = "doc_id long, shard long, position long, n_tokens long"
 
 
 @dataclass(frozen=True)
@@ -112,14 +115,14 @@ def _shard_task(vocabulary: str, end_id: int, width: int):
 
 
 def _directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key, shard, offset and length of each stored document."""
+    """Key (null: none), shard, offset and length of each stored document."""
     for batch in batches:
         for row in batch.to_pylist():
             keys, ends = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["ends"], "<i8")
             offsets = np.concatenate(([0], ends[:-1]))
-            real = keys != np.iinfo(np.int64).min
-            columns = [keys[real], np.full(int(real.sum()), row["shard"]), offsets[real], (ends - offsets)[real]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "shard", "position", "n_tokens"])
+            columns = [np.full(len(keys), row["shard"]), offsets, ends - offsets]
+            own = pa.array(keys, pa.int64(), mask=keys == np.iinfo(np.int64).min)
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "shard", "position", "n_tokens"])
 
 
 def _key_hash(keys: np.ndarray) -> np.ndarray:
@@ -182,7 +185,6 @@ def _prints(hashes: np.ndarray) -> np.ndarray:
 
 
 def _build_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "shard", "position"]).drop_duplicates("doc_id")
     hashes = _key_hash(rows["doc_id"].to_numpy())
     seeds, slot = perfect_hash(hashes)
 
@@ -195,6 +197,7 @@ def _build_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         "bucket": rows["bucket"].iloc[0], "n_keys": len(rows), "seeds": seeds.astype("<i8").tobytes(),
         "prints": placed(_prints(hashes), "<u4"), "shards": placed(rows["shard"].to_numpy(), "<i8"),
         "offsets": placed(rows["position"].to_numpy(), "<i8"), "lengths": placed(rows["n_tokens"].to_numpy(), "<i8"),
+        "copies": placed(rows["copies"].to_numpy(), "<i8"),
     }])
 
 
@@ -221,13 +224,20 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int) -> TokenStore:
 
     n_docs = bases.agg(F.sum("n_docs")).first()[0] or 0
     n_buckets = max(1, math.ceil(n_docs / BUCKET_KEYS))
-    entries = shards.select("shard", "keys", "ends").mapInArrow(_directory, "doc_id long, shard long, position long, n_tokens long")
-    index = entries.withColumn("bucket", _bucket(n_buckets)).groupBy("bucket").applyInPandas(_build_bucket, INDEX)
+    # a key of many documents is one row before it reaches its bucket
+    first = F.min(F.struct("shard", "position", "n_tokens")).alias("first")
+    entries = directory(shards).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(first, F.count("*").alias("copies"))
+    index = entries.select("doc_id", "first.*", "copies").withColumn("bucket", _bucket(n_buckets)).groupBy("bucket").applyInPandas(_build_bucket, INDEX)
     return TokenStore(shards, bases, stored(index, "token-index"), n_buckets)
 
 
+def directory(shards: DataFrame) -> DataFrame:
+    """Place of every stored document, in no order; only keys and ends are read."""
+    return shards.select("shard", "keys", "ends").mapInArrow(_directory, PLACES)
+
+
 def _look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    names = ["doc_id", "shard", "position", "n_tokens"]
+    names = ["doc_id", "shard", "position", "n_tokens", "copies"]
     if keys.empty or index.empty:
         return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
     row, wanted = index.iloc[0], keys["doc_id"].to_numpy()
@@ -235,16 +245,16 @@ def _look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     slot = find_slots(hashes, np.frombuffer(row["seeds"], "<i8"), int(row["n_keys"]))
     same = np.frombuffer(row["prints"], "<u4")[slot] == _prints(hashes)
     slot = slot[same]
-    found = [np.frombuffer(row[c], "<i8")[slot] for c in ("shards", "offsets", "lengths")]
+    found = [np.frombuffer(row[c], "<i8")[slot] for c in ("shards", "offsets", "lengths", "copies")]
     return pd.DataFrame(dict(zip(names, [wanted[same], *found], strict=True)))
 
 
 def look_up(store: TokenStore, keys: DataFrame) -> DataFrame:
-    """Place of each distinct key of ``keys`` (doc_id): shard, position and length, in one probe of the index."""
+    """First place of each distinct key of ``keys`` (doc_id): shard, position, length, and number of documents, in one probe of the index."""
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     wanted = wanted.withColumn("bucket", _bucket(store.n_buckets))
     return wanted.groupBy("bucket").cogroup(store.index.groupBy("bucket")).applyInPandas(
-        _look_up, "doc_id long, shard long, position long, n_tokens long")
+        _look_up, f"{PLACES}, copies long")
 
 
 def _read_shard(places: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
@@ -256,16 +266,28 @@ def _read_shard(places: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
     return places[["doc_id", "shard", "position"]].assign(ids=cut)
 
 
-def read_ids(store: TokenStore, keys: DataFrame) -> DataFrame:
-    """Ids of the documents that ``keys`` names: doc_id, start among all ids, ids as little-endian 32-bit bytes."""
+def _read_places(store: TokenStore, places: DataFrame) -> DataFrame:
+    """Ids at ``places`` (doc_id, shard, position, n_tokens): doc_id, start among all ids, ids as little-endian 32-bit bytes."""
     payload = store.shards.select("shard", "width", "ids")
-    found = look_up(store, keys).groupBy("shard").cogroup(payload.groupBy("shard")).applyInPandas(
+    found = places.groupBy("shard").cogroup(payload.groupBy("shard")).applyInPandas(
         _read_shard, "doc_id long, shard long, position long, ids binary")
     placed = found.join(store.bases.select("shard", "base"), "shard")
     return placed.select("doc_id", (F.col("base") + F.col("position")).alias("start"), "ids")
 
 
+def read_ids(store: TokenStore, keys: DataFrame) -> DataFrame:
+    """Ids of all documents that the ``keys`` (doc_id) name; a null key names those without id."""
+    found = stored(look_up(store, keys), "places")
+    places = found.filter("copies = 1").drop("copies")
+    several = found.filter("copies > 1").select("doc_id")
+    if not several.isEmpty():
+        places = places.union(directory(store.shards).join(several, "doc_id", "left_semi"))
+    if not keys.filter("doc_id IS NULL").isEmpty():
+        places = places.union(directory(store.shards).filter("doc_id IS NULL"))
+    return _read_places(store, places)
+
+
 def token_index(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Write ``docs`` as a store, find every one of them by its key, and describe what the files give back."""
-    read = read_ids(write_store(docs, vocabulary, end_id), docs)
+    """Write ``docs`` as a store, read every document back by the keys, and describe it: one row per row of ``docs``."""
+    read = read_ids(write_store(docs, vocabulary, end_id), docs.select(F.col("doc_id").cast("long").alias("doc_id")))
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -58,6 +58,19 @@ def test_token_index_reads_back_what_was_written(spark, monkeypatch):
     assert got == want
 
 
+def test_every_row_is_read_back(spark, monkeypatch):
+    """Repeated ids, a hot one over several shards, and rows without id."""
+    monkeypatch.setattr(token_store, "SHARD_IDS", 40)
+    rows = [(7, f"copy {i % 5}") for i in range(60)] + [(None, "no id"), (None, None), (None, "no id"), (3, ""), (9, "alone here"), (9, "alone here")]
+    got = token_store.token_index(cases.docs(spark, rows).repartition(3), BYTE_BPE, 2).collect()
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+    want = sorted((i is not None, i or 0, zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, expected_ids(BYTE_BPE, [t for _, t in rows], 2)))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in got) == want
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == [None] * 3 + [3] + [7] * 60 + [9] * 2
+
+
 def test_token_store_lookups(spark):
     store = token_store.write_store(cases.docs(spark), BYTE_BPE, 2)
     asked = spark.createDataFrame([(5,), (999,), (None,), (5,), (2,)], "doc_id long")
