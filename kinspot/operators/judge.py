@@ -212,24 +212,6 @@ def _share() -> Column:
     return F.round(F.coalesce(F.try_divide("n_shared", "n_query_terms"), F.lit(0.0)), 6)
 
 
-def sample_containment(queries: DataFrame, sample: DataFrame, counts: DataFrame) -> DataFrame:
-    """:func:`pair_containment` of every query with one sample ``(doc_id, rank)``.
-
-    The sample's few postings are cut out first and meet the query tokens by
-    term. Pairs that share no token are not in the result; they count 0.
-    """
-    held = written(sample.select("doc_id", "rank").join(counts.select("doc_id", "term"), "doc_id"), "sample_terms")
-    sizes = queries.select("query_id", F.size(F.array_distinct(tokenize("text"))).alias("n_query_terms"))
-    return (
-        query_words(queries)
-        .join(held, "term")
-        .groupBy("query_id", "doc_id", "rank")
-        .agg(F.count("*").alias("n_shared"))
-        .join(sizes, "query_id")
-        .select("query_id", "doc_id", "rank", _share().alias("containment"))
-    )
-
-
 def judge_containment(
     queries: DataFrame, judged: DataFrame, threshold: float = CONTAINMENT_THRESHOLD
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspot.operators.answers import ask_once
+from kinspot.operators.containment import sample_verdicts
 from kinspot.operators.dense import dense_topk
 from kinspot.operators.fusion import DEPTH_FACTOR, hydrate, match_records, rrf_topk
 from kinspot.operators.judge import (
@@ -19,7 +20,6 @@ from kinspot.operators.judge import (
     number_sample,
     pair_containment,
     parse_verdicts,
-    sample_containment,
     sample_rows,
 )
 from kinspot.operators.parts import BUDGET, QUERY_BUDGET, judge_in_parts
@@ -110,8 +110,7 @@ def detect_sampled_context(
     sample = written(number_sample(sample_rows(index.corpus.select("doc_id"), n, seed)), "sample")
     size = sample.agg(F.count("*").cast("int")).scalar()
     if judge is None:
-        judged = sample_containment(queries, sample, index.sparse.postings)
-        verdicts = judge_containment(queries, judged).withColumn("context_size", size)
+        verdicts = sample_verdicts(queries, sample, index.sparse.postings).withColumn("context_size", size)
         return _verdict_rows(verdicts, "sampled_context")
     references = sample.join(index.corpus.select("doc_id", "text"), "doc_id").select("rank", "text")
     verdicts = judge_in_parts(queries, references, judge, budget, query_budget)

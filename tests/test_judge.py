@@ -2,9 +2,10 @@ import hashlib
 
 import pytest
 
+from kinspot.operators.containment import sample_verdicts
 from kinspot.operators.fusion import rrf_topk, rrf_topk_sweep
 from kinspot.operators.judge import build_prompts, judge_containment, number_sample, pair_containment, parse_verdicts
-from kinspot.operators.judge import sample_containment, sample_rows
+from kinspot.operators.judge import sample_rows
 from kinspot.operators.sparse import term_counts
 
 
@@ -81,7 +82,31 @@ def test_containment_judge(spark):
     assert verdicts[1].is_match and verdicts[1].matched_references == [2] and verdicts[1].context_size == 3
     assert not verdicts[2].is_match and verdicts[2].confidence == 0.0 and verdicts[2].context_size == 0
     sample = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "doc_id bigint, rank int")
-    shared = sample_containment(queries, sample, counts)
-    assert {(r.query_id, r.doc_id, r.containment) for r in shared.collect()} == {
-        (1, 1, 0.8), (1, 2, 0.2), (3, 1, 1.0), (3, 2, 1.0)
-    }
+    shared = sample_verdicts(queries, sample, counts)
+    assert {(r.query_id, r.confidence, tuple(r.matched_references)) for r in shared.collect()} == {(1, 0.8, (1,)), (2, 0.0, ()), (3, 1.0, (1, 2))}
+
+
+def test_sample_verdicts_equal_containment_of_every_pair(spark, monkeypatch):
+    import random
+
+    from kinspot.operators import containment
+    from kinspot.operators.sparse import term_counts
+
+    monkeypatch.setattr(containment, "BLOCK_SAMPLE", 7)
+    monkeypatch.setattr(containment, "BLOCK_QUERIES", 5)
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(25)}" for _ in range(rng.randrange(14)))
+    docs, queries = [(i, text()) for i in range(40)] + [(40, None)], [(i, text()) for i in range(30)] + [(30, None), (31, "unknown words")]
+    sample = [(d, r + 1) for r, (d, _) in enumerate(docs)]
+    counts = term_counts(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    for threshold in (0.8, 0.5):
+        got = containment.sample_verdicts(
+            spark.createDataFrame(queries, "query_id bigint, text string"), spark.createDataFrame(sample, "doc_id bigint, rank int"), counts, threshold
+        ).collect()
+        held = {r: set((t or "").split()) for (_, t), (_, r) in zip(docs, sample)}
+        assert len(got) == len(queries)
+        for r in got:
+            own = set((dict(queries)[r.query_id] or "").split())
+            share = {rank: round(len(own & words) / len(own), 6) if own else 0.0 for rank, words in held.items()}
+            assert r.confidence == max(share.values()) and r.matched_references == sorted(k for k, s in share.items() if s >= threshold)
+            assert r.is_match == (r.confidence >= threshold)
