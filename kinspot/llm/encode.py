@@ -4,8 +4,8 @@ Both vocabularies are byte-pair encodings of pre-tokens: runs of letters, of
 digits or of symbols, with the space before them at most. A text may
 therefore be cut wherever such a run certainly ends, and equal units need
 encoding once: the units of a batch are made a dictionary by Arrow, a worker
-remembers the ids of units it has met, and the texts' ids are gathered by
-number. Only cuts that hold for any text are made: characters whose kind is
+remembers the ids of units it has met under two 64-bit hashes of each, and the
+texts' ids are gathered by number. Only cuts that hold for any text are made: characters whose kind is
 not plain from their bytes, apostrophes (contractions) and texts that may
 name a special token stay whole. Tests compare with the library's own result.
 """
@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from kinspot.llm.words import slices, text_bytes
+from kinspot.llm.words import hash_spans, mix, slices, text_bytes
 
-#: units a worker remembers; then it begins anew
-REMEMBERED = 400_000
+#: units a worker remembers, at some 50 bytes each; then it begins anew
+REMEMBERED = 1_000_000
+#: units that are learnt before they are merged into the sorted ones
+RECENT = 1 << 17
 SLICE_BYTES = 1 << 22
 HELD_IN = "kinspot_encoders"
 
@@ -52,6 +54,16 @@ def unit_starts(raw: np.ndarray) -> np.ndarray:
     return begins
 
 
+#: another order of the bytes, for a second hash; the plain one takes A to Z for a to z
+MIXED = np.random.default_rng(17).permutation(256).astype(np.uint8)
+
+
+def _merged(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    whole = [np.concatenate(pair) for pair in zip(one, other, strict=True)]
+    order = np.argsort(whole[0], kind="stable")
+    return tuple(x[order] for x in whole)
+
+
 class Encoder:
     """Ids of text columns under one vocabulary file."""
 
@@ -62,25 +74,42 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, units: list[bytes]) -> None:
+        self.n = self.used = 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.sorted, self.recent = none, none  # first hash in ascending order, second hash, number of the unit
+
+    def _known(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of units by their hashes; -1 for those that have not been met."""
+        out = np.full(len(first), -1, np.int64)
+        for own_first, own_second, number in (self.sorted, self.recent):
+            if len(own_first):
+                at = np.minimum(np.searchsorted(own_first, first), len(own_first) - 1)
+                same = (own_first[at] == first) & (own_second[at] == second)
+                out[same] = number[at[same]]
+        return out
+
+    def _learn(self, units: list[bytes], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of new units, which are encoded and remembered."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        n = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(found) > len(self.start):
+        while self.n + len(found) > len(self.start):
             self.start = np.concatenate((self.start, np.zeros_like(self.start)))
             self.length = np.concatenate((self.length, np.zeros_like(self.length)))
+        numbers = np.arange(self.n, self.n + len(found), dtype=np.int32)
         self.ids[self.used : self.used + len(flat)] = flat
-        self.length[n : n + len(found)] = lengths
-        self.start[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.n += len(found)
+        self.recent = _merged(self.recent, (first, second, numbers))
+        if len(self.recent[0]) > RECENT:
+            self.sorted, self.recent = _merged(self.sorted, self.recent), tuple(x[:0] for x in self.recent)
+        return numbers
 
     def _part(self, raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = unit_starts(raw)
@@ -90,14 +119,18 @@ class Encoder:
         cuts = np.append(np.flatnonzero(begins), len(raw)).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = column.dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if self.n > REMEMBERED:
             self._forget()
-        missing = [u for u in units if u not in self.known]
-        if missing:
-            self._learn(missing)
-        number = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy()]
-        lengths = self.length[number]
+        _, bounds, data = coded.dictionary.buffers()
+        bounds, letters = np.frombuffer(bounds, np.int64)[: len(coded.dictionary) + 1], np.frombuffer(data, np.uint8)
+        folded, second = (hash_spans(part, bounds[:-1], bounds[1:]) for part in (letters, MIXED[letters]))
+        first = mix(folded ^ mix(second))
+        number = self._known(first, second)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn(coded.dictionary.take(pa.array(new)).to_pylist(), first[new], second[new])
+        number = number[coded.indices.to_numpy()]
+        lengths = self.length[number].astype(np.int64)
         ends = np.cumsum(lengths)
         at = np.repeat(self.start[number] - (ends - lengths), lengths)
         ids = self.ids[at + np.arange(len(at))]

@@ -295,3 +295,20 @@ def test_trees_learn_what_urls_tell():
     assert ((model.probability(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
     assert (url_filter.BoostedTrees().fit(x[:0], y[:0]).probability(x) < 0.5).all()
     assert (url_filter.BoostedTrees().fit(x, np.ones(len(x))).probability(x) > 0.5).all()
+
+
+def test_units_are_told_apart_and_forgotten(monkeypatch):
+    """Case, bytes and lengths make units of their own; a worker that forgets, or merges often, gives the same ids."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aAbBzZéÉß09.,'") for _ in range(rng.randrange(1, 7)))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(40)] + ["Aa aA AA aa", "É é É", *(x or "" for x in ODD)]
+    column = pa.array(texts, pa.string())
+    want = [ids[:-1].tolist() for ids in expected_ids(BYTE_BPE, texts, 0)]
+    for remembered, recent in ((10**6, 1 << 17), (50, 10), (10**6, 1)):
+        monkeypatch.setattr(encode, "REMEMBERED", remembered)
+        monkeypatch.setattr(encode, "RECENT", recent)
+        monkeypatch.setattr(encode, "SLICE_BYTES", 1000)
+        one = encode.Encoder(BYTE_BPE)
+        for _ in range(2):
+            flat, bounds = one.encode(column)
+            assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
