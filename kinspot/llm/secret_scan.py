@@ -16,12 +16,17 @@ null ids each give a row of their own; no documents give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from kinspot.llm.stage import stored
+from kinspot.llm.words import slices, text_bytes
+
 #: fixed by the contract
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
@@ -45,6 +50,8 @@ IDENTIFIERS = (
     "getenv os.environ process.env System.getProperty base64 encode decode sha256 md5 uuid "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx 0000000000000000"
 )
+#: bytes of text that are masked and handed back at once
+SLICE_BYTES = 1 << 26
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 MARK = "[SECRET]"
 
@@ -88,10 +95,13 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Base spans and novel ones."""
         base = self.base(text)
-        taken, last, novel = base, -1, []
+        # where the base spans begin, and how far those up to each one go
+        begins, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+        last, novel = -1, []
         for word in self.sensitive.finditer(text):
             for start, end in self.candidates(text, word.end()):
-                if start <= last or any(a < end and start < b for a, _, b in taken):
+                before = bisect_left(begins, end)
+                if start <= last or (before and reach[before - 1] > start):
                     continue
                 last, string = start, text[start:end]
                 if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
@@ -127,10 +137,16 @@ def find_secrets(docs: DataFrame, identifiers: str = IDENTIFIERS, novel: float =
     return texts.mapInArrow(_find_task(identifiers, novel), f"doc_id long, spans {SPANS}")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts together have about ``SLICE_BYTES``."""
+    for first, last in slices(text_bytes(batch.column("text"))[1], SLICE_BYTES):
+        yield batch.slice(first, last - first)
+
+
 def _mask_task(identifiers: str, novel: float, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(identifiers, novel)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             texts, lengths = batch.column("text").to_pylist(), None
             for i, spans in enumerate(_scan_column(scanner, batch.column("text"))):
                 if spans:
@@ -157,7 +173,7 @@ def mask_secrets(docs: DataFrame, identifiers: str = IDENTIFIERS, novel: float =
 
 def secret_report(docs: DataFrame, identifiers: str = IDENTIFIERS, novel: float = NOVEL) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans as text."""
-    found = find_secrets(docs, identifiers, novel)
+    found = stored(find_secrets(docs, identifiers, novel), "secrets")
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -98,6 +98,10 @@ def _coded(column: pa.Array, known: list[np.ndarray]) -> Iterator[tuple[int, int
         yield first, last, codes, starts, _guess(codes, starts, known)
 
 
+#: words of a text whose vectors and responses are held at once
+PIECE_WORDS = 1 << 16
+
+
 @dataclass
 class ConvNet:
     """Embeddings, filters of each width (by place within the filter), and the linear layer."""
@@ -133,9 +137,22 @@ class ConvNet:
         return out
 
     def pooled(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Largest positive response of each filter in each text; 0 where there is none."""
-        some = np.flatnonzero(np.diff(starts))
-        out = np.zeros((len(starts) - 1, len(self.weights)), np.float32)
+        """Largest positive response of each filter in each text; 0 where there is none.
+
+        A text of more than ``PIECE_WORDS`` words is worked off in pieces, each with the words that its last filters reach.
+        """
+        sizes = np.diff(starts)
+        out = np.zeros((len(sizes), len(self.weights)), np.float32)
+        long = sizes > PIECE_WORDS
+        for text in np.flatnonzero(long):
+            for at in range(starts[text], starts[text + 1], PIECE_WORDS):
+                part = words[at : min(at + PIECE_WORDS + max(WIDTHS) - 1, starts[text + 1])]
+                y = self.responses(self.vectors(part), np.array([0, len(part)]))
+                out[text] = np.maximum(out[text], np.concatenate([r[:PIECE_WORDS].max(0) for r in y]))
+        if long.any():
+            words, sizes = words[~np.repeat(long, sizes)], np.where(long, 0, sizes)
+            starts = np.concatenate(([0], np.cumsum(sizes)))
+        some = np.flatnonzero(sizes)
         if len(some):
             y = self.responses(self.vectors(words), starts)
             out[some] = np.maximum(np.concatenate([np.maximum.reduceat(r, starts[some], axis=0) for r in y], 1), 0)
