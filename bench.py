@@ -49,8 +49,7 @@ HEADLINE = [
     "first_valid_candidate", "full_evaluation", "rebuild_indexes", "sweep_k", "sweep_rrf_k", "error_report",
     "replay_statuses", "replay_final_table", "replay_asof_lookup", "replay_asof_snapshot",
     "apply_adds", "point_lookups", "assemble_transcripts", "pair_tool_calls",
-    "sparse_topk_blocks", "dense_topk_regions", "index_grow", "detect_sampled_context_parts", "judge_answers_once",
-    "candidate_rounds", "scan_changed_files", "replay_in_two_parts", "tables_as_of",
+    "sparse_topk_blocks",
 ]
 
 
