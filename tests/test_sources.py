@@ -127,3 +127,26 @@ def test_tool_calls_find_their_results(spark):
     ]
     got = {r.tool_call_id: r.result for r in tr.pair_calls(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"a": "ok", "b": None}
+
+
+def test_source_files_stay_small_and_are_parsed_one_at_a_time(spark, tmp_path, monkeypatch):
+    import checks.queries as cq
+
+    monkeypatch.setattr(cq, "FILE_MODULES", 10)
+    modules = spark.range(200).selectExpr("id AS p_partkey", "concat('def f', id, '(x):\n    return x\n') AS content")
+    cq._write_modules(modules, str(tmp_path / "few"), 4)
+    files = cf.scan_files(spark, str(tmp_path))
+    assert files.count() >= 15  # 20 are written, some may be empty
+    assert cf.extract_functions(files, 0, 100).count() == 200
+
+
+def test_functions_in_every_kind_of_block():
+    text = "\n".join((
+        "if a:", "    def f(): pass", "else:", "    def g(): pass", "try:", "    def h(): pass", "except E:", "    def i(): pass",
+        "else:", "    def j(): pass", "finally:", "    def k(): pass", "match a:", "    case 1:", "        def l(): pass",
+        "with a:", "    for b in c:", "        class D:", "            async def m():", "                def n(): pass", "x = lambda: 0 if a else 1",
+    ))
+    import ast
+
+    walked = [n.name for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef)]
+    assert [name for name, *_ in cf.defined_functions(text)] == walked and len(walked) == 8
