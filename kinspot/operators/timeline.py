@@ -10,6 +10,11 @@ in exactly one node if the version is valid there, and in none if not: an
 equi-join on (filter, level, node). Versions valid at no asked position have
 no pieces. The role a position filters by is part of the key, so rows of other
 roles never meet it.
+
+All rows of all positions are as many as both numbers multiplied. Where only
+their totals are wanted, the versions of a node are added up before they meet
+its positions, so the work grows with versions and positions alone. Names are
+numbered in their order for this, as first and last of numbers need no sort.
 """
 
 from __future__ import annotations
@@ -58,13 +63,17 @@ def _pieces(low: Column, high: Column, levels: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
 
 
-def tables_as_of(versions: DataFrame, positions: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+def tables_as_of(versions: DataFrame, positions: DataFrame, span: int = DEFAULT_SPAN, totals: bool = False) -> DataFrame:
     """The rows seen from each of ``positions`` (position, role): ``position, asked_role, id, name, role, salary``.
 
     ``versions`` is the result of ``row_versions``: valid after ``valid_from``
     up to ``valid_to`` (null: still valid). A null or empty role asks for all
     rows. Positions that are asked twice are answered once; one that sees no
     row has none. Null positions see nothing.
+
+    With ``totals`` there is one row for each role seen from a position, in
+    place of its rows: ``position, asked_role, role, n_rows, id_total,
+    salary_total, first_name, last_name``.
     """
     asked = positions.select(F.col("position").cast("bigint").alias("position"), F.when(F.col("role") != "", F.col("role")).alias("asked_role"))
     asked = written(asked.where("position IS NOT NULL").distinct(), "asked_positions")
@@ -76,11 +85,31 @@ def tables_as_of(versions: DataFrame, positions: DataFrame, span: int = DEFAULT_
         lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("number"), level).alias("node")),
     )
     wanted = asked.select("position", "asked_role", scope.alias("scope"), F.inline(nodes))
-    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # only filters that some position has
     scopes = asked.select(scope.alias("scope")).distinct()
     row = placed.withColumn("scope", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "role")))).join(scopes, "scope", "left_semi")
+    if totals:
+        return _totals(row, wanted, levels, span)
+    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")
     held = row.select("id", "name", "role", "salary", "scope", salt.alias("salt"), F.inline(_pieces(F.col("low"), F.col("high"), levels)))
     met = held.join(wanted, ["scope", "level", "node", "salt"])
     return met.select("position", "asked_role", "id", "name", "role", "salary")
+
+
+def _totals(row: DataFrame, wanted: DataFrame, levels: int, span: int) -> DataFrame:
+    """Totals of the nodes, and of the nodes of each position."""
+    names = row.select("name").dropna().distinct()
+    names = written(running_sum(names, [], "name", {"number": F.lit(1).cast("bigint")}, span), "numbered_names")
+    held = row.join(names, "name", "left").select("id", "role", "salary", "number", "scope", F.inline(_pieces(F.col("low"), F.col("high"), levels)))
+    nodes = held.groupBy("scope", "level", "node", "role").agg(
+        F.count("*").alias("n_rows"), F.sum("id").alias("id_total"), F.sum("salary").alias("salary_total"),
+        F.min("number").alias("first"), F.max("number").alias("last"),
+    )
+    seen = wanted.join(nodes, ["scope", "level", "node"]).groupBy("position", "asked_role", "role").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("id_total").alias("id_total"), F.sum("salary_total").alias("salary_total"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+    for end in ("first", "last"):
+        seen = seen.join(names.select(F.col("number").alias(end), F.col("name").alias(f"{end}_name")), end, "left").drop(end)
+    return seen.select("position", "asked_role", "role", "n_rows", "id_total", "salary_total", "first_name", "last_name")

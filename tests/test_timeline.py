@@ -45,6 +45,20 @@ def test_tables_as_of_equal_a_look_at_every_version(spark, step, span):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_totals_are_those_of_the_rows(spark):
+    rng = random.Random(3)
+    versions = [(*v[:2], rng.choice([v[2], None]), *v[3:]) for v in random_versions(rng, 40, 200)]
+    versions += [(7, None, "x", None, 3, 90), (8, "n1", "x", 5, 3, 90), (8, "n1", "x", 5, 3, 90)]
+    asked = [(rng.randrange(-5, 260), rng.choice([None, "", "x", "y", "nobody"])) for _ in range(90)] + [(None, None), (50, None), (50, None)]
+    made = spark.createDataFrame(versions, VERSIONS), spark.createDataFrame(asked, "position bigint, role string")
+    want = tables_as_of(*made).groupBy("position", "asked_role", "role").agg(
+        F.count("*"), F.sum("id"), F.sum("salary"), F.min("name"), F.max("name")
+    )
+    got = tables_as_of(*made, span=7, totals=True)
+    assert got.columns == ["position", "asked_role", "role", "n_rows", "id_total", "salary_total", "first_name", "last_name"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and want.count() > 50
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_few_positions(spark, n):
     versions = spark.createDataFrame([(1, "a", "x", 1, 0, None), (2, "b", "x", 2, 5, 6)], VERSIONS)
