@@ -99,3 +99,18 @@ def test_texts_and_tokens_are_not_shuffled(spark, capsys):
 def test_null_text_is_empty(spark):
     got = term_counts(docs_of(spark, [(1, None), (2, "a a")])).collect()
     assert {tuple(r) for r in got} == {(1, 0, None, 0), (2, 2, "a", 2)}
+
+
+def test_terms_are_counted_in_pieces_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from kinspot.operators import sparse
+
+    texts = [["a", "b", "a"], [], ["c"] * 50, ["a"], [], ["b", "c"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "tokens"])
+    monkeypatch.setattr(sparse, "COUNTED_TOKENS", 4)
+    pieces = list(sparse._count(iter([batch, batch.slice(0, 0)])))
+    assert len(pieces) > 2 and max(p.num_rows for p in pieces) <= 5
+    got = sorted((tuple(r.values()) for p in pieces for r in p.to_pylist()), key=repr)
+    want = [(i, len(t), w, t.count(w)) for i, t in enumerate(texts) for w in set(t)] + [(i, 0, None, 0) for i, t in enumerate(texts) if not t]
+    assert got == sorted(want, key=repr)
