@@ -25,6 +25,8 @@ Generator = Callable[[list[tuple[str, int, int]]], Sequence[str | None]]
 Check = Callable[[DataFrame], DataFrame]
 
 GENERATE_BATCH = 16
+#: characters of candidates that leave a task at once, about: a frame of each call would cost more than most calls
+YIELDED_CHARS = 1 << 22
 NOTHING = "nothing generated"
 
 
@@ -46,13 +48,23 @@ def generate(todo: DataFrame, generator: Generator, batch_size: int = GENERATE_B
                 return [(None, str(failure) or type(failure).__name__)]
             return [r for a in asked for r in one_by_one([a])]
 
+    def rows(part: pd.DataFrame, made: list[tuple[str | None, str | None]]) -> pd.DataFrame:
+        out = pd.DataFrame(made, columns=["code", "error"], dtype=object)
+        return out.assign(**{c: part[c].to_numpy() for c in ("src_id", "label", "attempt")})[["src_id", "label", "attempt", "code", "error"]]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                made = one_by_one(list(zip(part["original"], part["label"].tolist(), part["attempt"].tolist())))
-                out = pd.DataFrame(made, columns=["code", "error"], dtype=object)
-                yield out.assign(**{c: part[c].to_numpy() for c in ("src_id", "label", "attempt")})[["src_id", "label", "attempt", "code", "error"]]
+            asked = list(zip(frame["original"], frame["label"].tolist(), frame["attempt"].tolist()))
+            first, made, held = 0, [], 0
+            for start in range(0, len(asked), batch_size):
+                new = one_by_one(asked[start : start + batch_size])
+                made += new
+                held += sum(len(text or "") for text, _ in new)
+                if held >= YIELDED_CHARS:
+                    yield rows(frame.iloc[first : first + len(made)], made)
+                    first, made, held = first + len(made), [], 0
+            if made:
+                yield rows(frame.iloc[first:], made)
 
     source = todo.select("src_id", "label", "attempt", "original")
     kind = source.schema["src_id"].dataType.simpleString()
