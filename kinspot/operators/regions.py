@@ -42,6 +42,8 @@ LARGEST_SHARE = 0.3
 #: what rounding may add to an angle, and to a score that is compared with a bound
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-5
 ZEROS = -1
+#: cells of a matrix of rows and regions that a task holds at once
+MOST_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -52,14 +54,20 @@ class RegionIndex:
     regions: DataFrame
 
 
+def _row_slices(batches: Iterator[pa.RecordBatch], regions: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, as few at once as ``MOST_CELLS`` allows, however many regions there are."""
+    step = max(1, MOST_CELLS // max(1, regions))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _assign(centres: np.ndarray):
     """Rows of (id, vector) with region, angle to its centre and length."""
     unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _row_slices(batches, len(unit)):
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             lengths = np.linalg.norm(vectors, axis=1)
             cosines = vectors @ unit.T / np.where(lengths > 0, lengths, 1.0)[:, None]
@@ -165,15 +173,18 @@ def _probe(bounds: _Bounds, k: int, probe: int):
     """The regions of the highest bounds of each query: ``probe`` of them, and more until they hold k vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, MOST_CELLS // max(1, len(bounds.region)))
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, flat = batch.column("q_ids")[row].values, batch.column("q_vectors")[row].values.to_numpy(zero_copy_only=False)
-                reach = bounds.of(flat.reshape(len(ids), -1))
-                order = np.argsort(-reach, axis=1, kind="stable")
-                held = np.cumsum(bounds.n[order], axis=1) - bounds.n[order]
-                chosen = (np.arange(order.shape[1]) < probe) | (held < k + 1)  # one more, as a query may be left out
-                rows, at = np.nonzero(chosen)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(bounds.region[order[rows, at]])], ["query_id", "region"])
+                all_ids, flat = batch.column("q_ids")[row].values, batch.column("q_vectors")[row].values.to_numpy(zero_copy_only=False)
+                queries = flat.reshape(len(all_ids), -1)
+                for start in range(0, len(all_ids), step):
+                    ids, reach = all_ids.slice(start, step), bounds.of(queries[start : start + step])
+                    order = np.argsort(-reach, axis=1, kind="stable")
+                    held = np.cumsum(bounds.n[order], axis=1) - bounds.n[order]
+                    chosen = (np.arange(order.shape[1]) < probe) | (held < k + 1)  # one more, as a query may be left out
+                    rows, at = np.nonzero(chosen)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(bounds.region[order[rows, at]])], ["query_id", "region"])
 
     return run
 
@@ -182,9 +193,7 @@ def _reach(bounds: _Bounds):
     """Regions, probed ones included, whose bound is not below the query's ``least`` score, and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _row_slices(batches, len(bounds.region)):
             queries = batch.column("unit_vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             least = batch.column("least").to_numpy(zero_copy_only=False)
             rows, at = np.nonzero(bounds.of(queries) >= np.where(np.isnan(least), -np.inf, least)[:, None] - SCORE_SLACK)
