@@ -21,3 +21,17 @@ def test_structure_of_repeated_and_broken_programs(spark, monkeypatch):
     found = {r["doc_id"]: r["embedding"] for r in vectors.collect()}
     assert {k: sum(v) for k, v in found.items()} == {1: 5.0, 2: 0.0, 3: 1.0, None: 1.0}  # ABC BCA CAB ABC, and ABC once more
     assert max(found[1]) >= 3.0 and all(len(v) == embedding.HASH_DIM for v in found.values())
+
+
+def test_counts_of_a_document_are_added_up_before_the_shuffle(spark, capsys):
+    rows = [(1, 3, "a", 2), (2, 1, "b", 1), (1, 3, "b", 1), (3, 0, None, 0), (None, 1, "a", 4), (1, 9, "a", 5)]
+    counts = spark.createDataFrame(rows, "doc_id bigint, dl int, term string, tf bigint").coalesce(1)
+    embedded = embedding.hash_embed(counts, n_counts=2 * embedding.TASK_COUNTS)
+    embedded.explain()
+    shuffled = capsys.readouterr().out.split("Exchange")
+    assert len(shuffled) == 2 and "MapInArrow" in shuffled[1] and "HashAggregate" not in shuffled[1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # documents lie in several batches
+    found = {r["doc_id"]: r["embedding"] for r in embedded.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: sorted(x for x in v if x) for k, v in found.items()} == {1: [1.0, 7.0], 2: [1.0], 3: [], None: [4.0]}
+    assert found[1].index(7.0) == found[None].index(4.0) and found[1].index(1.0) == found[2].index(1.0)
