@@ -201,3 +201,22 @@ def test_growing_index_serves_sparse_and_dense(spark, tmp_path):
     tidy = tidy_indexes(spark, path, most=2, embed=letters)
     assert len(tidy.sparse.segments) == 2 and found(tidy.hybrid_hits(asked.where("query_id < 3"), 4)) >= {b for b in before if b[0] < 3 and b[2] == 1}
     assert sorted(r.doc_id for r in tidy.dense.collect()) == sorted({*range(30), 40, 50} - {4})
+
+
+def test_a_region_gives_a_query_its_best_documents_only(spark, larger, tmp_path, monkeypatch):
+    _, index = larger
+    made, write = {}, sg.written
+    monkeypatch.setattr(sg, "written", lambda df, name, path=None: made.update({name: write(df, name, path)}) or made[name])
+    queries = [(q, f"w0 w1 w{q}") for q in range(8)]
+    hits = sg.segmented_topk(index, table(spark, queries, "query_id"), 2, probe_regions=3).count()
+    held = {r.region: r.n for r in index.blocks().where("term = 'w0'").select("region", "n").collect()}
+    assert hits == 16 and max(held.values()) > 10
+    assert 0 < made["probe_scores"].count() < 8 * 3 * 6  # not every document with a word that is in all of them
+
+    monkeypatch.setattr(sg, "SLOT_QUERIES", 3)
+    docs = [(i, f"a {'b ' * (i % 5)}c{i % 7}") for i in range(300)]
+    sg.add_documents(table(spark, docs), str(tmp_path / "i"))
+    grown = sg.add_documents(table(spark, [(i, "d") for i in range(0, 300, 3)]), str(tmp_path / "i"), removed=table(spark, [(7, "")]))
+    now = [(i, "d" if i % 3 == 0 else t) for i, t in docs if i != 7]
+    asked = [(q, f"a b b c{q} d") for q in range(9)]
+    assert found(sg.segmented_topk(grown, table(spark, asked, "query_id"), 5)) == brute_force(now, asked, 5)
