@@ -169,3 +169,18 @@ def test_spans_hold_rows_however_sparse_positions_are(spark):
     assert got.total == sum(i % 7 for i in range(20_000))
     before = ordered.last_before(rows, ["name"], "at", {"odd": F.when(F.col("v") == 3, F.col("at"))}, span=1000).orderBy(F.desc("at")).first()
     assert before.odd == 1_700_000_000_000_000 + 1_000_000 * max(i for i in range(19_999) if i % 7 == 3)
+
+
+def test_a_log_from_one_file_is_read_in_tasks_by_its_number_of_events(spark, tmp_path, monkeypatch):
+    from checks.data import TestData
+
+    rows = [(i, i % 3, ["signup", "view", "click"][i % 3], float(i), '{"k": 1}') for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(TestData, "TASK_EVENTS", 10)
+    data = TestData(spark, str(tmp_path))
+    for log in (data.log, data.hard_log):
+        first_half = log.where(F.col("seq") < 20)
+        filled = first_half.rdd.glom().map(len).collect()
+        assert sum(n > 0 for n in filled) > 1 and sum(filled) == 20
+    assert sorted(r.seq for r in data.log.collect()) == list(range(40))
