@@ -91,3 +91,29 @@ def test_ids_of_any_type(spark):
     corpus = spark.createDataFrame([("b", [1.0]), ("a", [1.0]), ("c", [0.5])], "doc_id string, unit_vec array<double>")
     got = dense_topk(corpus, corpus.withColumnRenamed("doc_id", "query_id"), 1, exclude_self=True).collect()
     assert {(r.query_id, r.doc_id) for r in got} == {("a", "b"), ("b", "a"), ("c", "a")}
+
+
+def test_later_blocks_give_only_rows_that_can_be_among_the_best():
+    import numpy as np
+    import pyarrow as pa
+
+    from kinspot.operators.dense import block_topk
+
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(60, 2)), 1)  # many equal scores
+    vectors /= np.maximum(1, np.linalg.norm(vectors, axis=1))[:, None]
+    asked, blocks = vectors[:20], [range(0, 25), range(25, 28), range(28, 60), range(0, 25)]
+    name = ["q_ids", "q_vectors", "ids", "vectors"]
+
+    def met(rows):
+        values = [list(range(20)), asked.ravel().tolist(), [100 - i for i in rows], vectors[list(rows)].ravel().tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=name)
+
+    out = [b.to_pylist() for b in block_topk(3, False)(iter([met(r) for r in blocks]))]
+    assert len(out[3]) == len(out[0]) - sum(r not in out[3] for r in out[0]) and len(out[2]) < 60  # not three for every query again
+    best: dict[int, dict[int, float]] = {}
+    for r in (r for part in out for r in part):
+        best.setdefault(r["query_id"], {})[r["doc_id"]] = r["score"]
+    for q in range(20):
+        want = sorted((-round(float(asked[q] @ vectors[i]), 6) + 0.0, 100 - i) for i in range(60))[:3]
+        assert [(d, -s + 0.0) for s, d in want] == sorted(best[q].items(), key=lambda x: (-x[1], x[0]))[:3]
