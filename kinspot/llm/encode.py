@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Iterator
 from itertools import chain
 from types import ModuleType
 
@@ -21,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from kinspot.llm.stage import give_back
 from kinspot.llm.words import hash_spans, mix, slices, text_bytes
 
 #: units a worker remembers, at some 50 bytes each; then it begins anew
 REMEMBERED = 1_000_000
 #: units that are learnt before they are merged into the sorted ones
 RECENT = 1 << 17
-SLICE_BYTES = 1 << 22
+#: units that the library encodes at once; what it returns of a unit is many times its ids
+LEARNT = 4096
+SLICE_BYTES = 1 << 20
 HELD_IN = "kinspot_encoders"
 
 # kinds of bytes: 0 unknown, 1 letter, 2 digit, 3 symbol, 4 space or newline, 5 apostrophe
@@ -90,22 +94,27 @@ class Encoder:
                 out[same] = number[at[same]]
         return out
 
+    def _encoded(self, units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All ids of ``LEARNT`` units at a time, and the number of each unit's."""
+        for first in range(0, len(units), LEARNT):
+            part = [u.decode() for u in units[first : first + LEARNT]]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            yield np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     def _learn(self, units: list[bytes], first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Numbers of new units, which are encoded and remembered."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat, lengths = (np.concatenate(parts) for parts in zip(*self._encoded(units), strict=True))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while self.n + len(found) > len(self.start):
+        while self.n + len(lengths) > len(self.start):
             self.start = np.concatenate((self.start, np.zeros_like(self.start)))
             self.length = np.concatenate((self.length, np.zeros_like(self.length)))
-        numbers = np.arange(self.n, self.n + len(found), dtype=np.int32)
+        numbers = np.arange(self.n, self.n + len(lengths), dtype=np.int32)
         self.ids[self.used : self.used + len(flat)] = flat
         self.length[numbers] = lengths
         self.start[numbers] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.n += len(found)
+        self.n += len(lengths)
         self.recent = _merged(self.recent, (first, second, numbers))
         if len(self.recent[0]) > RECENT:
             self.sorted, self.recent = _merged(self.sorted, self.recent), tuple(x[:0] for x in self.recent)
@@ -152,6 +161,7 @@ class Encoder:
             parts.append(ids)
             bounds.append(ends[1:] + total)
             total += len(ids)
+        give_back()  # a worker with its encoder stands beside the executor's heap for all later tasks
         return np.concatenate(parts), np.concatenate(bounds)
 
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinspot.llm.components import components
-from kinspot.llm.stage import stored, whole_text
+from kinspot.llm.stage import lean, stored, whole_text
 from kinspot.llm.words import SPACE, hashed_words, mix, shingles
 
 BAND_ROWS = 5
@@ -180,7 +180,7 @@ def _rare_pairs(pool: DataFrame, own: DataFrame, k: int, percent: int, separator
     """``pool`` with the number of each document's rare shingles, these shingles, and the pairs that can be linked by sharing some."""
     open_docs = pool.select(F.col("id").alias("doc_id"), "n", "component").distinct()
     texts = own.join(open_docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = stored(texts.mapInArrow(_post_task(k, separators), "id long, shingle long"), "open-shingles")
+    held = stored(texts.mapInArrow(lean(_post_task(k, separators)), "id long, shingle long"), "open-shingles")
     few = held.groupBy("shingle").agg(F.count("*").alias("holders")).filter(F.col("holders") <= RARE)
     rare = stored(held.join(few, "shingle"), "rare-shingles")
     # rows that share an id count as one document here, whose rare shingles prove nothing about either text
@@ -243,7 +243,7 @@ def _difference_pairs(pool: DataFrame, hubs: DataFrame, rare: DataFrame, own: Da
     here = here.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(apart, ["hub", "salt"], "left_semi")
     hub_texts = own.toDF("hub", "hub_text").join(apart.select("hub").distinct(), "hub", "left_semi").select("hub", "hub_text", copies)
     both = here.select("hub", "salt", "id").join(own.toDF("id", "text"), "id").join(hub_texts, ["hub", "salt"]).drop("salt")
-    different = stored(both.mapInArrow(_difference_task(k, separators), DIFFERENCES), "differences")
+    different = stored(both.mapInArrow(lean(_difference_task(k, separators)), DIFFERENCES), "differences")
     shared = different.join(rare.withColumn("added", F.lit(True)), ["shingle", "added"], "left_anti")
     holders = shared.groupBy("hub", "hub_key", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     member = ["hub", "hub_key", "id", "key"]
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     bands = n_bands(threshold, BAND_ROWS, miss)
     texts = whole_text(docs)
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
-    signed = stored(keyed.mapInArrow(_sign_task(k, bands, BAND_ROWS, separators), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, signature binary, buckets array<long>"), "signatures")
+    signed = stored(keyed.mapInArrow(lean(_sign_task(k, bands, BAND_ROWS, separators)), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, signature binary, buckets array<long>"), "signatures")
     narrow = signed.select("doc_id", "text_key", "n_shingles", "key_a", "key_b")
     keys = ["key_a", "key_b"]
     classes = narrow.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("doc_id"))
@@ -306,13 +306,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """``labels`` with the links that ``pairs`` really are."""
         both = pairs.join(own.toDF("member", "text"), "member").join(own.toDF("hub", "hub_text"), "hub")
-        found = stored(both.mapInArrow(_verify_task(k, percent, separators), "hub long, member long"), "links")
+        found = stored(both.mapInArrow(lean(_verify_task(k, percent, separators)), "hub long, member long"), "links")
         return labels if found.isEmpty() else stored(components(labels.union(found)), "components")
 
     def pruned(pairs: DataFrame) -> DataFrame:
         """``pairs`` (hub, member) whose signatures leave them a chance."""
         signed_pairs = pairs.join(signs.toDF("hub", "hub_a", "hub_b", "hub_signature"), "hub").join(signs.withColumnRenamed("id", "member"), "member")
-        return stored(signed_pairs.mapInArrow(_prune_task(threshold, miss, BATCH), PAIRS), "survivors")
+        return stored(signed_pairs.mapInArrow(lean(_prune_task(threshold, miss, BATCH)), PAIRS), "survivors")
 
     def settled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """``labels`` with the links among ``pairs`` (hub, member), which are pruned by their signatures and verified."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from kinspot.llm.stage import stored
+from kinspot.llm.stage import lean, stored
 from kinspot.llm.words import slices, text_bytes
 
 #: fixed by the contract
@@ -134,7 +134,7 @@ def _find_task(identifiers: str, novel: float):
 def find_secrets(docs: DataFrame, identifiers: str = IDENTIFIERS, novel: float = NOVEL) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end; by start, then kind) of each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_find_task(identifiers, novel), f"doc_id long, spans {SPANS}")
+    return texts.mapInArrow(lean(_find_task(identifiers, novel)), f"doc_id long, spans {SPANS}")
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def _mask_task(identifiers: str, novel: float, mark: str):
 
 def mask_secrets(docs: DataFrame, identifiers: str = IDENTIFIERS, novel: float = NOVEL, mark: str = MARK) -> DataFrame:
     """``docs`` with each secret replaced by ``mark``, overlapping ones by one; ``n_chars`` follows if it is there."""
-    return docs.mapInArrow(_mask_task(identifiers, novel, mark), docs.schema)
+    return docs.mapInArrow(lean(_mask_task(identifiers, novel, mark)), docs.schema)
 
 
 def secret_report(docs: DataFrame, identifiers: str = IDENTIFIERS, novel: float = NOVEL) -> DataFrame:

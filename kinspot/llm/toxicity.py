@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinspot.llm.labelled import held_out, training_labels
-from kinspot.llm.stage import stored, whole_text
+from kinspot.llm.stage import lean, stored, whole_text
 from kinspot.llm.words import NOT_ALNUM, hash_spans, slices, text_bytes, word_spans
 
 #: the bounds of the sample that trains
@@ -277,7 +277,7 @@ def _bin_task(net: ConvNet, known: list[np.ndarray]):
 
 def _calibration_counts(texts: DataFrame, labels: DataFrame, net: ConvNet) -> pd.DataFrame:
     """Clean and toxic documents of each language and score bin; texts do not travel to their labels."""
-    binned = stored(texts.mapInArrow(_bin_task(net, _language_words()), "doc_id long, language int, bin int"), "calibration-bins")
+    binned = stored(texts.mapInArrow(lean(_bin_task(net, _language_words())), "doc_id long, language int, bin int"), "calibration-bins")
     counts = binned.join(labels, "doc_id").groupBy("language", "bin")
     return counts.agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic")).toPandas()
 
@@ -294,7 +294,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> T
     fold = F.pmod(order, F.lit(5)) == 0
     halves = [known.filter(F.col("label") == v).orderBy(order, "doc_id").limit(PER_CLASS) for v in (0, 1)]
     sample = stored(halves[0].union(halves[1]), "training-sample")
-    rows = whole_text(docs).join(sample, "doc_id").mapInArrow(_sample_task, "doc_id long, label int, words binary").filter("words IS NOT NULL")
+    rows = whole_text(docs).join(sample, "doc_id").mapInArrow(lean(_sample_task), "doc_id long, label int, words binary").filter("words IS NOT NULL")
     rows = rows.select("label", "words", fold.alias("kept"), "doc_id").toPandas().sort_values("doc_id")
     y = rows["label"].to_numpy()
     if len(set(y)) < 2:
@@ -332,7 +332,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
     """``docs`` with ``toxicity_score``: 0 to 1, toxic from 0.7 on; replaces a column of that name."""
     plain = docs.drop("toxicity_score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", toxicity_score double"
-    return plain.mapInArrow(_score_task(model, _language_words()), schema)
+    return plain.mapInArrow(lean(_score_task(model, _language_words())), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

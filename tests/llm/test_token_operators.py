@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kinspot.llm import chat, encode, packing, permutation_index, queries, token_store, url_filter
+from kinspot.llm import chat, encode, packing, permutation_index, queries, stage, token_store, url_filter
 
 from . import cases
 
@@ -312,3 +312,30 @@ def test_units_are_told_apart_and_forgotten(monkeypatch):
         for _ in range(2):
             flat, bounds = one.encode(column)
             assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
+def test_few_units_are_encoded_at_once(monkeypatch):
+    """The library's results are many times the ids, and stand in a worker's memory until all of a call are read."""
+    calls = []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, units, **options):
+            calls.append(len(units))
+            return self.tokenizer.encode_batch_fast(units, **options)
+
+    one = encode.Encoder(WORD_BPE)
+    one.tokenizer = Counting(one.tokenizer)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(200)) for _ in range(150)]
+    flat, bounds = one.encode(pa.array(texts))
+    assert max(calls) <= 4096 < sum(calls)
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids[:-1].tolist() for ids in expected_ids(WORD_BPE, texts, 0)]
+
+
+def test_a_task_gives_freed_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(stage, "give_back", lambda: given.append(1))
+    assert list(stage.lean(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and given == [1]
