@@ -220,3 +220,29 @@ def test_a_region_gives_a_query_its_best_documents_only(spark, larger, tmp_path,
     now = [(i, "d" if i % 3 == 0 else t) for i, t in docs if i != 7]
     asked = [(q, f"a b b c{q} d") for q in range(9)]
     assert found(sg.segmented_topk(grown, table(spark, asked, "query_id"), 5)) == brute_force(now, asked, 5)
+
+
+def test_a_batch_is_tokenised_once(spark, tmp_path, monkeypatch):
+    """Vectors come from the counted terms, and are those of the texts."""
+    from kinspot.operators.embedding import hash_embed_text
+    from kinspot.plans import growing
+
+    docs = table(spark, [(i, t) for i, t in zipf_texts(random.Random(5), 40, 30, 200)] + [(100, ""), (101, None), (102, " a a é 中")])
+
+    def fail(*_, **__):
+        raise AssertionError("texts are tokenised again")
+
+    monkeypatch.setattr(growing, "hash_embed_text", fail)
+    index = grow_indexes(docs, str(tmp_path / "index"))
+    want = growing.build_dense_index(hash_embed_text(docs), dim=index.dim)
+    assert sorted(map(tuple, index.dense.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_documents_are_written_by_tasks_of_few_postings(spark, tmp_path, monkeypatch):
+    """One task for 50,000 documents held tens of millions of postings, and so did each that read its file."""
+    monkeypatch.setattr(sg, "TASK_POSTINGS", 1_000)
+    index = sg.add_documents(table(spark, zipf_texts(random.Random(6), 200, 60, 800)), str(tmp_path / "index"))
+    root = tmp_path / "index" / "segments" / index.segments[0].name
+    assert len(list((root / "forward").rglob("*.parquet"))) > 4
+    blocks = index.blocks().selectExpr("sum(n) AS n", "sum(size(postings)) AS held", "count_if(max_tf != array_max(transform(postings, x -> x.tf))) AS wrong").first()
+    assert blocks["n"] == blocks["held"] == index.forward().selectExpr("sum(size(terms))").first()[0] and blocks["wrong"] == 0
