@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinspot.functions.vectors import HASH_DIM
 from kinspot.operators.dense import build_dense_index, dense_topk
-from kinspot.operators.embedding import Embedder, embed_column, hash_embed_terms, hash_embed_text
+from kinspot.operators.embedding import Embedder, embed_column, hash_embed_text, hash_unit_terms
 from kinspot.operators.fusion import DEPTH_FACTOR, rrf_topk
 from kinspot.operators.segments import SegmentedIndex, add_documents, load_segments, merge_segments, segmented_topk, small_segments
 from kinspot.session import written
@@ -58,7 +58,7 @@ def grow_indexes(
     Only texts of the batch are tokenised and embedded.
     """
     # the default embedding counts the terms that the sparse index holds; a model reads texts
-    dense = _vectors(batch, "doc_id", embed, dim) if embed else lambda terms: build_dense_index(hash_embed_terms(terms, dim), dim=dim)
+    dense = _vectors(batch, "doc_id", embed, dim) if embed else lambda terms: hash_unit_terms(terms, dim)
     index = add_documents(batch, path, removed, beside={DENSE: dense})
     return GrowingIndex(index, dim, embed)
 

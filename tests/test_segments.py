@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from kinspot.operators import segments as sg
 from kinspot.plans.growing import grow_indexes, load_growing, tidy_indexes
+from kinspot.session import written
 from test_sparse import brute_force, zipf_texts
 
 QUERY_TERMS = 6
@@ -246,3 +248,39 @@ def test_documents_are_written_by_tasks_of_few_postings(spark, tmp_path, monkeyp
     assert len(list((root / "forward").rglob("*.parquet"))) > 4
     blocks = index.blocks().selectExpr("sum(n) AS n", "sum(size(postings)) AS held", "count_if(max_tf != array_max(transform(postings, x -> x.tf))) AS wrong").first()
     assert blocks["n"] == blocks["held"] == index.forward().selectExpr("sum(size(terms))").first()[0] and blocks["wrong"] == 0
+
+
+def test_texts_are_moved_and_terms_are_written_once(spark, tmp_path, monkeypatch, capsys):
+    """Terms lay in a table of their own, went through a sampled sort to the forward table, and their postings through shuffles as rows."""
+    made, plans, write = [], [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **options):
+        self._df.explain()
+        plans.append((path.rsplit("/", 1)[-1], capsys.readouterr().out))
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(sg, "written", lambda df, name, path=None: made.append(name) or written(df, name, path))
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(sg, "TASK_POSTINGS", 1_000)
+    path = str(tmp_path / "index")
+    sg.add_documents(table(spark, zipf_texts(random.Random(6), 200, 60, 800)), path)
+    sg.add_documents(table(spark, [(5, "w1 w2")]), path)
+    sg.merge_segments(spark, path)
+    assert not {"document_terms", "merged"} & set(made)
+    plan = dict(plans[:2])
+    assert set(plan) == {"forward", "docs"} and "rangepartitioning" not in plan["forward"]
+    assert plan["forward"].index("MapInArrow") < plan["forward"].index("Exchange")  # above it
+    blocks = next(text for name, text in plans if name == "blocks")
+    assert blocks.index("arrays_zip") < blocks.index("Exchange")
+
+
+def test_unit_vectors_of_terms_are_those_of_their_counts(spark):
+    from kinspot.operators.dense import build_dense_index
+    from kinspot.operators.embedding import hash_embed, hash_unit_terms
+
+    rows = [(1, 9, ["a", "é", "w7"], [7, 1, 1]), (2, 0, [], []), (3, 2, ["中"], [2]), (4, 3, ["b", "a"], [1, 2])]
+    nested = spark.createDataFrame(rows, "doc_id bigint, dl int, terms array<string>, tfs array<bigint>").coalesce(1)
+    pairs = nested.select("doc_id", "dl", F.inline_outer(F.arrays_zip("terms", "tfs"))).toDF("doc_id", "dl", "term", "tf")
+    for dim in (3, 256):
+        want = build_dense_index(hash_embed(pairs.fillna({"tf": 0}), dim), dim=dim)
+        assert sorted(map(tuple, hash_unit_terms(nested, dim).collect())) == sorted(map(tuple, want.collect()))
