@@ -243,3 +243,33 @@ def test_only_changed_files_are_parsed(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
     assert scan_changed_files(spark, str(empty), str(tmp_path / "other")).count() == 0
+
+
+def test_a_candidate_lies_on_disk_once(spark, tmp_path, monkeypatch):
+    """Candidates stood in two tables, and the shuffle files of every round stayed beside them."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import DataFrameWriter
+
+    key, write, settings = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", DataFrameWriter.parquet, {}
+    before = spark.conf.get(key, None)
+
+    def parquet(self, target, *args, **options):
+        settings[target.rsplit("/", 1)[-1]] = spark.conf.get(key, None)
+        return write(self, target, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    originals = table(spark, [(i, f"text {i} " * 20) for i in range(50)] + [(3, "twice"), (None, "no id")], "src_id bigint, code string")
+    check = lambda made: made.drop("code").withColumn("is_valid", F.col("attempt") >= 2)
+    rows = candidate_rounds(originals, lambda asked: [f"{code} {label} {attempt}" for code, label, attempt in asked], check, path=str(tmp_path / "rounds"))
+    codes = {}
+    for file in (tmp_path / "rounds").rglob("*.parquet"):
+        if {"code", "original"} & set(pq.read_schema(file).names):
+            meta = pq.ParquetFile(file).metadata
+            assert meta.num_rows == 0 or meta.row_group(0).column(meta.num_columns - 2).compression == "ZSTD"
+            codes |= {file.parent.name: codes.get(file.parent.name, 0) + meta.num_rows} if meta.num_rows else {}
+    # the id that comes twice: 4 candidates of a label, each beside 4 verdicts
+    assert codes == {"originals": 52, "round-1": 2 * (49 + 16), "round-2": 2 * (49 + 16)}
+    assert rows.count() == codes["round-1"] + codes["round-2"] and rows.where("attempt = 1 AND is_valid OR attempt = 2 AND NOT is_valid").isEmpty()
+    assert rows.where("code IS NULL OR error IS NOT NULL").isEmpty() and rows.select("code").distinct().count() == 4 * 51
+    assert {settings[name] for name in ("originals", "generated-1", "verdicts-1", "round-1", "round-2")} == {"true"}
+    assert spark.conf.get(key, None) == before
